@@ -67,11 +67,8 @@ def dominant_keys(df: DataFrame, key: str, share_percent: int, **tree) -> DataFr
     never reported. An empty table has no dominant key.
     """
     counts = tree_aggregate(df, [key], {"n_rows": ("count", None)}, **tree)
-    total = df.agg(F.count(F.lit(1)).alias("n_total")).withColumn("__one", F.lit(1))
+    total = df.count()  # one number, from the files' row counts
     return (
-        counts.where(F.col(key).isNotNull())
-        .withColumn("__one", F.lit(1))
-        .join(F.broadcast(total), "__one")
-        .where(F.col("n_rows") * 100 >= F.col("n_total") * share_percent)
-        .select(key, "n_rows", "n_total")
+        counts.where(F.col(key).isNotNull() & (F.col("n_rows") * 100 >= F.lit(total * share_percent)))
+        .select(key, "n_rows", F.lit(total).cast("bigint").alias("n_total"))
     )
