@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylolake.llm.components import connected_groups
+from phylolake.llm.leakage import leaked_passages, removal_spans
+from phylolake.llm.mixture import mix_sources
 from phylolake.llm.set_pairs import similar_set_pairs
 from phylolake.llm.term_frequency import marked_frequency
 from phylolake.session import table
@@ -51,5 +53,31 @@ SELECT t AS term_nr, count(*) AS occurrences, count(DISTINCT e) AS entries,
 FROM r GROUP BY t"""
 P3_FOUND = f"SELECT term_nr, mark FROM ({P3_TERM_FREQUENCY}) WHERE mark IS NOT NULL"
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_term_frequency": p3_term_frequency}
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_passages(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least 20 running words of a held-out passage, with the items."""
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p7_removal_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged word spans to remove from each document."""
+    return removal_spans(p7_leaks(spark, sf))
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """How often every document is used in the mixture."""
+    m = mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_target"))
+    return m.records.select(F.col("id").alias("doc_id"), "source", "n_tokens", "repeats")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of the tokens of every source."""
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_target")).shares
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_term_frequency": p3_term_frequency, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans,
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 ORACLE = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_term_frequency": P3_TERM_FREQUENCY}

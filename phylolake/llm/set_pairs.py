@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylolake.session import spill
+from phylolake.session import ship_package, spill
 
 DEPTHS = (4, 6, 8, 12, 16)
 WORDS = 4  # 64-bit words of the bit vector
@@ -103,6 +103,7 @@ def _neighbours(leaf: DataFrame, key: str, threshold: float) -> DataFrame:
 
 def _forest(sets: DataFrame, threshold: float, recall: float, seed: int, group_limit: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs of one forest, and the sets whose recall stays below the target (None: none)."""
+    ship_package(sets.sparkSession)
     sketch, ddl = _sketcher(trees_needed(threshold, DEPTHS[0], recall), seed)
     active = spill(sets.select("sid", "items").mapInArrow(sketch, ddl), "sketches")
     found, reached = [], []

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylolake.session import ship_package
+
 
 def _combine(batches):
     """Runs of equal pairs inside a batch become one row, so a hot pair is thinned before the sort."""
@@ -58,6 +60,7 @@ def term_frequency(df: DataFrame, term: str, record: str, absent: tuple = ()) ->
         keep = keep & ~t.isin(*absent) & ~r.isin(*absent)
     pairs = df.where(keep).select(t.alias("term"), r.alias("record"), F.lit(1).cast("bigint").alias("n"))
     kind = dict(pairs.dtypes)
+    ship_package(df.sparkSession)
     combined = pairs.mapInArrow(_combine, f"term {kind['term']}, record {kind['record']}, n bigint")
     ordered = combined.repartitionByRange("term", "record").sortWithinPartitions("term", "record")
     runs = ordered.mapInArrow(_scan, f"term {kind['term']}, occurrences bigint, records bigint")
