@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phylolake.llm.abuse import abuse_scores
 from phylolake.llm.components import connected_groups
 from phylolake.llm.leakage import leaked_passages, removal_spans
-from phylolake.llm.mixture import mix_sources
+from phylolake.llm.mixture import mix_sources, source_key
 from phylolake.llm.set_pairs import similar_set_pairs
 from phylolake.llm.term_frequency import marked_frequency
 from phylolake.session import table
@@ -78,6 +79,28 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_target")).shares
 
 
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document; from 0.5 on with the kind of language."""
+    return abuse_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "review_label"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return p9_scores(spark, sf).where("score >= 0.5").select("doc_id")
+
+
+def p9_source_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of such documents per source (null: documents without a source)."""
+    scored = p9_scores(spark, sf)
+    own = table(spark, sf, "documents").select("doc_id", source_key("source").alias("source"))
+    flag = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return (
+        own.join(scored, "doc_id").groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(flag).alias("n_flagged"), F.round(F.avg(flag), 6).alias("rate"))
+    )
+
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_term_frequency": p3_term_frequency, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans,
-    "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_source_rates": p9_source_rates}
 ORACLE = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_term_frequency": P3_TERM_FREQUENCY}
