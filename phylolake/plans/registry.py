@@ -25,14 +25,14 @@ class Registry:
         """``sql`` preceded by the common table expressions it mentions, dependencies first."""
         order: list[str] = []
 
-        def need(text: str) -> None:
+        def need(text: str, within: tuple[str, ...]) -> None:
             for v, body in self.views.items():
-                if v not in order and re.search(rf"\b{v}\b", text):
-                    need(body)
+                if v not in order and v not in within and re.search(rf"\b{v}\b", text):
+                    need(body, (*within, v))
                     if v not in order:
                         order.append(v)
 
-        need(sql)
+        need(sql, ())
         if not order:
             return sql
         ctes = ", ".join(f"{v} AS ({self.views[v]})" for v in order)
