@@ -59,55 +59,83 @@ class Graph:
 
 
 def contract_parentless(g: Graph, parentless) -> Graph:
-    """Nodes of degree two without a parent are bridged by an edge of the larger weight; in order of names."""
+    """Nodes without a parent and with two neighbours are bridged by an edge of the larger weight, one after
+    the other; a node whose neighbours are already joined stays."""
     for u in sorted(n for n in g.adj if n in parentless):
         if g.degree(u) == 2:
             (x, wx), (y, wy) = sorted(g.adj[u].items())
-            if x != y:
+            if y not in g.adj[x]:
                 g.drop(u)
-                g.add(x, y, max(wx, wy, g.adj.get(x, {}).get(y, 0)))
+                g.add(x, y, max(wx, wy))
     return g
 
 
-def drop_weak_edges(g: Graph, min_importance: float = 3.0, max_neighbours: int = 10) -> Graph:
-    """Nodes with two strong edges lose their weak ones; crowded nodes keep their best, an edge falls if both ends drop it."""
+def drop_weak_edges(g: Graph, min_importance: float = 10.0, max_neighbours: int = 10) -> Graph:
+    """Weak edges (below ``min_importance`` - 2, at least 1.001) of nodes with two or more important ones go.
+
+    A node without that but with too many neighbours only marks its weak edges; an
+    edge that both ends mark goes as well.
+    """
     floor = max(min_importance - 2, 1.001)
+    marked: set = set()
     for u in sorted(g.adj):
+        weak = [v for v, w in sorted(g.adj[u].items()) if w < floor]
         if sum(w >= min_importance for w in g.adj[u].values()) >= 2:
-            for v in [v for v, w in g.adj[u].items() if w < floor]:
-                g.cut(u, v)
-    marked: dict = {}
-    for u in sorted(g.adj):
-        if g.degree(u) > max_neighbours:
-            for v, _ in sorted(g.adj[u].items(), key=lambda x: (-x[1], x[0]))[max_neighbours:]:
-                key = (min(u, v), max(u, v))
-                marked[key] = marked.get(key, 0) + 1
-    for (u, v), n in sorted(marked.items()):
-        if n == 2:
+            gone = weak
+        elif g.degree(u) > max_neighbours:
+            key = {v: (min(u, v), max(u, v)) for v in weak}
+            gone = [v for v in weak if key[v] in marked]
+            marked.update(key.values())
+        else:
+            gone = []
+        for v in gone:
             g.cut(u, v)
     return g
 
 
+def _path(g: Graph, start, end, without) -> list | None:
+    """A shortest path that does not use the edge ``without``; None if there is none."""
+    before, front = {start: None}, [start]
+    while front and end not in before:
+        new = []
+        for u in front:
+            for v in sorted(g.adj[u]):
+                if v not in before and {u, v} not in without:
+                    before[v] = u
+                    new.append(v)
+        front = new
+    if end not in before:
+        return None
+    path = [end]
+    while path[-1] != start:
+        path.append(before[path[-1]])
+    return path[::-1]
+
+
 def resolve_forks(g: Graph) -> Graph:
-    """A node of degree three in a triangle whose other two corners are its detour: the direct, weakest side
-    goes and its weight is added to the path around it."""
-    for u in sorted(g.adj):
-        if g.degree(u) != 3:
+    """Neighbours of degree three each that are also joined by exactly one detour lose their direct edge.
+
+    Its weight goes to every edge of the detour. The detour is the only one if
+    cutting any of its edges separates the two nodes.
+    """
+    corners = sorted(u for u in g.adj if g.degree(u) == 3)
+    for u, v in [(u, v) for u in corners for v in sorted(g.adj[u]) if u < v and v in set(corners)]:
+        if v not in g.adj[u]:
+            continue
+        detour = _path(g, u, v, [{u, v}])
+        if detour is None:
+            continue
+        steps = list(zip(detour, detour[1:], strict=False))
+        if any(_path(g, u, v, [{u, v}, {x, y}]) is not None for x, y in steps):
             continue
-        near = sorted(g.adj[u])
-        for i, x in enumerate(near):
-            for y in near[i + 1 :]:
-                if y in g.adj.get(x, {}) and min(g.degree(x), g.degree(y)) == 2:
-                    mid, end = (x, y) if g.degree(x) == 2 else (y, x)
-                    if g.degree(u) == 3 and end in g.adj[u] and mid in g.adj[u] and g.adj[u][end] <= max(g.adj[u][mid], g.adj[mid][end]):
-                        w = g.adj[u][end]
-                        g.cut(u, end)
-                        g.adj[u][mid] = g.adj[mid][u] = g.adj[u][mid] + w
-                        g.adj[mid][end] = g.adj[end][mid] = g.adj[mid][end] + w
+        w = g.adj[u][v]
+        g.cut(u, v)
+        for x, y in steps:
+            g.add(x, y, g.adj[x][y] + w)
     return g
 
 
-def clean_graph(edges: DataFrame, parentless: DataFrame | None = None, *, steps: tuple[str, ...] = ("contract", "weak", "forks"), min_importance: float = 3.0, max_neighbours: int = 10) -> DataFrame:
+def clean_graph(edges: DataFrame, parentless: DataFrame | None = None, *, steps: tuple[str, ...] = ("contract", "weak", "forks"), min_importance: float = 10.0, max_neighbours: int = 10) -> DataFrame:
     """(node1, node2, weight) after the edits, applied to every component on its own.
 
     ``parentless`` lists nodes (column node) that may be contracted.

@@ -5,63 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Centre and width of the Gaussian memberships of each input, and centres of the output.
-MEMBERSHIPS = {
-    "distance": {"low": (0.0, 15.0), "med": (30.0, 15.0), "high": (70.0, 25.0)},
-    "synteny": {"low": (0.0, 0.15), "med": (0.4, 0.2), "high": (1.0, 0.4)},
-    "copies": {"low": (2.0, 1.0), "med": (5.0, 2.0), "high": (10.0, 4.0)},
+LEVELS = ("low", "med", "high")
+# Level of confidence for synteny and distance (rows) and low, medium or high copy number.
+RULES = {
+    ("low", "low"): ("med", "med", "med"),
+    ("low", "med"): ("med", "med", "low"),
+    ("low", "high"): ("low", "low", "very_low"),
+    ("med", "low"): ("high", "high", "high"),
+    ("med", "med"): ("med", "med", "med"),
+    ("med", "high"): ("med", "med", "low"),
+    ("high", "low"): ("very_high", "high", "high"),
+    ("high", "med"): ("high", "high", "high"),
+    ("high", "high"): ("high", "high", "med"),
 }
-OUTPUT = {"very_low": 5.0, "low": 25.0, "med": 50.0, "high": 75.0, "very_high": 95.0}
-OUTPUT_WIDTH = 10.0
-STEPS = 100
+# Centre and width of the Gaussian of each level of confidence.
+CONFIDENCE = {"very_low": (0.0, 20.0), "low": (50.0, 10.0), "med": (70.0, 10.0), "high": (90.0, 10.0), "very_high": (100.0, 10.0)}
+
+
+def memberships(max_distance: float, median_copies: float, max_copies: float) -> dict[str, dict[str, tuple[float, float]]]:
+    """Centre and width of the Gaussian memberships; distance and copy number follow the data."""
+    return {
+        "distance": {"low": (0.0, max_distance / 10), "med": (max_distance / 4, max_distance / 10), "high": (max_distance, max_distance / 2.5)},
+        "synteny": {"low": (0.0, 0.15), "med": (0.3, 0.15), "high": (1.0, 0.4)},
+        "copies": {"low": (median_copies, median_copies), "med": (4 * median_copies, 1.5 * median_copies), "high": (max_copies, max_copies / 2.5)},
+    }
 
 
 def gaussian(x: Column, centre: float, width: float) -> Column:
     return F.exp(-F.pow(x - centre, 2) / (2 * width * width))
 
 
-def fuzzy_confidence(distance: Column, synteny: Column, copies: Column) -> Column:
-    """Centroid of the rules' outputs (min for and, max for or) over a grid of 0..100.
-
-    Close, syntenic pairs of few copies are trusted; far, scattered or crowded ones are not.
-    """
+def fuzzy_confidence(distance: Column, synteny: Column, copies: Column, shape: dict) -> Column:
+    """Centroid over 0..100 of the confidence levels, each cut at the strength of its rules (min for and, max for or)."""
     values = {"distance": distance.cast("double"), "synteny": synteny.cast("double"), "copies": copies.cast("double")}
-    m = {k: {lvl: gaussian(values[k], *p) for lvl, p in lv.items()} for k, lv in MEMBERSHIPS.items()}
-    d, s, c = m["distance"], m["synteny"], m["copies"]
-    rules = {
-        "very_low": F.least(d["high"], s["low"], c["high"]),
-        "low": F.greatest(F.least(d["high"], s["low"]), F.least(d["high"], c["high"]), F.least(s["low"], c["high"])),
-        "med": F.greatest(d["med"], s["med"], c["med"]),
-        "high": F.greatest(F.least(d["low"], s["high"]), F.least(d["low"], c["low"]), F.least(s["high"], c["low"])),
-        "very_high": F.least(d["low"], s["high"], c["low"]),
-    }
-    grid = F.sequence(F.lit(0), F.lit(STEPS))
-    levels = F.array(*[rules[k] for k in OUTPUT])
-    centres = F.array(*[F.lit(v) for v in OUTPUT.values()])
-
-    def height(x: Column) -> Column:
-        each = F.zip_with(levels, centres, lambda r, ctr: F.least(r, F.exp(-F.pow(x - ctr, F.lit(2)) / (2 * OUTPUT_WIDTH * OUTPUT_WIDTH))))
-        return F.array_max(each)
-
-    acc = F.aggregate(
-        grid, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")),
-        lambda a, x: F.struct((a["n"] + x * height(x.cast("double"))).alias("n"), (a["d"] + height(x.cast("double"))).alias("d")),
-        lambda a: F.try_divide(a["n"], a["d"]),
-    )
-    return F.coalesce(acc, F.lit(0.0))
+    m = {k: {lvl: gaussian(values[k], *p) for lvl, p in lv.items()} for k, lv in shape.items()}
+    strength: dict[str, list[Column]] = {k: [] for k in CONFIDENCE}
+    for (s, d), outcome in RULES.items():
+        for c, level in zip(LEVELS, outcome, strict=True):
+            strength[level].append(F.least(m["synteny"][s], m["distance"][d], m["copies"][c]))
+    rules = F.array(*[F.greatest(*v) if len(v) > 1 else v[0] for v in strength.values()])
+    x = F.sequence(F.lit(0), F.lit(100))
+    curves = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in CONFIDENCE.values()])
+    height = F.transform(x, lambda i: F.array_max(F.zip_with(rules, curves, lambda r, k: F.least(r, F.exp(-F.pow(i - k["c"], F.lit(2)) / (2 * k["w"] * k["w"]))))))
+    top = F.aggregate(F.zip_with(x, height, lambda i, h: i * h), F.lit(0.0), lambda a, v: a + v)
+    return F.coalesce(F.try_divide(top, F.aggregate(height, F.lit(0.0), lambda a, v: a + v)), F.lit(0.0))
 
 
 def homoeolog_confidence(pairs: DataFrame, *, distance: str = "distance", synteny: str = "synteny", copies: str = "copy_nr") -> DataFrame:
     """``pairs`` with ``confidence``: fuzzy scores stretched so that they run from the smallest score to 100.
 
-    Equal inputs are scored once. Null inputs count as far, not syntenic and single copy.
+    Equal inputs are scored once. A null distance counts as the largest one, null synteny as none,
+    null copies as two. An empty table stays empty.
     """
-    filled = [F.coalesce(F.col(distance), F.lit(100.0)), F.coalesce(F.col(synteny), F.lit(0.0)), F.coalesce(F.col(copies), F.lit(2))]
-    keyed = pairs.withColumn("__d", filled[0]).withColumn("__s", filled[1]).withColumn("__c", filled[2])
-    scored = keyed.select("__d", "__s", "__c").distinct().withColumn("__f", fuzzy_confidence(F.col("__d"), F.col("__s"), F.col("__c")))
-    low, high = scored.agg(F.min("__f"), F.max("__f")).first()
-    if low is None:
+    keyed = pairs.withColumn("__s", F.coalesce(F.col(synteny), F.lit(0.0))).withColumn("__c", F.coalesce(F.col(copies), F.lit(2)))
+    far, median, most = keyed.agg(F.max(distance), F.median("__c"), F.max("__c")).first()
+    if most is None:
         return pairs.withColumn("confidence", F.lit(None).cast("double"))
+    far = float(far or 1.0)
+    keyed = keyed.withColumn("__d", F.coalesce(F.col(distance), F.lit(far)))
+    score = fuzzy_confidence(F.col("__d"), F.col("__s"), F.col("__c"), memberships(far, float(median), float(most)))
+    scored = keyed.select("__d", "__s", "__c").distinct().withColumn("__f", score)
+    low, high = scored.agg(F.min("__f"), F.max("__f")).first()
     spread = F.lit(100.0) if high == low else F.lit(low) + (F.col("__f") - low) * (100.0 - low) / (high - low)
     return keyed.join(scored, ["__d", "__s", "__c"]).withColumn("confidence", spread).drop("__d", "__s", "__c", "__f")
 

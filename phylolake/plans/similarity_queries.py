@@ -120,7 +120,7 @@ def mds_layout(s: Spark, sf: str) -> DataFrame:
 
 @R.query()
 def graph_fork_removal(s: Spark, sf: str) -> DataFrame:
-    return graphops.clean_graph(family_synteny(s, sf), min_importance=3.0)
+    return graphops.clean_graph(family_synteny(s, sf))
 
 
 @R.query(f"WITH {_EDGES} SELECT count(*) AS n_edges FROM ed WHERE node2 IS NOT NULL")
@@ -128,23 +128,23 @@ def synteny_edge_count(s: Spark, sf: str) -> DataFrame:
     return synteny.adjacent_edges(D.entry(s, sf)).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def _memb(x: str, c: float, w: float) -> str:
-    return f"exp(-pow({x} - {c!r}, 2) / {2 * w * w!r})"
-
-
 def _fuzzy_sql() -> str:
-    m = {k: {lv: _memb({"distance": "d", "synteny": "s", "copies": "c"}[k], *p) for lv, p in levels.items()} for k, levels in homoeology.MEMBERSHIPS.items()}
-    d, s, c = m["distance"], m["synteny"], m["copies"]
-    least, most = (lambda *a: f"least({', '.join(a)})"), (lambda *a: f"greatest({', '.join(a)})")
-    rules = {
-        "very_low": least(d["high"], s["low"], c["high"]), "low": most(least(d["high"], s["low"]), least(d["high"], c["high"]), least(s["low"], c["high"])),
-        "med": most(d["med"], s["med"], c["med"]), "high": most(least(d["low"], s["high"]), least(d["low"], c["low"]), least(s["high"], c["low"])), "very_high": least(d["low"], s["high"], c["low"]),
-    }
-    height = most(*[least(f"r_{k}", _memb("x", homoeology.OUTPUT[k], homoeology.OUTPUT_WIDTH)) for k in rules])
+    shape = {
+        "d": {"low": ("0.0", "mx / 10"), "med": ("mx / 4", "mx / 10"), "high": ("mx", "mx / 2.5")},
+        "s": {"low": ("0.0", "0.15"), "med": ("0.3", "0.15"), "high": ("1.0", "0.4")},
+        "c": {"low": ("md", "md"), "med": ("4 * md", "1.5 * md"), "high": ("mc", "mc / 2.5")},
+    }
+    member = {v: {k: f"exp(-pow({v} - ({c}), 2) / (2 * pow({w}, 2)))" for k, (c, w) in lv.items()} for v, lv in shape.items()}
+    parts = {k: [] for k in homoeology.CONFIDENCE}
+    for (sy, di), outcome in homoeology.RULES.items():
+        for co, level in zip(homoeology.LEVELS, outcome, strict=True):
+            parts[level].append(f"least({member['s'][sy]}, {member['d'][di]}, {member['c'][co]})")
+    rules = ", ".join(f"greatest({', '.join(v)}) AS r_{k}" for k, v in parts.items())
+    height = "greatest(" + ", ".join(f"least(r_{k}, exp(-pow(x - {c}, 2) / {2 * w * w}))" for k, (c, w) in homoeology.CONFIDENCE.items()) + ")"
     return f"""i AS (SELECT EntryNr1 AS entry_nr1, EntryNr2 AS entry_nr2, min(CASE WHEN Distance >= 0 THEN round(Distance::DOUBLE, 1) ELSE 100.0 END) AS d, max(CASE WHEN SyntenyConservationLocal >= 0 THEN round(SyntenyConservationLocal::DOUBLE, 1) ELSE 0.0 END) AS s
       FROM pairwise WHERE RelType = 5 AND EntryNr1 <> 0 AND EntryNr2 <> 0 AND EntryNr1 <> EntryNr2 GROUP BY 1, 2),
-    c AS (SELECT *, count(*) OVER (PARTITION BY entry_nr1) + count(*) OVER (PARTITION BY entry_nr2) AS c FROM i),
-    u AS (SELECT DISTINCT d, s, c FROM c), rr AS (SELECT d, s, c, {', '.join(f'{v} AS r_{k}' for k, v in rules.items())} FROM u),
+    c AS (SELECT *, count(*) OVER (PARTITION BY entry_nr1) + count(*) OVER (PARTITION BY entry_nr2) AS c FROM i), st AS (SELECT max(d) AS mx, median(c)::DOUBLE AS md, max(c)::DOUBLE AS mc FROM c),
+    rr AS (SELECT d, s, c, {rules} FROM (SELECT DISTINCT d, s, c FROM c), st),
     f AS (SELECT d, s, c, sum(x * {height}) / sum({height}) AS f FROM rr, (SELECT unnest(range(0, 101))::DOUBLE AS x) GROUP BY 1, 2, 3)"""
 
 
