@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phylolake.session import spill
+
 LEVELS = ("low", "med", "high")
 # Level of confidence for synteny and distance (rows) and low, medium or high copy number.
 RULES = {
@@ -64,7 +66,8 @@ def homoeolog_confidence(pairs: DataFrame, *, distance: str = "distance", synten
     far = float(far or 1.0)
     keyed = keyed.withColumn("__d", F.coalesce(F.col(distance), F.lit(far)))
     score = fuzzy_confidence(F.col("__d"), F.col("__s"), F.col("__c"), memberships(far, float(median), float(most)))
-    scored = keyed.select("__d", "__s", "__c").distinct().withColumn("__f", score)
+    inputs = keyed.select("__d", "__s", "__c").distinct().repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
+    scored = spill(inputs.withColumn("__f", score), "confidence")
     low, high = scored.agg(F.min("__f"), F.max("__f")).first()
     spread = F.lit(100.0) if high == low else F.lit(low) + (F.col("__f") - low) * (100.0 - low) / (high - low)
     return keyed.join(scored, ["__d", "__s", "__c"]).withColumn("confidence", spread).drop("__d", "__s", "__c", "__f")

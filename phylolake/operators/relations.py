@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.functions import hogid
+from phylolake.operators.skew import salted_sides
 
 # Relation types in the order of their codes.
 REL_TYPES = ("1:1", "1:n", "m:1", "m:n", "close paralog", "homeolog", "n/a")
@@ -55,29 +56,62 @@ def cardinality(pairs: DataFrame, left: str, right: str, left_by: list[str], rig
     return pairs.withColumn(name, F.concat(F.when(n_left > 1, "m").otherwise("1"), F.lit(":"), F.when(n_right > 1, "n").otherwise("1")))
 
 
-def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    return tuple(entries.select("fam", *[F.col(c).alias(f"{c}{i}") for c in columns]) for i in (1, 2))
+def _suffixed(df: DataFrame, i: int, keep: list[str]) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(f"{c}{i}") for c in df.columns if c not in keep])
 
 
-def induced_pairs(entries: DataFrame, *, same_genome: bool = False, orthologs: bool = True) -> DataFrame:
+def induced_pairs(entries: DataFrame, *, same_genome: bool = False, orthologs: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of family members whose ids stand for a speciation (or, ``orthologs=False``, a duplication).
 
     ``entries`` has (entry_nr, fam, hog_id, species_code, group_nr). Pairs are between genomes
-    with species_code1 < species_code2, or within one genome with entry_nr1 < entry_nr2. The
-    join key is the family; the test on the ids is a native expression.
+    with species_code1 < species_code2, or within one genome with entry_nr1 < entry_nr2; for orthologs
+    the columns in ``also`` come along for both ends.
+
+    Orthologs are most pairs of a family: the join on the root id is salted for large families,
+    and ids that differ in the number of their first step, or have none, need no
+    further comparison. Paralogs are few: they meet on the shared prefix and number
+    of the step whose letters differ, never in a whole family.
     """
-    e = entries.where("fam IS NOT NULL AND hog_id <> ''")
-    a, b = _sides(e, ["entry_nr", "hog_id", "species_code", "group_nr"])
+    t = hogid.tokens("hog_id")
+    e = entries.where("fam IS NOT NULL AND hog_id <> ''").select("entry_nr", "fam", "hog_id", "species_code", "group_nr", t[0].alias("root"), *also)
     apart = (F.col("species_code1") == F.col("species_code2")) & (F.col("entry_nr1") < F.col("entry_nr2")) if same_genome else F.col("species_code1") < F.col("species_code2")
-    test = hogid.are_orthologous("hog_id1", "hog_id2")
-    return a.join(b, "fam").where(apart & (test if orthologs else ~test))
+    if orthologs:
+        first = F.regexp_extract(F.coalesce(F.try_element_at(t, F.lit(2)), F.lit("")), r"^([0-9]+)", 1).try_cast("bigint")
+        left, right = salted_sides(e.withColumn("step", first), ["fam", "root"])
+        keep = ["fam", "root", "__salt"]
+        pairs = _suffixed(left, 1, keep).join(_suffixed(right, 2, keep), keep)
+        quick = F.col("step1").isNull() | F.col("step2").isNull() | (F.col("step1") != F.col("step2"))
+        test = F.when(quick, F.lit(True)).otherwise(hogid.are_orthologous("hog_id1", "hog_id2"))
+        return pairs.where(apart & test).drop("root", "__salt", "step1", "step2")
+    steps = e.withColumn("t", t).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("t")))).where("i > 1")
+    token = F.element_at("t", F.col("i"))
+    at = F.concat_ws(".", F.array_join(F.slice("t", F.lit(1), F.col("i") - 1), "."), F.regexp_extract(token, r"^([0-9]+)", 1))
+    keyed = steps.select("fam", "entry_nr", "hog_id", "species_code", "group_nr", at.alias("at"), token.alias("token"))
+    keep = ["fam", "at"]
+    pairs = _suffixed(keyed, 1, keep).join(_suffixed(keyed, 2, keep), keep)
+    return pairs.where(apart & (F.col("token1") != F.col("token2"))).drop("at", "token1", "token2")
 
 
 def induced_orthologs(entries: DataFrame) -> DataFrame:
-    """Induced pairs between genomes with their cardinality and the flat group both share (null: none)."""
-    pairs = cardinality(induced_pairs(entries), "entry_nr1", "entry_nr2", ["species_code1"], ["species_code2"])
+    """Induced pairs between genomes with their cardinality and the flat group both share (null: none).
+
+    The partners of an end within the other end's genome are the family members there
+    minus the paralogs among them. Both are known per entry before the pairs are made, so
+    the cardinality needs no further pass over the pairs.
+    """
+    root = hogid.tokens("hog_id")[0]
+    e = entries.where("fam IS NOT NULL AND hog_id <> ''").withColumn("__root", root)
+    own = e.groupBy("__root", "species_code").agg(F.count(F.lit(1)).alias("n_own"))
+    para = induced_pairs(entries, orthologs=False).select("entry_nr1", "entry_nr2", "species_code1", "species_code2")
+    both = para.select(F.col("entry_nr1").alias("entry_nr"), F.col("species_code2").alias("s")).unionByName(para.select(F.col("entry_nr2").alias("entry_nr"), F.col("species_code1").alias("s")))
+    maps = both.groupBy("entry_nr", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("entry_nr").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("paralogs"))
+    known = e.join(own, ["__root", "species_code"]).join(maps, "entry_nr", "left")
+    pairs = induced_pairs(known, also=("n_own", "paralogs"))
+    n_left = F.col("n_own1") - F.coalesce(F.try_element_at("paralogs2", F.col("species_code1")), F.lit(0))
+    n_right = F.col("n_own2") - F.coalesce(F.try_element_at("paralogs1", F.col("species_code2")), F.lit(0))
+    label = F.concat(F.when(n_left > 1, "m").otherwise("1"), F.lit(":"), F.when(n_right > 1, "n").otherwise("1"))
     shared = F.when((F.col("group_nr1") == F.col("group_nr2")) & (F.col("group_nr1") != 0), F.col("group_nr1"))
-    return pairs.select("entry_nr1", "entry_nr2", "species_code1", "species_code2", "fam", "rel_label", shared.alias("shared_group"))
+    return pairs.select("entry_nr1", "entry_nr2", "species_code1", "species_code2", "fam", label.alias("rel_label"), shared.alias("shared_group"))
 
 
 def induced_paralogs(entries: DataFrame, levels: DataFrame, tree_closure: DataFrame, *, taxid: str = "taxid", same_genome: bool = False) -> DataFrame:

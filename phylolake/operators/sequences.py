@@ -21,6 +21,9 @@ def substring_rows(df: DataFrame, column: str, query: str, *, ignore_case: bool
     q = query.lower() if ignore_case else query
     if not q:
         return df.where(F.lit(False)).withColumn("occurrences", F.lit(0))
+    if not any(q.startswith(q[k:]) for k in range(1, len(q))):  # occurrences cannot overlap
+        n = (F.length(c) - F.length(F.replace(c, F.lit(q), F.lit("")))) / len(q)
+        return df.where(c.contains(q)).withColumn("occurrences", n.cast("int"))
     starts = F.filter(F.sequence(F.lit(1), F.length(c) - len(q) + 1), lambda i: F.substring(c, i, F.lit(len(q))) == q)
     return df.where(c.contains(q)).withColumn("occurrences", F.size(starts))
 
@@ -119,7 +122,8 @@ def align_pairs(pairs: DataFrame, a: str, b: str, *, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([s for s, _ in out], pa.float64()), pa.array([i for _, i in out], pa.float64())], names=[*keep, "score", "identity"])
 
     schema = rest.add("score", "double").add("identity", "double")
-    return pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b"), *keep).mapInArrow(run, schema)
+    spread = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)  # few rows, much work in each
+    return spread.select(F.col(a).alias("__a"), F.col(b).alias("__b"), *keep).mapInArrow(run, schema)
 
 
 def approximate_search(queries: DataFrame, sequences: DataFrame, *, query_id: str = "query_id", query: str = "query", id_col: str = "seq_id", seq: str = "seq", n: int = 50, k: int = 6, coverage: float = 0.0) -> DataFrame:

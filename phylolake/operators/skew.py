@@ -72,3 +72,23 @@ def dominant_keys(df: DataFrame, key: str, share_percent: int, **tree) -> DataFr
         counts.where(F.col(key).isNotNull() & (F.col("n_rows") * 100 >= F.lit(total * share_percent)))
         .select(key, "n_rows", F.lit(total).cast("bigint").alias("n_total"))
     )
+
+
+def salted_sides(df: DataFrame, keys: list[str], *, rows_per_salt: int = 500, max_heavy: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Two copies of ``df`` for a self-join on ``keys`` and ``__salt`` that splits heavy keys over many tasks.
+
+    The left copy gives every row one salt, the right one repeats the rows of
+    heavy keys for each salt, so every pair of rows with equal keys meets exactly once. Keys are heavy
+    from max(``rows_per_salt``, rows / ``max_heavy``) rows on: at most ``max_heavy`` of them are broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    limit = max(rows_per_salt, df.count() // max_heavy)
+    heavy = counts.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / rows_per_salt).cast("int").alias("__salts"))
+    sized = df.join(F.broadcast(heavy), keys, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    others = [c for c, kind in df.dtypes if c not in keys and not kind.startswith("map")]
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    left = sized.withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")
+    right = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    # a fixed number of partitions: the inputs are small beside the pairs they make, coalescing would undo the spread
+    return left.repartition(n, *keys, "__salt"), right.repartition(n, *keys, "__salt")
