@@ -39,7 +39,7 @@ def closure(edges: DataFrame, child: str, parent: str, nodes: DataFrame | None =
         m = grown.count()
         reach = grown
         if m == n:
-            if reach.agg(F.max("dist")).first()[0] > max_depth:
+            if (reach.agg(F.max("dist")).first()[0] or 0) > max_depth:
                 raise InvalidTaxonomy(f"a lineage is longer than {max_depth}")
             return reach
         n = m

@@ -51,7 +51,7 @@ def write_gaf(gaf: DataFrame, path: str, *, mode: str = "overwrite") -> None:
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(["!gaf-version: 2.1"])], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(["!gaf-version: 2.1"], b.schema.field(0).type)], schema=b.schema)
                 first = False
             yield b
 
