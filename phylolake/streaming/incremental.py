@@ -18,20 +18,28 @@ class OrphanMonitor:
 
     Each micro-batch is folded into the state table under ``folder`` with
     :func:`orphans.apply_deltas`; versions are written side by side and named by
-    batch, so a replayed batch overwrites its own version only.
+    batch, so a replayed batch is recognised.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.version: int | None = None
+        self.version = self._latest()
+
+    def _latest(self) -> int | None:
+        """Newest complete version in the folder, so a restarted driver goes on where it stopped."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state-*/_SUCCESS")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        names = [f.getPath().getParent().getName() for f in found or []]
+        return max((int(n.rpartition("-")[2]) for n in names), default=None)
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/state-{version:012d}"
 
     def fold(self, deltas: DataFrame, version: int) -> None:
         """Write state ``version`` from the latest one before it and the deltas."""
-        before = self.state() if self.version is not None and self.version < version else None
-        orphans.apply_deltas(before, deltas).write.mode("overwrite").parquet(self._path(version))
+        if self.version is not None and version <= self.version:
+            return  # a replayed batch is already in the state
+        orphans.apply_deltas(self.state(), deltas).write.mode("overwrite").parquet(self._path(version))
         self.version = version
 
     def state(self) -> DataFrame | None:
