@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylolake.session import work_slots
+
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -86,9 +88,21 @@ def salted_sides(df: DataFrame, keys: list[str], *, rows_per_salt: int = 500, ma
     heavy = counts.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / rows_per_salt).cast("int").alias("__salts"))
     sized = df.join(F.broadcast(heavy), keys, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
     others = [c for c, kind in df.dtypes if c not in keys and not kind.startswith("map")]
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    n = work_slots(df.sparkSession)
     left = sized.withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")
     right = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     # a fixed number of partitions: the inputs are small beside the pairs they make, coalescing would undo the spread
     return left.repartition(n, *keys, "__salt"), right.repartition(n, *keys, "__salt")
+
+
+def skewed_lookup(rows: DataFrame, dim: DataFrame, on: list[str], *, max_heavy: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with ``dim`` (one row per key) when a few keys hold most rows.
+
+    The at most ``max_heavy`` keys with more than rows / ``max_heavy`` rows meet their
+    ``dim`` rows by broadcast and are never shuffled; all others by a hash join.
+    """
+    total = rows.count()
+    heavy = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1000, total // max_heavy)).drop("__n")
+    heavy_dim = F.broadcast(dim.join(F.broadcast(heavy), on, "left_semi"))
+    light = rows.join(F.broadcast(heavy), on, "left_anti").join(dim, on)
+    return rows.join(heavy_dim, on).unionByName(light)

@@ -87,3 +87,14 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def work_slots(spark: SparkSession) -> int:
+    """Partitions that keep all cores busy with work that is heavy per row."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread_work(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for heavy work per row; a scan that has them already is not moved."""
+    spark = df.sparkSession
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(work_slots(spark))
