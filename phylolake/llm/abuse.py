@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from phylolake.llm import abuse_lexicon as L
 from phylolake.llm import text as T
 from phylolake.llm.noisy_channel import CharacterModel, Restorer
-from phylolake.session import ship_package
+from phylolake.session import ship_package, spread_work
 
 MAX_LABELLED = 20_000  # reviewed documents the classifier is fitted to, at most
 PHRASE_WEIGHT = 2.2
@@ -207,4 +207,4 @@ def abuse_scores(
             )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text))
-    return rows.mapInArrow(run, "doc_id bigint, score double, kind string")
+    return spread_work(rows).mapInArrow(run, "doc_id bigint, score double, kind string")

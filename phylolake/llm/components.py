@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylolake.operators.skew import skewed_lookup
 from phylolake.session import discard, spill
 
 
@@ -35,7 +36,7 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
         F.when(F.col("inner") & onward.isNull(), F.least("v", "w")).otherwise(F.col("v")).alias("low"),
         F.when(F.col("inner").isNull(), F.col("w")).alias("end"),
     )
-    state = spill(state, "arcs")
+    state = spill(state.withColumn("sank", F.lit(False)), "arcs")
     open_arcs = state.where("pv IS NOT NULL").count()
     while open_arcs:
         to = state.select(F.col("v").alias("pv"), F.col("w").alias("pw"), F.col("pv").alias("qv"), F.col("pw").alias("qw"), F.col("low").alias("qlow"), F.col("end").alias("qend"))
@@ -43,10 +44,9 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
             "v", "w", F.col("qv").alias("pv"), F.col("qw").alias("pw"), F.least("low", "qlow").alias("low"), F.col("qend").alias("end"),
             (F.col("qlow") < F.col("low")).alias("sank"),
         )
-        moved = spill(moved, "doubled")
-        n, sank = moved.where("pv IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("sank").cast("int")), F.lit(0))).first()
-        new = spill(state.where("pv IS NULL").unionByName(moved.drop("sank")), "arcs")
-        discard(state, moved)
+        new = spill(state.where("pv IS NULL").unionByName(moved), "arcs")
+        n, sank = new.where("pv IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("sank").cast("int")), F.lit(0))).first()
+        discard(state)
         state = new
         if n == open_arcs and not sank:
             break  # a round that ends no arc leaves only rings, and their minimum is settled
@@ -123,5 +123,5 @@ def connected_groups(links: DataFrame, a: str, b: str, *, rounds: int = 6, least
         restored = out.join(known, "parent", "left").select("v", F.coalesce("label", "parent").alias("label"))
         labels = spill(labels.unionByName(restored), "labels")
     lowest = labels.groupBy("label").agg(F.least(F.min("v"), F.first("label")).alias("group"))
-    members = labels.join(lowest, "label").select(F.col("v").alias("vertex"), "group")
+    members = skewed_lookup(labels, lowest, ["label"]).select(F.col("v").alias("vertex"), "group")
     return members.unionByName(lowest.select(F.col("label").alias("vertex"), "group"))

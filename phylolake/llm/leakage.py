@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from phylolake.errors import BoundExceeded
 from phylolake.llm import text as T
 from phylolake.llm.fm_index import FMIndex
-from phylolake.session import ship_package
+from phylolake.session import ship_package, spread_work
 
 SEED = 5  # 20 words with 3 of them wrong still hold an intact run of 5
 BAND = 8  # words inserted or dropped before an alignment leaves its diagonal
@@ -245,7 +245,7 @@ def leaked_passages(
 
     ship_package(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text))
-    found = rows.mapInArrow(run, "doc bigint, item bigint, first_word int, last_word int")
+    found = spread_work(rows).mapInArrow(run, "doc bigint, item bigint, first_word int, last_word int")
     return found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylolake.errors import BoundExceeded
-from phylolake.session import ship_package, spill
+from phylolake.session import ship_package, spill, spread_work
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BINS = 4096  # the fractional pass of a source is cut at one of this many hash bins
@@ -38,7 +38,7 @@ def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER, name: str
                 n += [len(e.ids) for e in tok.encode_batch([t or "" for t in texts[lo : lo + 256]], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], names=[*rest, name])
 
-    return df.select(text, *rest).mapInArrow(count, schema)
+    return spread_work(df.select(text, *rest)).mapInArrow(count, schema)
 
 
 def source_key(col) -> Column:

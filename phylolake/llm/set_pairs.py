@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylolake.session import ship_package, spill
+from phylolake.operators.skew import skewed_lookup
+from phylolake.session import ship_package, spill, work_slots
 
 DEPTHS = (4, 6, 8, 12, 16)
 WORDS = 4  # 64-bit words of the bit vector
@@ -164,8 +165,9 @@ def similar_set_pairs(
     rows = members(left, 0) if right is None else members(left, 0).unionByName(members(right, 1))
     rows = rows.dropDuplicates(["id", "side", "items"])
     keyed = rows.withColumn("own", F.col("id") if right is None else F.col("id") * 2 + F.col("side"))
-    sets = spill(keyed.groupBy("items").agg(F.min("own").alias("sid")), "sets")
-    member = keyed.join(sets, "items").select("sid", "id", "side")
+    found_sets = keyed.groupBy("items").agg(F.min("own").alias("sid"))
+    sets = spill(found_sets.repartition(work_slots(left.sparkSession)), "sets")  # small rows, much work in each
+    member = skewed_lookup(keyed, sets, ["items"]).select("sid", "id", "side")
     pairs, todo = None, sets
     for f in range(forests):
         found, todo = _forest(todo, threshold, recall, f + 1, None if f + 1 == forests else group_limit * 4**f)
