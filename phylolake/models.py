@@ -140,6 +140,31 @@ class Hog(_Model):
         return sorted(r.level for r in self.release.table("hog_level").where(F.col("hog_id") == self.row.hog_id).select("level").collect())
 
 
+@dataclass(eq=False)
+class FlatGroup(_Model):
+    """Row of the group metadata."""
+
+    @cached_property
+    def members(self) -> list[int]:
+        return sorted(r.entry_nr for r in self.release.flat_group_members(self.row.group_nr).select("entry_nr").collect())
+
+    def __len__(self):
+        return len(self.members)
+
+
+@dataclass(eq=False)
+class Annotation(_Model):
+    """Row of the term annotations."""
+
+    @property
+    def term_id(self) -> str:
+        return f"GO:{self.row.term_nr:07d}"
+
+    @cached_property
+    def term(self) -> Row | None:
+        return self.release.table("go_term").where(F.col("term_nr") == self.row.term_nr).first()
+
+
 @dataclass(eq=False)
 class PairwiseRelation(_Model):
     @property

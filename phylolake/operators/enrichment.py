@@ -67,3 +67,19 @@ def enrichment(annotations: DataFrame, study: DataFrame, go_closure: DataFrame,
         "term_nr", F.col("a").alias("study_count"), F.col("n").alias("study_n"), F.col("k").alias("pop_count"), F.col("total").alias("pop_n"), fold.alias("fold_change"), "p", "p_bonferroni", "p_fdr"
     )
     return out if alpha is None else out.where(F.col("p_fdr") < alpha)
+
+
+def term_layout(terms: DataFrame, go_closure: DataFrame, freq: DataFrame, *, dimensions: int = 2) -> DataFrame:
+    """(aspect, term_nr, x0, x1): terms placed by 10 (1 - similarity), one layout per aspect.
+
+    For result lists of an enrichment (hundreds of terms); all pairs of an aspect are compared.
+    """
+    from phylolake.operators.ontology import pair_similarity
+    from phylolake.operators.similarity import mds_layout
+
+    known = terms.select("term_nr").distinct().join(freq.select("term_nr", "aspect"), "term_nr")
+    a, b = known.toDF("t1", "aspect"), known.toDF("t2", "aspect")
+    pairs = a.join(b, "aspect").where("t1 < t2")
+    scored = pair_similarity(pairs.select("t1", "t2"), go_closure, freq).join(pairs, ["t1", "t2"])
+    d = scored.withColumn("d", 10 * (1 - F.coalesce("similarity", F.lit(0.0))))
+    return mds_layout(d, known, group="aspect", node="term_nr", a="t1", b="t2", distance="d", dimensions=dimensions, missing=10.0).withColumnRenamed("g", "aspect").withColumnRenamed("node", "term_nr")

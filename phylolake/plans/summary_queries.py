@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phylolake.functions import hogid
 from phylolake.operators import annotations, scans, summary
 from phylolake.operators.snapshots import latest_delivery
+from phylolake.plans import build
 from phylolake.plans import domain as D
 from phylolake.plans.registry import Registry
 from phylolake.session import table
@@ -114,4 +115,33 @@ def events_per_day(s: Spark, sf: str) -> DataFrame:
     return incremental.windowed_counts(table(s, sf, "events")).withColumn("total", F.round("total", 4))
 
 
+@R.query("SELECT species_code, CAST(coalesce(sum(tot_entries) OVER (ORDER BY species_code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS entry_off FROM genome_v")
+def genome_offsets(s: Spark, sf: str) -> DataFrame:
+    return build.genome_offsets(D.genome(s, sf).drop("entry_off")).select("species_code", "entry_off")
+
+
+@R.query("SELECT entry_nr, string_agg(DISTINCT xref_id, '; ' ORDER BY xref_id) AS description FROM xref_v WHERE source IN (110, 115) GROUP BY 1")
+def joined_names(s: Spark, sf: str) -> DataFrame:
+    return annotations.concat_descriptions(D.xref(s, sf).where("source IN (110, 115)"), "entry_nr", "xref_id")
+
+
+@R.query("""WITH p AS (SELECT p.entry_nr1, p.entry_nr2, a.species_code AS s1, b.species_code AS s2, CASE WHEN p.score > 500 THEN 6 ELSE rel_type END AS rt FROM pair_v p JOIN entry_v a ON a.entry_nr = p.entry_nr1 JOIN entry_v b ON b.entry_nr = p.entry_nr2 WHERE rel_type <= 3),
+  c AS (SELECT *, count(*) OVER (PARTITION BY entry_nr2, s1) AS m, count(*) OVER (PARTITION BY entry_nr1, s2) AS n FROM p) SELECT entry_nr1, entry_nr2, CAST(CASE WHEN rt <> 6 THEN rt WHEN m > 1 AND n > 1 THEN 3 WHEN m > 1 THEN 2 WHEN n > 1 THEN 1 ELSE 0 END AS INT) AS rel_type FROM c""")
+def inferred_types(s: Spark, sf: str) -> DataFrame:
+    """Unknown relation types (here: of high scores) filled in from the pairs themselves."""
+    p = D.pair(s, sf).where("rel_type <= 3").withColumn("rel_type", F.when(F.col("score") > 500, 6).otherwise(F.col("rel_type")))
+    return build.typed_relations(p, D.entry(s, sf)).select("entry_nr1", "entry_nr2", F.col("rel_type").cast("int").alias("rel_type"))
+
+
+@R.query("""WITH lv AS (SELECT DISTINCT h.fam, h.hog_id, l.rn FROM hog_v h JOIN level_v l USING (level)), n AS (SELECT fam, rn, count(DISTINCT hog_id) AS n FROM lv GROUP BY 1, 2),
+  j AS (SELECT a.fam, l.rn, a.n AS na, b.n FROM n a JOIN level_v l ON l.rn // 2 = a.rn LEFT JOIN n b ON b.fam = a.fam AND b.rn = l.rn)
+  SELECT event, count(*) AS n FROM (SELECT 'presence' AS event FROM n UNION ALL SELECT 'loss' FROM j WHERE n IS NULL UNION ALL SELECT 'duplication' FROM j WHERE n > na) GROUP BY 1""")
+def profile_events(s: Spark, sf: str) -> DataFrame:
+    """Presence, losses and duplications of all families over the level tree."""
+    lv = D.levels(s, sf)
+    levels = D.hog(s, sf).join(lv, "level").select("fam", "hog_id", F.col("rn").alias("taxid")).distinct()
+    tree = lv.select(F.col("rn").alias("taxid"), F.floor(F.col("rn") / 2).cast("int").alias("parent_taxid"))
+    return build.tree_profiles(levels, tree).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES, ORACLE = R.queries, R.sql
