@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words between a species name and its strain.
-STRAIN_MARKERS = ("strain", "str.", "subsp.", "serovar", "biovar", "isolate", "cultivar", "pv.", "var.", "(")
+# Marks of a strain inside a scientific name; in names of one species an O does as well.
+STRAIN_MARKERS = ("(", "serogroup", "serotype", "serovar", "biotype", "subsp", "pv.", "bv.")
+STRAIN_O_SPECIES = "Escherichia coli"
 # Date formats of release files.
-DATE_FORMATS = ("dd-MMM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "MMM-yyyy", "MMM dd, yyyy", "dd-MM-yyyy", "yyyyMMdd")
+DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "dd.MM.yyyy", "yyyyMMdd", "yyyy-MM-dd", "dd-MM-yyyy", "dd-MMM-yyyy")
 
 
 def _c(col) -> Column:
@@ -36,15 +37,22 @@ def before_species_suffix(col) -> Column:
     return F.substring_index(_c(col), "_", 1)
 
 
+def _strain_start(c: Column) -> Column:
+    """Position of the first strain mark (from 1); one past the end if there is none."""
+    end = F.length(c) + 1
+    at = [F.instr(c, m) for m in STRAIN_MARKERS] + [F.when(c.startswith(STRAIN_O_SPECIES), F.instr(c, "O")).otherwise(0)]
+    return F.least(end, *[F.when(a > 0, a) for a in at])
+
+
 def species_part(col) -> Column:
-    """Scientific name up to the first strain marker."""
-    markers = "|".join(m.replace(".", r"\.").replace("(", r"\(") for m in STRAIN_MARKERS)
-    return F.trim(F.regexp_replace(_c(col), rf"\s+(?:{markers}).*$", ""))
+    """Scientific name up to the first strain mark."""
+    c = _c(col)
+    return F.trim(F.substring(c, F.lit(1), _strain_start(c) - 1))
 
 
 def strain_part(col) -> Column:
     c = _c(col)
-    return F.trim(F.substring(c, F.length(species_part(c)) + F.lit(1), F.length(c)))
+    return F.substring(c, _strain_start(c), F.length(c))
 
 
 def newick_label(col) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylolake.operators.ontology import CURATED_NON_EXPERIMENTAL, EXPERIMENTAL, aspect_letter, term_id
+from phylolake.operators.ontology import EXPERIMENTAL, HIGH_THROUGHPUT, aspect_letter, term_id
 
 
 def entries_with(annotations: DataFrame, column: str, value, *, evidence: str | None = None, allowed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -62,23 +62,29 @@ def to_gaf(annotations: DataFrame, entries: DataFrame, terms: DataFrame, *, db:
     return j.select(*[v.alias(n) for v, n in zip(values, GAF_COLUMNS, strict=True)])
 
 
-def evidence_summary(annotations: DataFrame) -> DataFrame:
-    """One row: distinct annotations and annotated proteins, in all and by class of evidence."""
+def evidence_summary(annotations: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: distinct annotations (entry and term) in all and by class of evidence (experimental, curated
+    by other means, electronic; an annotation may be in several), and annotated proteins in all, in flat and in hierarchical groups."""
     ev = F.col("evidence")
-    per = annotations.groupBy("entry_nr", "term_nr").agg(F.max(F.when(ev.isin(*EXPERIMENTAL), 1).otherwise(0)).alias("x"), F.max(F.when(ev.isin(*CURATED_NON_EXPERIMENTAL), 1).otherwise(0)).alias("c"))
-    entry = per.groupBy("entry_nr").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("c").alias("c"))
-    return entry.agg(
-        F.sum("n").alias("annotations"), F.sum("x").alias("experimental"), F.sum("c").alias("curated"), F.count(F.lit(1)).alias("proteins"),
-        F.count(F.when(F.col("x") > 0, 1)).alias("proteins_experimental"), F.count(F.when(F.col("c") > 0, 1)).alias("proteins_curated"),
+    flag = lambda c: F.max(F.when(c, 1).otherwise(0))
+    per = annotations.groupBy("entry_nr", "term_nr").agg(
+        flag(ev.isin(*EXPERIMENTAL)).alias("x"), flag((ev != "IEA") & ~ev.isin(*EXPERIMENTAL)).alias("c"), flag(ev == "IEA").alias("e")
+    )
+    entry = per.groupBy("entry_nr").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in "xce"])
+    j = entry.join(entries.select("entry_nr", "group_nr", "hog_id"), "entry_nr")
+    return j.agg(
+        F.sum("n").alias("annotations"), F.sum("x").alias("experimental"), F.sum("c").alias("curated"), F.sum("e").alias("electronic"), F.count(F.lit(1)).alias("proteins"),
+        F.count(F.when(F.col("group_nr") != 0, 1)).alias("proteins_in_group"), F.count(F.when(F.col("hog_id") != "", 1)).alias("proteins_in_hog"),
     )
 
 
 def genome_importance(annotations: DataFrame, entries: DataFrame) -> DataFrame:
-    """(species_code, n_exp, n_cur, priority): genomes ranked by experimental, then curated annotations (0 is best)."""
+    """(species_code, n_exp, n_cur, priority): genomes ranked by experimental, then other non-electronic annotations (0 is best)."""
     from pyspark.sql import Window
 
     ev = F.col("evidence")
-    per = annotations.groupBy("entry_nr").agg(F.count(F.when(ev.isin(*EXPERIMENTAL), 1)).alias("n_exp"), F.count(F.when(~ev.isin("IEA", "ND", ""), 1)).alias("n_cur"))
+    strong = ev.isin(*EXPERIMENTAL, *HIGH_THROUGHPUT)
+    per = annotations.where(ev != "IEA").groupBy("entry_nr").agg(F.count(F.when(strong, 1)).alias("n_exp"), F.count(F.when(~strong, 1)).alias("n_cur"))
     g = entries.select("entry_nr", "species_code").join(per, "entry_nr", "left").groupBy("species_code").agg(F.coalesce(F.sum("n_exp"), F.lit(0)).alias("n_exp"), F.coalesce(F.sum("n_cur"), F.lit(0)).alias("n_cur"))
     return g.withColumn("priority", F.row_number().over(Window.orderBy(F.desc("n_exp"), F.desc("n_cur"), "species_code")) - 1)
 

@@ -14,10 +14,14 @@ from phylolake.functions import strings
 SOURCES = {
     "UniProtKB/SwissProt": 0, "UniProtKB/TrEMBL": 10, "Ensembl Protein": 20, "Ensembl Gene": 25, "Ensembl Transcript": 30, "RefSeq": 40, "EntrezGene": 50,
     "FlyBase": 60, "WormBase": 65, "EnsemblGenomes": 70, "NCBI": 75, "EMBL": 80, "SourceID": 95, "SourceAC": 100, "HGNC": 105, "Gene Name": 110,
-    "Synonym": 115, "Protein Name": 120, "ORF Name": 125, "Ordered Locus Name": 130, "n/a": 255,
+    "Synonym": 115, "Protein Name": 120, "ORF Name": 125, "Ordered Locus Name": 130, "PDB": 148, "Swiss Model": 150, "STRING": 151, "neXtProt": 152,
+    "Bgee": 153, "EPD": 154, "ChEMBL": 156, "GlyConnect": 157, "SwissPalm": 158, "DisGeNET": 159, "WikiGene": 160, "IPI": 240, "GI": 241, "n/a": 255,
 }
 VERIFICATION = {"exact": 0, "unchecked": 2, "modified": 4}
 UNSPECIFIC = 50_000
+# Sources of canonical ids, best first, and sources that make a protein well referenced.
+CANONICAL_ORDER = ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Gene", "Ensembl Protein", "FlyBase", "WormBase", "EnsemblGenomes", "RefSeq", "SourceID")
+TRUSTED_SOURCES = ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "RefSeq", "EntrezGene", "Ensembl Gene", "Ensembl Protein")
 
 
 @dataclass(frozen=True)
@@ -41,17 +45,18 @@ class Mapper:
         return out
 
 
+# Sources of the named mappers, in their order of preference, and link prefixes.
 MAPPERS = {
     m.name: m
     for m in (
         Mapper("all", None, "modified"),
         Mapper("uniprot", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL")),
         Mapper("no_approximate", None, "unchecked"),
-        Mapper("gene_name_or_symbol", ("HGNC", "Gene Name", "Synonym", "Protein Name", "Ordered Locus Name", "ORF Name")),
-        Mapper("gene_name_and_main", ("UniProtKB/SwissProt", "Ensembl Gene", "RefSeq", "EntrezGene", "FlyBase", "WormBase", "HGNC", "Gene Name")),
-        Mapper("linkout", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "EntrezGene", "Ensembl Gene"), "unchecked",
-               (("UniProtKB/SwissProt", "https://www.uniprot.org/uniprot/"), ("UniProtKB/TrEMBL", "https://www.uniprot.org/uniprot/"),
-                ("EntrezGene", "https://www.ncbi.nlm.nih.gov/gene/"), ("Ensembl Gene", "https://ensembl.org/id/"))),
+        Mapper("gene_name_or_symbol", ("Gene Name", "UniProtKB/SwissProt", "UniProtKB/TrEMBL", "HGNC", "SourceID")),
+        Mapper("gene_name_and_main", ("Gene Name", "UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Gene", "RefSeq", "EntrezGene", "SourceID")),
+        Mapper("linkout", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Protein", "Ensembl Gene", "EntrezGene"), "unchecked",
+               (("UniProtKB/SwissProt", "http://uniprot.org/uniprot/"), ("UniProtKB/TrEMBL", "http://uniprot.org/uniprot/"), ("Ensembl Protein", "http://ensembl.org/id/"),
+                ("Ensembl Gene", "http://ensembl.org/id/"), ("EntrezGene", "http://www.ncbi.nlm.nih.gov/gene/"))),
     )
 }
 
@@ -81,6 +86,13 @@ def best_per_entry(xrefs: DataFrame) -> DataFrame:
     return xrefs.groupBy("entry_nr").agg(F.min(F.struct("source", "xref_id")).alias("b")).select("entry_nr", "b.source", "b.xref_id")
 
 
+def xref_summary(xrefs: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: proteins with a cross-reference of a trusted source, in all, in a flat group, in a hierarchical group."""
+    ok = xrefs.where(F.col("source").isin([SOURCES[s] for s in TRUSTED_SOURCES])).select("entry_nr").distinct()
+    j = entries.select("entry_nr", "group_nr", "hog_id").join(ok, "entry_nr", "left_semi")
+    return j.agg(F.count(F.lit(1)).alias("proteins"), F.count(F.when(F.col("group_nr") != 0, 1)).alias("in_group"), F.count(F.when(F.col("hog_id") != "", 1)).alias("in_hog"))
+
+
 def canonical(xrefs: DataFrame, entries: DataFrame, ranked: list[int]) -> DataFrame:
     """(entry_nr, canonical_id): id of the best ranked source, at most unchecked; '' without any."""
     rank = F.array_position(F.array(*[F.lit(s) for s in ranked]), F.col("source"))

@@ -48,16 +48,23 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str
     return j.where((F.col(al) <= F.col(bh)) & (F.col(bl) <= F.col(ah)) & (F.floor(F.greatest(al, bl) / width) == F.col("__bin"))).drop("__bin")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, right_key: str, value: str, by: list[str] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, right_key: str, value: str, *, width: int, by: list[str] | None = None) -> DataFrame:
     """``left`` with ``value`` of the nearest row of ``right`` whose key is not above (null: none).
 
-    Both sides are merged and the last value is carried forward within ``by``; with
-    ties the largest value of the same key counts.
+    Keys are cut into bins of ``width``: inside a bin the last value is carried forward, and
+    what the bin starts with is carried over the (few) bins. With ties the largest
+    value of the same key counts; rows of ``left`` without a key get null.
     """
     by = by or []
-    r = right.groupBy(*by, F.col(right_key).alias(key)).agg(F.max(value).alias(value)).withColumn("__side", F.lit(0))
-    every = r.unionByName(left.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = w.orderBy(key, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.last(F.when(F.col("__side") == 0, F.col(value)), ignorenulls=True).over(w)
-    return every.withColumn(value, carried).where("__side = 1").drop("__side")
+    bin_ = lambda c: F.floor(F.col(c) / width)
+    r = right.groupBy(*by, F.col(right_key).alias(key)).agg(F.max(value).alias(value)).withColumn("__bin", bin_(key)).withColumn("__side", F.lit(0))
+    lf = left.withColumn("__bin", bin_(key)).withColumn("__side", F.lit(1))
+    here = Window.partitionBy(*by, "__bin").orderBy(key, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last(F.when(F.col("__side") == 0, F.col(value)), ignorenulls=True).over(here)
+    rows = r.unionByName(lf, allowMissingColumns=True).withColumn("__in", carried).where("__side = 1")
+    bins = lf.select(*by, "__bin").distinct().withColumn("__last", F.lit(None).cast(right.schema[value].dataType))
+    bins = bins.unionByName(r.groupBy(*by, "__bin").agg(F.max_by(value, key).alias("__last"))).groupBy(*by, "__bin").agg(F.max("__last").alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = bins.select(*by, "__bin", F.last("__last", ignorenulls=True).over(before).alias("__start"))
+    out = rows.join(start, [*by, "__bin"], "left").withColumn(value, F.coalesce("__in", "__start"))
+    return out.drop("__bin", "__side", "__in", "__start")

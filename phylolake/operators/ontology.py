@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Evidence codes by class, and reference codes of reviewed electronic annotation.
-EXPERIMENTAL = ("EXP", "IDA", "IEP", "IGI", "IMP", "IPI")
-CURATED_NON_EXPERIMENTAL = ("IBA", "IC", "ISA", "ISM", "ISO", "ISS", "NAS", "RCA", "TAS")
-TRUSTED_ELECTRONIC_REFS = ("GO_REF:0000003", "GO_REF:0000004", "GO_REF:0000019", "GO_REF:0000020", "GO_REF:0000023", "GO_REF:0000024")
+# Evidence codes of experiments, those that also count as such from high-throughput work, and
+# references of reviewed electronic annotation.
+EXPERIMENTAL = ("EXP", "IDA", "IPI", "IMP", "IGI", "IEP")
+HIGH_THROUGHPUT = ("HTP", "HDA", "HMP", "HGI", "HEP")
+TRUSTED_ELECTRONIC_REFS = (
+    "GO_REF:0000002", "GOA:interpro", "GOA:interpro|GO_REF:0000002", "GO_REF:0000003", "GOA:spec", "GOA:spec|GO_REF:0000003", "GO_REF:0000004", "GOA:spkw",
+    "GOA:spkw|GO_REF:0000004", "GO_REF:0000037", "GO_REF:0000038", "GO_REF:0000023", "GOA:spsl", "GOA:spsl|GO_REF:0000023", "GO_REF:0000039", "GO_REF:0000040",
+)
 ASPECTS = {"biological_process": "P", "molecular_function": "F", "cellular_component": "C"}
 
 

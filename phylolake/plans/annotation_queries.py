@@ -77,17 +77,17 @@ def go_most_specific(s: Spark, sf: str) -> DataFrame:
 
 
 _EXP = "('EXP','IDA','IEP','IGI','IMP','IPI')"
-_CUR = "('IBA','IC','ISA','ISM','ISO','ISS','NAS','RCA','TAS')"
+_STRONG = "('EXP','IDA','IPI','IMP','IGI','IEP','HTP','HDA','HMP','HGI','HEP')"
 
 
-@R.query(f"""WITH p AS (SELECT entry_nr, term_nr, max((evidence IN {_EXP})::INT) AS x, max((evidence IN {_CUR})::INT) AS c FROM go_v GROUP BY 1, 2), e AS (SELECT entry_nr, count(*) AS n, sum(x) AS x, sum(c) AS c FROM p GROUP BY 1)
-  SELECT CAST(sum(n) AS BIGINT) AS annotations, CAST(sum(x) AS BIGINT) AS experimental, CAST(sum(c) AS BIGINT) AS curated, count(*) AS proteins, count(*) FILTER (WHERE x > 0) AS proteins_experimental, count(*) FILTER (WHERE c > 0) AS proteins_curated FROM e""")
+@R.query(f"""WITH p AS (SELECT entry_nr, term_nr, max((evidence IN {_EXP})::INT) AS x, max((evidence <> 'IEA' AND evidence NOT IN {_EXP})::INT) AS c, max((evidence = 'IEA')::INT) AS e FROM go_v GROUP BY 1, 2), a AS (SELECT entry_nr, count(*) AS n, sum(x) AS x, sum(c) AS c, sum(e) AS e FROM p GROUP BY 1)
+  SELECT CAST(sum(n) AS BIGINT) AS annotations, CAST(sum(x) AS BIGINT) AS experimental, CAST(sum(c) AS BIGINT) AS curated, CAST(sum(e) AS BIGINT) AS electronic, count(*) AS proteins, count(*) FILTER (WHERE group_nr <> 0) AS proteins_in_group, count(*) FILTER (WHERE hog_id <> '') AS proteins_in_hog FROM a JOIN entry_v USING (entry_nr)""")
 def evidence_summary(s: Spark, sf: str) -> DataFrame:
-    return A.evidence_summary(D.go(s, sf))
+    return A.evidence_summary(D.go(s, sf), D.entry(s, sf))
 
 
-@R.query(f"""SELECT species_code, n_exp, n_cur, row_number() OVER (ORDER BY n_exp DESC, n_cur DESC, species_code) - 1 AS priority FROM (SELECT e.species_code, count(*) FILTER (WHERE evidence IN {_EXP}) AS n_exp,
-  count(*) FILTER (WHERE evidence NOT IN ('IEA','ND','')) AS n_cur FROM entry_v e LEFT JOIN go_v g ON g.entry_nr = e.entry_nr GROUP BY 1)""")
+@R.query(f"""SELECT species_code, n_exp, n_cur, row_number() OVER (ORDER BY n_exp DESC, n_cur DESC, species_code) - 1 AS priority FROM (SELECT e.species_code, count(*) FILTER (WHERE evidence IN {_STRONG}) AS n_exp,
+  count(*) FILTER (WHERE evidence <> 'IEA' AND evidence NOT IN {_STRONG}) AS n_cur FROM entry_v e LEFT JOIN go_v g ON g.entry_nr = e.entry_nr GROUP BY 1)""")
 def genome_importance(s: Spark, sf: str) -> DataFrame:
     return A.genome_importance(D.go(s, sf), D.entry(s, sf))
 

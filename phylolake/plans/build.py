@@ -15,7 +15,6 @@ from phylolake.operators import annotations, groups, homoeology, idmap, ontology
 from phylolake.session import discard, spill
 from phylolake.sinks import writers
 
-CANONICAL_SOURCES = ["UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Gene", "Ensembl Protein", "RefSeq", "EntrezGene", "EnsemblGenomes", "SourceID", "SourceAC"]
 
 
 def genome_offsets(genomes: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def missing_families(entry: DataFrame, meta: DataFrame) -> DataFrame:
 def summaries(entry: DataFrame, xref: DataFrame, go: DataFrame) -> dict[str, DataFrame]:
     """The small statistics tables of a release."""
     return {
-        "group_sizes": groups.size_histogram(entry, "group_nr", 0), "family_sizes": groups.size_histogram(entry, "fam"), "evidence": annotations.evidence_summary(go),
+        "group_sizes": groups.size_histogram(entry, "group_nr", 0), "family_sizes": groups.size_histogram(entry, "fam"), "evidence": annotations.evidence_summary(go, entry),
         "xrefs_per_source": xref.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "shared_groups": groups.shared_groups(entry, "group_nr", 0), "shared_families": groups.shared_groups(entry, "fam"),
         "genes_in_groups": groups.genes_in_groups(entry, "group_nr", 0), "importance": annotations.genome_importance(go, entry), "chromosomes": summary.chromosome_lengths(entry),
     }
@@ -129,7 +128,7 @@ def build(release: Release, raw: dict[str, DataFrame], *, phases: tuple[str, ...
         release.save("group_meta", group_metadata(t("entry"), raw["group_meta"]))
     if "xrefs" in phases:
         release.save("xref", raw["xref"])
-        ranked = [idmap.SOURCES[s] for s in CANONICAL_SOURCES]
+        ranked = [idmap.SOURCES[s] for s in idmap.CANONICAL_ORDER]
         best = idmap.canonical(t("xref"), t("entry"), ranked)
         fresh = spill(writers.replace_column(t("entry"), best, ["entry_nr"], "canonical_id", ""), "entry")  # the table replaces itself
         release.save("entry", fresh)

@@ -115,9 +115,9 @@ def genome_of_entry_range_join(s: Spark, sf: str) -> DataFrame:
 
 @R.query("SELECT x.RowNr AS row_nr, (SELECT max(entry_off) FROM genome_v g WHERE g.entry_off < x.EntryNr) AS entry_off FROM (SELECT DISTINCT RowNr, EntryNr FROM xref WHERE EntryNr <> 0) x")
 def genome_offset_asof(s: Spark, sf: str) -> DataFrame:
-    x = table(s, sf, "xref").where("EntryNr <> 0").select(F.col("RowNr").alias("row_nr"), (F.col("EntryNr") - 1).alias("pos")).distinct().withColumn("block", F.lit(0))
-    g = D.genome(s, sf).select(F.col("entry_off").alias("off"), "entry_off").withColumn("block", F.lit(0))
-    return joins.asof_join(x, g, "pos", "off", "entry_off", ["block"]).select("row_nr", "entry_off")
+    x = table(s, sf, "xref").where("EntryNr <> 0").select(F.col("RowNr").alias("row_nr"), (F.col("EntryNr") - 1).alias("pos")).distinct()
+    g = D.genome(s, sf).select(F.col("entry_off").alias("off"), "entry_off")
+    return joins.asof_join(x, g, "pos", "off", "entry_off", width=4096).select("row_nr", "entry_off")
 
 
 @R.query("SELECT species_code, count(*) AS n FROM main_v GROUP BY 1")

@@ -20,10 +20,10 @@ def best_xref_per_entry(s: Spark, sf: str) -> DataFrame:
     return idmap.best_per_entry(D.xref(s, sf))
 
 
-@R.query("""SELECT e.entry_nr, coalesce(x.xref_id, '') AS canonical_id FROM entry_v e LEFT JOIN (SELECT entry_nr, xref_id, row_number() OVER (PARTITION BY entry_nr ORDER BY list_position([0, 10, 20, 25, 40, 50, 70, 95, 100], source), xref_id) AS rn
-  FROM xref_v WHERE verification <= 2 AND source IN (0, 10, 20, 25, 40, 50, 70, 95, 100)) x ON x.entry_nr = e.entry_nr AND rn = 1""")
+@R.query("""SELECT e.entry_nr, coalesce(x.xref_id, '') AS canonical_id FROM entry_v e LEFT JOIN (SELECT entry_nr, xref_id, row_number() OVER (PARTITION BY entry_nr ORDER BY list_position([0, 10, 25, 20, 60, 65, 70, 40, 95], source), xref_id) AS rn
+  FROM xref_v WHERE verification <= 2 AND source IN (0, 10, 25, 20, 60, 65, 70, 40, 95)) x ON x.entry_nr = e.entry_nr AND rn = 1""")
 def canonical_xref(s: Spark, sf: str) -> DataFrame:
-    return idmap.canonical(D.xref(s, sf), D.entry(s, sf), [0, 10, 20, 25, 40, 50, 70, 95, 100])
+    return idmap.canonical(D.xref(s, sf), D.entry(s, sf), [idmap.SOURCES[x] for x in idmap.CANONICAL_ORDER])
 
 
 _RED = """rd AS (SELECT gene, xref, entry_nr, source, verification FROM (SELECT CASE WHEN e.alt_splice = 0 THEN e.entry_nr ELSE e.alt_splice END AS gene, lower(regexp_replace(xref_id, '\\.[0-9]{1,2}$', '')) AS xref, x.entry_nr, source, verification,
@@ -53,12 +53,10 @@ def xrefs_per_species(s: Spark, sf: str) -> DataFrame:
     return j.groupBy("species_code", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("""WITH t AS (SELECT x.entry_nr, max((source IN (0, 10, 20, 40))::INT) AS trusted FROM xref_v x GROUP BY 1)
+@R.query("""WITH t AS (SELECT x.entry_nr, max((source IN (0, 10, 40, 50, 25, 20))::INT) AS trusted FROM xref_v x GROUP BY 1)
   SELECT count(*) FILTER (WHERE trusted = 1) AS proteins, count(*) FILTER (WHERE trusted = 1 AND group_nr <> 0) AS in_group, count(*) FILTER (WHERE trusted = 1 AND hog_id <> '') AS in_hog FROM t JOIN entry_v e ON e.entry_nr = t.entry_nr""")
 def trusted_xref_summary(s: Spark, sf: str) -> DataFrame:
-    t = D.xref(s, sf).groupBy("entry_nr").agg(F.max(F.col("source").isin(0, 10, 20, 40).cast("int")).alias("t"))
-    ok = t.where("t = 1").join(D.entry(s, sf).select("entry_nr", "group_nr", "hog_id"), "entry_nr")
-    return ok.agg(F.count(F.lit(1)).alias("proteins"), F.count(F.when(F.col("group_nr") != 0, 1)).alias("in_group"), F.count(F.when(F.col("hog_id") != "", 1)).alias("in_hog"))
+    return idmap.xref_summary(D.xref(s, sf), D.entry(s, sf))
 
 
 @R.query("""WITH x AS (SELECT *, lower(regexp_replace(xref_id, '\\.[0-9]{1,2}$', '')) AS n FROM xref_v)
@@ -69,12 +67,12 @@ def xref_search_modes(s: Spark, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@R.query("SELECT entry_nr, xref_id, CASE WHEN source IN (0, 10) THEN 'https://www.uniprot.org/uniprot/' || xref_id WHEN source = 50 THEN 'https://www.ncbi.nlm.nih.gov/gene/' || xref_id ELSE 'https://ensembl.org/id/' || xref_id END AS url FROM xref_v WHERE verification <= 2 AND source IN (0, 10, 25, 50)")
+@R.query("SELECT entry_nr, xref_id, CASE WHEN source IN (0, 10) THEN 'http://uniprot.org/uniprot/' || xref_id WHEN source = 50 THEN 'http://www.ncbi.nlm.nih.gov/gene/' || xref_id ELSE 'http://ensembl.org/id/' || xref_id END AS url FROM xref_v WHERE verification <= 2 AND source IN (0, 10, 20, 25, 50)")
 def linkout_urls(s: Spark, sf: str) -> DataFrame:
     return idmap.mapper("linkout").rows(D.xref(s, sf)).select("entry_nr", "xref_id", "url")
 
 
-@R.query("SELECT x.* FROM xref_v x WHERE x.entry_nr >= 100 AND x.entry_nr < 900 AND verification <= 2 AND source IN (105, 110, 115, 120, 125, 130)")
+@R.query("SELECT x.* FROM xref_v x WHERE x.entry_nr >= 100 AND x.entry_nr < 900 AND verification <= 2 AND source IN (110, 0, 10, 105, 95)")
 def gene_names_of_range(s: Spark, sf: str) -> DataFrame:
     return idmap.mapper("gene_name_or_symbol").rows(idmap.xrefs_of(D.xref(s, sf), start=100, stop=900))
 

@@ -64,7 +64,7 @@ def member_page(s: Spark, sf: str) -> DataFrame:
     return scans.page(e.where(F.col("fam") == e.agg(F.min("fam")).first()[0]).select("entry_nr", "hog_id"), ["hog_id", "entry_nr"], 5, 25)
 
 
-@R.query("""WITH i AS (SELECT e.species_code, count(*) FILTER (WHERE evidence IN ('EXP','IDA','IEP','IGI','IMP','IPI')) AS x, count(*) FILTER (WHERE evidence NOT IN ('IEA','ND','')) AS c FROM entry_v e LEFT JOIN go_v g ON g.entry_nr = e.entry_nr GROUP BY 1),
+@R.query("""WITH i AS (SELECT e.species_code, count(*) FILTER (WHERE evidence IN ('EXP','IDA','IPI','IMP','IGI','IEP','HTP','HDA','HMP','HGI','HEP')) AS x, count(*) FILTER (WHERE evidence <> 'IEA' AND evidence NOT IN ('EXP','IDA','IPI','IMP','IGI','IEP','HTP','HDA','HMP','HGI','HEP')) AS c FROM entry_v e LEFT JOIN go_v g ON g.entry_nr = e.entry_nr GROUP BY 1),
   p AS (SELECT species_code, row_number() OVER (ORDER BY x DESC, c DESC, species_code) - 1 AS priority FROM i) SELECT e.entry_nr, p.priority FROM entry_v e JOIN p USING (species_code) WHERE e.group_nr <> 0 ORDER BY priority, entry_nr LIMIT 50""")
 def top_entries_by_importance(s: Spark, sf: str) -> DataFrame:
     """The fifty grouped entries of the best annotated genomes."""

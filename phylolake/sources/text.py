@@ -65,7 +65,7 @@ def domains(spark: SparkSession, path, *, sep: str | None = None) -> DataFrame:
 
 def is_known_domain(col: str = "domain_id") -> Column:
     """Pfam accessions and CATH codes only."""
-    return F.col(col).rlike(r"^PF[0-9]{5}$") | F.col(col).rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    return F.col(col).rlike(r"^PF") | F.col(col).rlike(r"^[1-4]\.")
 
 
 def domain_names(spark: SparkSession, path) -> DataFrame:
@@ -146,17 +146,17 @@ def with_defaults(df: DataFrame, defaults: dict, codes: dict[str, dict[str, int]
 
 # Tags of entry records, the source each feeds, its verification and how its text is split.
 TAGS = (
-    ("GI", "GI", "exact", "one"), ("EntrezGene", "EntrezGene", "exact", "many"), ("WikiGene", "WikiGene", "unchecked", "many"), ("IPI", "IPI", "unchecked", "many"),
-    ("Refseq_ID", "RefSeq", "exact", "many"), ("SwissProt", "UniProtKB/SwissProt", "exact", "one"), ("GeneName", "Gene Name", "unchecked", "many"),
+    ("GI", "GI", "exact", "many"), ("EntrezGene", "EntrezGene", "exact", "many"), ("WikiGene", "WikiGene", "unchecked", "many"), ("IPI", "IPI", "unchecked", "many"),
+    ("Refseq_ID", "RefSeq", "exact", "many"), ("SwissProt", "UniProtKB/SwissProt", "exact", "many"), ("GeneName", "Gene Name", "unchecked", "many"),
     ("ORFNames", "ORF Name", "unchecked", "many"), ("OrderedLocusNames", "Ordered Locus Name", "unchecked", "many"), ("ProtName", "Protein Name", "unchecked", "many"),
-    ("Synonyms", "Synonym", "unchecked", "many"), ("HGNC_Id", "HGNC", "unchecked", "many"), ("PMP", "PMP", "unchecked", "many"), ("PDB", "PDB", "unchecked", "many"),
+    ("Synonyms", "Synonym", "unchecked", "many"), ("HGNC_Id", "HGNC", "unchecked", "many"), ("PDB", "PDB", "unchecked", "many"),
     ("EMBL", "EMBL", "unchecked", "many"), ("SMR", "Swiss Model", "unchecked", "many"), ("ID", "SourceID", "exact", "many"), ("AC", "SourceAC", "exact", "many"),
     ("UniProt/TrEMBL", "UniProtKB/TrEMBL", "exact", "accession"), ("SwissProt_AC", "UniProtKB/TrEMBL", "exact", "accession"),
 )
 # Identifier forms that name another source.
 ID_FORMS = (
-    ("Ensembl Gene", r"^ENS[A-Z]{0,4}G[0-9]{11}$"), ("Ensembl Protein", r"^ENS[A-Z]{0,4}P[0-9]{11}$"), ("Ensembl Transcript", r"^ENS[A-Z]{0,4}T[0-9]{11}$"),
-    ("FlyBase", r"^FB[a-z]{2}[0-9]{7}$"), ("RefSeq", r"^[NXYAW]P_[0-9]+(\.[0-9]+)?$"), ("WormBase", r"^WBGene[0-9]{8}$"),
+    ("Ensembl Gene", r"^ENS[A-Z]{0,3}G[0-9]{11}$"), ("Ensembl Protein", r"^ENS[A-Z]{0,3}P[0-9]{11}$"), ("Ensembl Transcript", r"^ENS[A-Z]{0,3}T[0-9]{11}$"),
+    ("FlyBase", r"^FB[gnptr]{2}[0-9]{7}$"), ("NCBI", r"^[A-Z]{3}[0-9]{5}\.[0-9]$"), ("WormBase", r"^WBGene[0-9]{8}$"),
 )
 
 
@@ -173,7 +173,10 @@ def entry_lines(spark: SparkSession, path) -> DataFrame:
     from pyspark.sql import Window
 
     lines = spark.read.text(path).where(F.col("value").contains("<E>")).withColumn("__at", F.monotonically_increasing_id())
-    per = lines.withColumn("record", F.row_number().over(Window.orderBy("__at")))
+    lines = lines.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = lines.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__off"))  # one row per input split
+    per = lines.join(F.broadcast(offsets), "__part").withColumn("record", F.col("__off") + F.col("__row") + 1)
     pairs = F.regexp_extract_all("value", F.lit(r"(<([^/<>][^<>]*)>[^<>]*</\2>)"), F.lit(1))
     each = per.select("record", F.explode(pairs).alias("p"))
     return each.select("record", F.regexp_extract("p", r"^<([^<>]*)>", 1).alias("tag"), F.regexp_extract("p", r"^<[^<>]*>([^<>]*)<", 1).alias("value"))
@@ -198,7 +201,7 @@ def entry_xrefs(tags: DataFrame) -> DataFrame:
 
 def entry_ec(tags: DataFrame) -> DataFrame:
     """(record, ec) of well-formed enzyme codes."""
-    return tags.where("tag = 'EC'").select("record", F.explode(strings.id_list("value")).alias("ec")).where(F.col("ec").rlike(r"^[0-9]+(\.([0-9]+|-|n[0-9]+)){3}$")).distinct()
+    return tags.where("tag = 'EC'").select("record", F.explode(strings.id_list("value")).alias("ec")).where(F.col("ec").rlike(r"^[0-9]+(\.([0-9]+|-)){3}$")).distinct()
 
 
 def entry_descriptions(tags: DataFrame) -> DataFrame:

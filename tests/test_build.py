@@ -23,7 +23,7 @@ def test_build_and_rebuild(spark, frame, tmp_path):
         "pairwise": t("pairwise", [dict(entry_nr1=1, entry_nr2=4, rel_type=6, distance=1.0), dict(entry_nr1=3, entry_nr2=4, rel_type=6, distance=2.0), dict(entry_nr1=4, entry_nr2=5, rel_type=5, distance=3.0)]),
         "hog_level": t("hog_level", [dict(fam=1, hog_id="HOG:E0000001", level="Root", is_root=True)]).drop("idx_per_level"),
         "group_meta": t("group_meta", [dict(group_nr=8, fingerprint="ABCDEFG")]),
-        "xref": t("xref", [dict(entry_nr=1, source=10, xref_id="T1", verification=0), dict(entry_nr=1, source=0, xref_id="P1", verification=4), dict(entry_nr=4, source=100, xref_id="S4", verification=2)]),
+        "xref": t("xref", [dict(entry_nr=1, source=10, xref_id="T1", verification=0), dict(entry_nr=1, source=0, xref_id="P1", verification=4), dict(entry_nr=4, source=95, xref_id="S4", verification=2)]),
         "go_term": t("go_term", [dict(term_nr=1, name="r", aspect="biological_process"), dict(term_nr=2, name="c", aspect="biological_process")]),
         "go_edge": t("go_edge", [dict(child=2, parent=1, relation="is_a")]),
         "go_annotation": t("go_annotation", [dict(entry_nr=1, term_nr=2, evidence="IDA", reference="R"), dict(entry_nr=1, term_nr=99, evidence="IDA", reference="R")]),

@@ -404,13 +404,18 @@ def test_interval_helpers(frame):
     assert rows(joins.overlap_join(a, b, ["chr"], ("s1", "e1"), ("s2", "e2"), width=20).select("n1", "n2")) == [("x", "p"), ("y", "p"), ("z", "r")]
     left = frame([(5,), (0,), (10,), (None,)], "k int")
     right = frame([(1, "a"), (5, "b"), (9, "c")], "r int, v string")
-    assert rows(joins.asof_join(left.where("k is not null"), right, "k", "r", "v")) == [(0, None), (10, "c"), (5, "b")]
+    for width in (1, 2, 4, 100):
+        assert rows(joins.asof_join(left, right, "k", "r", "v", width=width)) == [(0, None), (10, "c"), (5, "b"), (None, None)]
+    both = joins.asof_join(frame([("x", 5), ("y", 5)], "g string, k int"), frame([("x", 1, "a")], "g string, r int, v string"), "k", "r", "v", width=3, by=["g"])
+    assert rows(both) == [("x", 5, "a"), ("y", 5, None)]
 
 
 def test_string_functions(frame):
-    df = frame([("CamelCaseName", "P1.2", "A; Rep1; B.Rep3", "X_Y", "Homo sapiens strain K-12")], "a string, b string, c string, d string, e string")
+    df = frame([("CamelCaseName", "P1.2", "A; Rep1; B.Rep3", "X_Y", "Salmonella enterica subsp. arizonae")], "a string, b string, c string, d string, e string")
     got = df.select(strings.snake_case("a"), strings.without_version("b"), strings.id_list("c"), strings.before_species_suffix("d"), strings.species_part("e"), strings.strain_part("e")).first()
-    assert tuple(got) == ("camel_case_name", "P1", ["A", "B"], "X", "Homo sapiens", "strain K-12")
+    assert tuple(got) == ("camel_case_name", "P1", ["A", "B"], "X", "Salmonella enterica", "subsp. arizonae")
+    n = frame(["Escherichia coli O157:H7", "Homo sapiens", None], "n string").select(strings.species_part("n"), strings.strain_part("n")).collect()
+    assert [tuple(r) for r in n] == [("Escherichia coli", "O157:H7"), ("Homo sapiens", ""), (None, None)]
     d = frame(["2020-03-04", "04-Mar-2020", "20200304", "soon", None], "d string")
     assert [str(r[0]) for r in d.select(strings.any_date("d")).collect()] == ["2020-03-04", "2020-03-04", "2020-03-04", "None", "None"]
     p = frame(["YEAST00012", "yeast00012", "Y", None], "p string")

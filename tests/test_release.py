@@ -20,7 +20,7 @@ def release(spark):
         cols = [c.strip().split(" ")[0] for c in TABLES[name].split(",")]
         return spark.createDataFrame([tuple(d.get(c) for c in cols) for d in data], TABLES[name])
 
-    genomes = [dict(species_code=c, taxid=x, entry_off=o, tot_entries=4, sci_name=n) for c, x, o, n in (("AAAAA", 11, 0, "Alpha one"), ("BBBBB", 12, 4, "Beta two strain X1"), ("CCCCC", 21, 8, "Gamma three"))]
+    genomes = [dict(species_code=c, taxid=x, entry_off=o, tot_entries=4, sci_name=n) for c, x, o, n in (("AAAAA", 11, 0, "Alpha one"), ("BBBBB", 12, 4, "Beta two serovar X1"), ("CCCCC", 21, 8, "Gamma three"))]
     taxonomy = [dict(taxid=x, parent_taxid=p, name=n) for x, p, n in ((1, 0, "Root"), (10, 1, "Left"), (20, 1, "Right"), (11, 10, "AAAAA"), (12, 10, "BBBBB"), (21, 20, "CCCCC"))]
     hogs = {1: "HOG:E0000001", 2: "HOG:E0000001.1a", 5: "HOG:E0000001.1b", 6: "HOG:E0000001", 9: "HOG:E0000001.1a.2b", 10: "HOG:E0000002"}
     entry = []
@@ -45,7 +45,7 @@ def release(spark):
 
 def test_lookups(release):
     assert release.genome("aaaaa").taxid == 11
-    assert release.genome(12).species_and_strain == ("Beta two", "strain X1")
+    assert release.genome(12).species_and_strain == ("Beta two", "serovar X1")
     assert release.genome("Gamma three").kingdom == "Root"
     with pytest.raises(UnknownSpecies):
         release.genome("nobody")
