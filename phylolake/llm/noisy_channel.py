@@ -20,6 +20,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ORDER = 6  # letters of context taken from the vocabulary of disguised words
 CORPUS_ORDER = 3  # letters of context taken from the corpus
 BEAM = 300
+LONGEST = 64  # a disguised word of the vocabulary, with a separator after every letter, is shorter once long runs are cut
+LONG_RUN = re.compile(r"(.)\1{3,}")
 
 #: single letters or signs with separators between them
 SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$!*]([ ._\-]))(?:[a-z0-9@$!*]\1)+[a-z0-9@$!*](?![a-z0-9])")
@@ -127,8 +129,10 @@ class Restorer:
             bare = t.strip(EDGE).rstrip("!")
             if bare.startswith("*") or (bare.endswith("*") and not SHORT_MASK.match(bare)):
                 bare = bare.strip("*")  # emphasis, not a mask
-            if 2 < len(bare) <= 40 and (REPEATED.search(bare) or (not bare.isalpha() and INNER.search(bare))):
-                out.append(t.replace(bare, self.token(bare), 1))
+            if len(bare) > LONGEST:
+                bare = LONG_RUN.sub(r"\1\1\1", bare)
+            if 2 < len(bare) <= LONGEST and (REPEATED.search(bare) or (not bare.isalpha() and INNER.search(bare))):
+                out.append(self.token(bare) if bare not in t else t.replace(bare, self.token(bare), 1))
             else:
                 out.append(t)
         return " ".join(out)

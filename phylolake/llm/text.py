@@ -12,8 +12,8 @@ LOOKALIKES = str.maketrans(
     "aceopxyijsdqwhkmtbhABEKMHOPCTXYIJSaoevptuik",
 )
 INVISIBLE = re.compile("[­​-‏⁠﻿\x00-\x08\x0b\x0e-\x1f\x7f]")
-INLINE_TAG = re.compile(r"</?(?:i|b|u|em|strong|a|span|sup|sub|code|font|mark|small)\b[^<>]{0,300}>", re.I)
-ANY_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,300}>|<!--.{0,2000}?-->", re.S)
+INLINE_TAG = re.compile(r"</?(?:i|b|u|em|strong|a|span|sup|sub|code|font|mark|small)\b[^<>]*>", re.I)
+ANY_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 WRONGLY_DECODED = re.compile("[Â-ô][\u0080-ÿŒ-Ÿƒˆ˜–-™]{1,3}")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
