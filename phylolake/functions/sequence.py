@@ -23,11 +23,18 @@ def is_valid(col) -> Column:
 
 
 def kmers(col, k: int = 6) -> Column:
-    """All overlapping words of length ``k``, with repeats; none for shorter sequences."""
+    """All overlapping words of length ``k``, with repeats; none for shorter sequences.
+
+    Letters are joined with their shifted neighbours k - 1 times, so the work grows with the
+    length of the sequence and not with its square, as cutting every word out of the text would.
+    """
     c = _c(col)
-    return F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    words = letters
+    for shift in range(1, k):
+        words = F.zip_with(words, F.slice(letters, shift + 1, F.greatest(F.length(c), F.lit(1))), lambda a, b: F.concat(a, b))
+    none = F.array().cast("array<string>")
+    return F.when(F.length(c) >= k, F.slice(words, F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(0)))).otherwise(none)
 
 
 def kmer_code(col, alphabet: str = ALPHABET) -> Column:

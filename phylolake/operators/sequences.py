@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.functions import sequence as S
-from phylolake.session import ship_package
+from phylolake.session import ship_package, spread_work
 
 # Classes of similar residues; a published way to score without a full exchange matrix.
 RESIDUE_CLASSES = ("AGPST", "C", "DENQ", "FWY", "HKR", "ILMV")
@@ -36,7 +36,7 @@ def exact_search(sequences: DataFrame, query: str, *, id_col: str = "seq_id", se
 
 def kmer_index(sequences: DataFrame, *, id_col: str = "seq_id", seq: str = "seq", k: int = 6) -> DataFrame:
     """(kmer, id): distinct words of every sequence."""
-    return sequences.select(F.col(id_col), F.explode(F.array_distinct(S.kmers(seq, k))).alias("kmer"))
+    return spread_work(sequences.select(id_col, seq)).select(F.col(id_col), F.explode(F.array_distinct(S.kmers(seq, k))).alias("kmer"))
 
 
 def kmer_rank(queries: DataFrame, index: DataFrame, *, query_id: str = "query_id", query: str = "query", id_col: str = "seq_id", k: int = 6, coverage: float = 0.0) -> DataFrame:
