@@ -77,6 +77,15 @@ def test_relations(release):
     assert (r.rel_label, r.ends[1].entry_nr) == ("1:n", 6)
 
 
+def test_set_based_equals_entry_by_entry(release):
+    a, b = (release.genome(g).row for g in ("AAAAA", "BBBBB"))
+    loop = [tuple(r) for nr in range(a.entry_off + 1, a.entry_off + a.tot_entries + 1) for r in release.pairs(nr).where(F.col("entry_nr2").between(b.entry_off + 1, b.entry_off + b.tot_entries)).collect()]
+    assert sorted(loop, key=repr) == rows(release.pairs_between("AAAAA", "BBBBB"))
+    mains = [r.entry_nr for r in release.main_isoforms("AAAAA").where("hog_id <> ''").collect()]
+    one_by_one = {(nr, r.entry_nr) for nr in mains for r in release.induced_partners(nr).where("species_code = 'BBBBB'").collect()}
+    assert one_by_one == {(r.entry_nr1, r.entry_nr2) for r in release.induced_orthologs("AAAAA", "BBBBB").collect()}
+
+
 def test_groups(release):
     assert [r.entry_nr for r in release.hog_members("HOG:E0000001.1a").orderBy("entry_nr").collect()] == [2, 9]
     assert [r.entry_nr for r in release.hog_members("HOG:E0000001.1a", "Left").collect()] == [2]
