@@ -161,15 +161,31 @@ def kmer_rank(s: Spark, sf: str) -> DataFrame:
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
+def _whole_queries(s: Spark, sf: str) -> DataFrame:
+    return D.sequence(s, sf).where("seq_id % 50 = 0 AND length(seq) >= 6").select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query"))
+
+
+@R.query("""WITH q AS (SELECT seq_id AS query_id, seq AS query FROM seq_v WHERE seq_id % 50 = 0 AND length(seq) >= 6),
+  w AS (SELECT query_id, substr(query, i, 6) AS kmer, count(*) AS w FROM (SELECT query_id, query, unnest(range(1, length(query) - 4)) AS i FROM q) GROUP BY 1, 2),
+  ix AS (SELECT DISTINCT seq_id, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seq_v WHERE length(seq) >= 6)),
+  h AS (SELECT query_id, seq_id, CAST(sum(w) AS BIGINT) AS hits FROM w JOIN ix USING (kmer) GROUP BY 1, 2)
+  SELECT query_id, seq_id, hits, round(hits / (length(query) - 5)::DOUBLE, 9) AS coverage FROM h JOIN q USING (query_id) WHERE hits / (length(query) - 5)::DOUBLE >= 0.3::DOUBLE""")
+def kmer_rank_whole(s: Spark, sf: str) -> DataFrame:
+    """Every fiftieth sequence, in its whole length, ranked against all sequences by shared words of six letters."""
+    out = sequences.kmer_rank(_whole_queries(s, sf), sequences.kmer_index(D.sequence(s, sf)), coverage=0.3)
+    return out.withColumn("coverage", F.round("coverage", 9))
+
+
 @R.query()
 def local_alignment(s: Spark, sf: str) -> DataFrame:
-    """The best five sequences of every fiftieth one, aligned."""
-    return sequences.approximate_search(_queries(s, sf), D.sequence(s, sf), n=5, coverage=0.2)
+    """The best five sequences of every fiftieth one, aligned in whole length."""
+    return sequences.approximate_search(_whole_queries(s, sf), D.sequence(s, sf), n=5, coverage=0.2)
 
 
 @R.query()
 def closest_sequence(s: Spark, sf: str) -> DataFrame:
-    return sequences.closest_sequences(_queries(s, sf), D.sequence(s, sf))
+    """The closest sequence of every fiftieth one, searched in whole length."""
+    return sequences.closest_sequences(_whole_queries(s, sf), D.sequence(s, sf))
 
 
 @R.query("""SELECT seq_id, kmer, code FROM (SELECT DISTINCT seq_id, substr(seq, 1, 4) AS kmer, list_aggregate(list_transform([1, 2, 3, 4], lambda i: CAST((instr('ACDEFGHIKLMNPQRSTVWXY', substr(seq, i, 1)) - 1) * pow(21, 4 - i) AS BIGINT)), 'sum') AS code FROM seq_v WHERE length(seq) >= 4)""")
@@ -179,6 +195,14 @@ def kmer_codec(s: Spark, sf: str) -> DataFrame:
     return coded.where(sequence.kmer_word("code", 4) == F.col("kmer"))
 
 
+@R.query("""SELECT seq_id, kmer, CAST(list_aggregate(list_transform([1, 2, 3, 4], lambda i: CAST((instr('ACDEFGHIKLMNPQRSTVWXY', substr(kmer, i, 1)) - 1) * pow(21, 4 - i) AS BIGINT)), 'sum') AS BIGINT) AS code
+  FROM (SELECT DISTINCT seq_id, substr(seq, i, 4) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM seq_v WHERE length(seq) >= 4))""")
+def kmer_codec_words(s: Spark, sf: str) -> DataFrame:
+    """Every distinct word of four letters of every sequence, coded and decoded."""
+    coded = sequences.kmer_index(D.sequence(s, sf), k=4).withColumn("code", sequence.kmer_code("kmer"))
+    return coded.where(sequence.kmer_word("code", 4) == F.col("kmer")).select("seq_id", "kmer", "code")
+
+
 @R.query("""SELECT taxid, sci_name, lower(regexp_replace(regexp_replace(species_code, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake, replace(sci_name, ' ', '_') AS label FROM genome_v""")
 def genome_labels(s: Spark, sf: str) -> DataFrame:
     return D.genome(s, sf).select("taxid", "sci_name", strings.snake_case("species_code").alias("snake"), strings.newick_label("sci_name").alias("label"))
