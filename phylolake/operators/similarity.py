@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.functions import hogid
-from phylolake.session import ship_package
+from phylolake.session import discard, ship_package, spill
 
 
 def overlaps(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, item: str) -> DataFrame:
@@ -60,15 +61,21 @@ def classical_mds(distances: np.ndarray, dimensions: int) -> np.ndarray:
 def mds_layout(pairs: DataFrame, nodes: DataFrame, *, group: str, node: str, a: str, b: str, distance: str, dimensions: int = 2, missing: float = 1.0, max_nodes: int = 5000) -> DataFrame:
     """(group, node, x0..) per group: multidimensional scaling of the pair distances.
 
-    The matrix of a group lives in one task, so groups above ``max_nodes`` nodes are left
-    out (their layout would not be readable either); pairs not given have the distance ``missing``.
+    The matrix of a group of up to ``max_nodes`` nodes lives in one task. Larger groups are never held as a matrix:
+    their leading axes come from products with the sparse pair table, where it lies (``_large_layout``).
+    Pairs not given have the distance ``missing``.
     """
     ship_package(pairs.sparkSession)
-    small = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= max_nodes).drop("__n")
-    p = pairs.join(small, group, "left_semi").select(F.col(group).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(distance).cast("double").alias("d"))
-    own = nodes.join(small, group, "left_semi").select(F.col(group).alias("g"), F.col(node).alias("a"), F.col(node).alias("b"), F.lit(0.0).alias("d"))
+    sizes = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    small = sizes.where(F.col("__n") <= max_nodes).drop("__n")
+    large = [r[0] for r in sizes.where(F.col(group).isNotNull() & (F.col("__n") > max_nodes)).select(group).sort(group).collect()]
+    every = pairs.select(F.col(group).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(distance).cast("double").alias("d"))
+    held = nodes.select(F.col(group).alias("g"), F.col(node).alias("a"), F.col(node).alias("b"), F.lit(0.0).alias("d"))
+    p = every.join(small.withColumnRenamed(group, "g"), "g", "left_semi")
+    own = held.join(small.withColumnRenamed(group, "g"), "g", "left_semi")
     kinds = dict(own.dtypes)
     axes = ", ".join(f"x{i} double" for i in range(dimensions))
+    schema = f"g {kinds['g']}, node {kinds['a']}, {axes}"
 
     def run(pdf):
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))
@@ -80,7 +87,107 @@ def mds_layout(pairs: DataFrame, nodes: DataFrame, *, group: str, node: str, a:
         xy = classical_mds(m, dimensions)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "node": ids} | {f"x{k}": xy[:, k].round(9) for k in range(dimensions)})
 
-    return own.unionByName(p).groupBy("g").applyInPandas(run, f"g {kinds['g']}, node {kinds['a']}, {axes}")
+    out = own.unionByName(p).groupBy("g").applyInPandas(run, schema)
+    if large:
+        mine = spill(every.where(F.col("g").isin(large) & (F.col("a") != F.col("b"))), "mds")
+        for g in large:
+            ids, xy = _large_layout(mine.where(F.col("g") == g), held.where(F.col("g") == g), dimensions, missing)
+            rows = pd.DataFrame({"g": [g] * len(ids), "node": ids} | {f"x{k}": xy[:, k].round(9) for k in range(dimensions)})
+            out = out.unionByName(pairs.sparkSession.createDataFrame(rows, schema))
+        discard(mine)
+    return out
+
+
+def _large_layout(pairs: DataFrame, nodes: DataFrame, dimensions: int, missing: float):
+    """(node ids, coordinates) of one group, as :func:`classical_mds` of its matrix, without the matrix.
+
+    With W = missing^2 - distance^2 on the given pairs and 0 elsewhere, the centred matrix is
+    (missing^2 I + W) / 2 between two centrings. Its leading axes come from Lanczos iterations on the driver, which
+    holds vectors of the group's length only; each product with W is one pass over the pairs.
+    """
+    spark = pairs.sparkSession
+    ids = np.array(sorted(r[0] for r in nodes.select("a").union(pairs.select("a")).union(pairs.select("b")).distinct().collect()))
+    n, sc = len(ids), spark.sparkContext
+    names = sc.broadcast(ids)
+    one = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((missing**2 - F.min("d") ** 2).alias("w"))
+
+    def number(batches):
+        for t in batches:
+            i, j = (np.searchsorted(names.value, t.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), t.column(2)], names=["i", "j", "w"])
+
+    edges = spill(one.mapInArrow(number, "i int, j int, w double"), "mds")
+    parts = edges.coalesce(sc.defaultParallelism)  # one vector comes back from each
+
+    def centred_product(v):
+        x = sc.broadcast(v)
+
+        def run(batches):
+            total, waiting, size = np.zeros(n), [], 0
+
+            def add():
+                i, j, w = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                return np.bincount(i, w * x.value[j], n) + np.bincount(j, w * x.value[i], n)
+
+            for t in batches:
+                waiting.append([t.column(k).to_numpy() for k in range(3)])
+                size += t.num_rows
+                if size > 1_000_000:
+                    total += add()
+                    waiting, size = [], 0
+            if waiting:
+                total += add()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        y = missing**2 * v + sum((np.frombuffer(r[0]) for r in parts.mapInArrow(run, "v binary").collect()), np.zeros(n))
+        x.destroy()
+        return (y - y.mean()) / 2
+
+    out = np.zeros((n, dimensions))
+    for d, (value, vector) in enumerate(_leading(centred_product, n, min(dimensions, n - 1))):
+        if value > 0:
+            axis = vector * np.sqrt(value)
+            out[:, d] = axis * (1 if axis[np.argmax(np.abs(axis))] >= 0 else -1)
+    names.destroy()
+    discard(edges)
+    return ids.tolist(), out
+
+
+def _leading(product, n: int, count: int, *, tolerance: float = 1e-10, steps: int = 60):
+    """The ``count`` largest eigenvalues with their vectors, of a symmetric operator on vectors with the sum 0.
+
+    Lanczos with full orthogonalisation, begun again from the best vector so far after every ``steps`` products, until the residual
+    is within ``tolerance`` of the largest value met; found vectors are projected out, so equal eigenvalues are found in turn.
+    """
+    found, seed = [np.full(n, n**-0.5)], np.random.default_rng(0)
+    for _ in range(count):
+        start = seed.standard_normal(n)
+        while True:
+            basis, images, known = [], [], np.array(found)
+            v = start
+            for _ in range(min(steps, n - len(found))):
+                for _ in range(2):  # the second pass removes what rounding left
+                    v = v - known.T @ (known @ v)
+                    for u in basis:
+                        v = v - u * (u @ v)
+                size = np.linalg.norm(v)
+                basis.append(v / size)
+                images.append(product(basis[-1]))
+                q, r = np.array(basis), np.array(images)
+                small = q @ r.T
+                values, vectors = np.linalg.eigh((small + small.T) / 2)
+                best, image = vectors[:, -1] @ q, vectors[:, -1] @ r
+                image = image - known.T @ (known @ image)
+                residual = np.linalg.norm(image - values[-1] * best)
+                v = images[-1] - known.T @ (known @ images[-1])
+                v = v - q.T @ (q @ v)
+                if residual <= tolerance * np.abs(values).max() or np.linalg.norm(v) <= 1e-13 * np.abs(values).max():
+                    break
+            if residual <= tolerance * np.abs(values).max() or len(basis) == n - len(found):
+                break
+            start = best if np.linalg.norm(v) > 1e-13 * np.abs(values).max() else best + 1e-3 * seed.standard_normal(n)
+        found.append(best / np.linalg.norm(best))
+        yield float(values[-1]), found[-1]
 
 
 def member_sets(entries: DataFrame, member: str) -> DataFrame:

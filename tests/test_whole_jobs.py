@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from phylolake.operators import similarity
 from phylolake.plans import search_queries
 
 
@@ -27,3 +30,15 @@ def test_sequence_searches_use_whole_sequences(spark, tmp_path):
     assert closest == {(50, 50, "exact"), (100, 100, "exact")}
     words = {(r.seq_id, r.kmer) for r in search_queries.kmer_codec_words(spark, sf).collect()}
     assert {w for i, w in words if i == 50} == {long[i : i + 4] for i in range(197)}
+
+
+def test_mds_layout_keeps_large_groups(frame):
+    rng = random.Random(5)
+    pairs = frame([("a", i, j, rng.random()) for i in range(40) for j in range(i) if rng.random() < 0.5] + [("b", 1, 2, 0.5)], "g string, a int, b int, d double")
+    nodes = frame([("a", i) for i in range(42)] + [("b", 1), ("b", 2)], "g string, node int")
+    names = {"group": "g", "node": "node", "a": "a", "b": "b", "distance": "d", "dimensions": 2}
+    whole = {(r.g, r.node): r for r in similarity.mds_layout(pairs, nodes, **names).collect()}
+    split = {(r.g, r.node): r for r in similarity.mds_layout(pairs, nodes, max_nodes=10, **names).collect()}
+    assert set(split) == set(whole) and len(whole) == 44
+    for k, r in split.items():
+        assert (r.x0, r.x1) == pytest.approx((whole[k].x0, whole[k].x1), abs=1e-6)
