@@ -71,9 +71,9 @@ def group_metadata(entry: DataFrame, meta: DataFrame) -> DataFrame:
     return n.join(meta.select("group_nr", "fingerprint", "keywords"), "group_nr", "left").select("group_nr", F.coalesce("fingerprint", F.lit("n/a")).alias("fingerprint"), F.coalesce("keywords", F.lit("")).alias("keywords"), "n_members")
 
 
-def family_metadata(entry: DataFrame, keywords: DataFrame, *, max_members: int = 50_000) -> DataFrame:
-    """(fam, keywords, family_json) of every family."""
-    j = writers.family_json(entry, max_members=max_members).withColumnRenamed("json", "family_json")
+def family_metadata(entry: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(fam, keywords, family_json) of every family, with all its members."""
+    j = writers.family_json(entry).withColumnRenamed("json", "family_json")
     return j.join(keywords.select("fam", "keywords"), "fam", "left").select("fam", F.coalesce("keywords", F.lit("")).alias("keywords"), "family_json")
 
 

@@ -107,7 +107,7 @@ def prioritised_links(s: Spark, sf: str) -> DataFrame:
 
 @R.query()
 def family_json(s: Spark, sf: str) -> DataFrame:
-    return writers.family_json(D.entry(s, sf), max_members=50_000)
+    return writers.family_json(D.entry(s, sf), chunk_members=50_000)
 
 
 @R.query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

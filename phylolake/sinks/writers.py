@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,14 +97,18 @@ def tree_events(edges: DataFrame, events: DataFrame) -> DataFrame:
     return edges.join(per, "taxid", "left").select("taxid", F.to_json(F.struct("taxid", "parent_taxid", F.coalesce("events", F.create_map().cast("map<string,bigint>")).alias("events"))).alias("json"))
 
 
-def family_json(entries: DataFrame, *, max_members: int | None = None) -> DataFrame:
-    """(fam, json): members of each family as a JSON array; families above ``max_members`` get an empty one."""
+def family_json(entries: DataFrame, *, chunk_members: int | None = None) -> DataFrame:
+    """(fam, json): all members of each family as a JSON array.
+
+    With ``chunk_members`` (fam, chunk, json): arrays of at most so many members each, numbered from 0 in the order of the entries.
+    """
+    members = entries.where("fam IS NOT NULL")
     member = F.struct("entry_nr", "hog_id", "species_code", "chromosome", "locus_start")
-    n = entries.where("fam IS NOT NULL").groupBy("fam").agg(F.count(F.lit(1)).alias("__n"))
-    big = n.where(F.col("__n") > max_members) if max_members else n.where(F.lit(False))
-    small = entries.where("fam IS NOT NULL").join(big, "fam", "left_anti")
-    out = small.groupBy("fam").agg(F.to_json(F.array_sort(F.collect_list(member))).alias("json"))
-    return out.unionByName(big.select("fam", F.lit("[]").alias("json")))
+    keys = ["fam"]
+    if chunk_members:
+        place = F.row_number().over(Window.partitionBy("fam").orderBy(member))
+        members, keys = members.withColumn("chunk", F.floor((place - 1) / chunk_members).cast("int")), ["fam", "chunk"]
+    return members.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(member))).alias("json"))
 
 
 def append_rows(spark: SparkSession, path: str, rows: DataFrame) -> None:

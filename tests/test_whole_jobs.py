@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 
 from phylolake.operators import similarity
-from phylolake.plans import search_queries
+from phylolake.plans import build, search_queries
+from phylolake.sinks import writers
 
 
 def protein(n, seed):
@@ -42,3 +44,13 @@ def test_mds_layout_keeps_large_groups(frame):
     assert set(split) == set(whole) and len(whole) == 44
     for k, r in split.items():
         assert (r.x0, r.x1) == pytest.approx((whole[k].x0, whole[k].x1), abs=1e-6)
+
+
+def test_family_json_writes_all_members(spark):
+    row = "CAST(id AS BIGINT) AS entry_nr, CAST(1 + CAST(id > 50001 AS INT) AS BIGINT) AS fam, '' AS hog_id, 'AAAAA' AS species_code, '' AS chromosome, 0 AS locus_start"
+    entries = spark.range(1, 50_004).selectExpr(*row.split(", "))
+    read = lambda df: {tuple(r)[:-1]: [m["entry_nr"] for m in json.loads(r[-1])] for r in df.collect()}
+    chunks = read(writers.family_json(entries, chunk_members=50_000))
+    assert {k: (v[0], v[-1], len(v)) for k, v in chunks.items()} == {(1, 0): (1, 50_000, 50_000), (1, 1): (50_001, 50_001, 1), (2, 0): (50_002, 50_003, 2)}
+    meta = build.family_metadata(entries, spark.createDataFrame([], "fam bigint, keywords string"))
+    assert {k[0]: len(v) for k, v in read(meta).items()} == {1: 50_001, 2: 2}
