@@ -11,6 +11,8 @@ words that tell this passage from others are among those.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -74,43 +76,67 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _align(doc: np.ndarray, base: np.ndarray, limit: np.ndarray, P: Passages, v: np.ndarray, diag: np.ndarray):
-    """Best local alignment of each candidate inside its band: (score, first and last passage word, intact words, last doc word).
+def _align(doc: np.ndarray, base: np.ndarray, limit: np.ndarray, P: Passages, v: np.ndarray, diag: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Best local alignment of each candidate inside its band: (score, first and last passage word, intact words, last and first doc word).
+
+    Passage words outside [start, stop) are left out.
 
     An intact word scores 1, a replaced, dropped or inserted one -2. All candidates advance together.
     """
-    n, width, longest = len(v), 2 * BAND + 1, int(P.length[v].max())
+    n, width = len(v), 2 * BAND + 1
     score = np.zeros((n, width + 1))
     begin = np.zeros((n, width + 1), np.int64)
-    hits = np.zeros((n, width + 1), np.int64)
+    hits, origin = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
     best = np.zeros(n)
-    found = np.zeros((n, 4), np.int64)
-    for j in range(longest):
-        inside = j < P.length[v]
+    found = np.zeros((n, 5), np.int64)
+    for j in range(int(start.min()), int(stop.max())):
+        inside = (j >= start) & (j < stop)
         word = P.all[np.minimum(P.start[v] + j, len(P.all) - 1)]
-        new_s, new_b, new_h = np.zeros_like(score), np.full_like(begin, j), np.zeros_like(hits)
+        new_s, new_b, new_h, new_o = np.zeros_like(score), np.full_like(begin, j), np.zeros_like(hits), np.zeros_like(origin)
         for o in range(width):
             d = diag + j + o - BAND
             ok = inside & (d >= 0) & (d < limit)
             same = ok & (doc[np.clip(base + d, 0, len(doc) - 1)] == word)
             s, b, h = score[:, o] + np.where(same, 1.0, -2.0), np.where(score[:, o] > 0, begin[:, o], j), hits[:, o] + same
+            f = np.where(score[:, o] > 0, origin[:, o], d)
             up = score[:, o + 1] - 2.0  # the passage word is missing in the text
             take = up > s
             s, b, h = np.where(take, up, s), np.where(take, begin[:, o + 1], b), np.where(take, hits[:, o + 1], h)
+            f = np.where(take, origin[:, o + 1], f)
             if o:
                 side = new_s[:, o - 1] - 2.0  # the text has an additional word
                 take = side > s
                 s, b, h = np.where(take, side, s), np.where(take, new_b[:, o - 1], b), np.where(take, new_h[:, o - 1], h)
+                f = np.where(take, new_o[:, o - 1], f)
             s = np.where(ok & (s > 0), s, 0.0)
             new_s[:, o], new_b[:, o], new_h[:, o] = s, np.where(s > 0, b, j), np.where(s > 0, h, 0)
+            new_o[:, o] = f
             better = s > best
             best = np.where(better, s, best)
-            found[better] = np.stack([b, np.full(n, j), h, d], 1)[better]
-        score, begin, hits = new_s, new_b, new_h
+            found[better] = np.stack([b, np.full(n, j), h, d, f], 1)[better]
+        score, begin, hits, origin = new_s, new_b, new_h, new_o
     return best, found
 
 
-def _search_shard(ids, lengths, symbols, P: Passages, least_words: int, intact: float):
+def _windows(words: np.ndarray, written: np.ndarray, text: np.ndarray, b: int, e: int, first: int, last: int, running: int, wrong_part: float):
+    """Parts of an alignment with too many wrong words that have few enough by themselves: (b, e, first, last)."""
+    place = np.full(e - b + 1, -1)
+    for x, y, size in SequenceMatcher(None, words[b : e + 1].tolist(), text[first : last + 1].tolist(), autojunk=False).get_matching_blocks():
+        place[x : x + size] = np.arange(y, y + size) + first
+    ok = place >= 0
+    parts = []
+    for x in np.flatnonzero(ok):
+        y = int(np.searchsorted(written[b : e + 1], written[b + x] + running))
+        if written[b + y - 1] - written[b + x] + 1 >= running and (~ok[x:y]).sum() <= int(running * wrong_part):
+            y = x + np.flatnonzero(ok[x:y])[-1]
+            if parts and x <= parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], y)
+            else:
+                parts.append([x, y])
+    return [(b + int(x), b + int(y), int(place[x]), int(place[y])) for x, y in parts]
+
+
+def _search_shard(ids, lengths, symbols, P: Passages, least_words: int, intact: float, running: int, wrong_part: float):
     """Rows (doc, item, first and last word in the document) of one shard."""
     text = np.array(symbols, np.int64)
     lengths = np.array(lengths, np.int64)
@@ -166,24 +192,44 @@ def _search_shard(ids, lengths, symbols, P: Passages, least_words: int, intact:
             keep[i] = False
     cand = cand[keep]
     out = {}
-    for a in range(0, len(cand), 4000):
-        c = cand[a : a + 4000]
-        best, found = _align(text, base[c[:, 0]], lengths[c[:, 0]], P, c[:, 1], c[:, 2])
-        for (d, pv, _), s, (b, e, h, last) in zip(c.tolist(), best.tolist(), found.tolist(), strict=True):
-            if s <= 0:
-                continue
-            w = P.written[pv]
-            if w[e] - w[b] + 1 >= least_words and h >= intact * (e - b + 1):
-                first = max(0, last - (e - b) - BAND)
-                part = P.word[pv][b : e + 1]
-                telling = part[P.telling[part]]
-                if len(telling) and np.isin(telling, text[base[d] + first : base[d] + last + 1]).mean() < 0.6:
-                    continue  # shared phrasing around other names and numbers
-                key = (ids[d], P.item[pv])
-                first = max(0, last - (e - b))
-                old = out.get(key)
-                out[key] = (min(first, old[0]), max(last, old[1])) if old and first <= old[1] and last >= old[0] else (old if old and old[1] - old[0] >= last - first else (first, last))
-    return [(*k, *s) for k, s in out.items()]
+    # every alignment of a band, not the best alone: what lies before and behind one is aligned again
+    todo = np.concatenate([cand, np.zeros((len(cand), 1), np.int64), P.length[cand[:, 1]][:, None]], 1)
+    shortest = least_words
+    while len(todo):
+        rest = []
+        for a in range(0, len(todo), 4000):
+            c = todo[a : a + 4000]
+            best, found = _align(text, base[c[:, 0]], lengths[c[:, 0]], P, c[:, 1], c[:, 2], c[:, 3], c[:, 4])
+            for (d, pv, g, lo, hi), s, (b, e, h, last, first) in zip(c.tolist(), best.tolist(), found.tolist(), strict=True):
+                if s <= 0:
+                    continue
+                rest += [(d, pv, g, x, y) for x, y in ((lo, b), (e + 1, hi)) if y - x >= shortest]
+                w, words, own = P.written[pv], P.word[pv], text[base[d] : base[d] + lengths[d]]
+                if w[e] - w[b] + 1 < shortest:
+                    continue
+                if w[e] - w[b] + 1 >= least_words and h >= intact * (e - b + 1):
+                    parts = [(b, e, first, last)]
+                elif h < intact * (e - b + 1):
+                    parts = _windows(words, w, own, b, e, first, last, running, wrong_part)
+                else:
+                    continue
+                for b, e, first, last in parts:
+                    part = words[b : e + 1]
+                    telling = part[P.telling[part]]
+                    if len(telling) and np.isin(telling, own[max(0, last - (e - b) - BAND) : last + 1]).mean() < 0.6:
+                        continue  # shared phrasing around other names and numbers
+                    out.setdefault((ids[d], P.item[pv]), []).append((int(first), int(last)))
+        todo = np.array(rest, np.int64).reshape(-1, 5)
+    rows = []
+    for key, spans in out.items():
+        merged = []
+        for first, last in sorted(spans):
+            if merged and first <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last])
+        rows += [(*key, *span) for span in merged]
+    return rows
 
 
 def leaked_passages(
@@ -199,7 +245,7 @@ def leaked_passages(
     shard_words: int = 400_000,
     max_item_words: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word) of every document that holds a passage in whole or part.
+    """(doc_id, item_id, first_word, last_word) of every quote of a passage, in whole or part; a document with several has a row for each.
 
     A part counts from ``running_words`` running words of the passage on, of which a share of about
     ``wrong_part`` may be replaced, misspelt or dropped; wrong words at both ends of the
@@ -226,7 +272,7 @@ def leaked_passages(
         P, ids, lengths, symbols = Passages(held.value), [], [], []
 
         def flush():
-            rows = _search_shard(ids, lengths, symbols, P, least, intact) if len(P.grams) and symbols else []
+            rows = _search_shard(ids, lengths, symbols, P, least, intact, running_words, wrong_part) if len(P.grams) and symbols else []
             ids.clear(), lengths.clear(), symbols.clear()
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
@@ -246,7 +292,7 @@ def leaked_passages(
     ship_package(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text))
     found = spread_work(rows).mapInArrow(run, "doc bigint, item bigint, first_word int, last_word int")
-    return found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    return found.toDF("doc_id", "item_id", "first_word", "last_word").distinct()
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:

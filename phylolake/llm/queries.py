@@ -60,7 +60,7 @@ def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold at least 20 running words of a held-out passage, with the items."""
-    return p7_leaks(spark, sf).select("doc_id", "item_id")
+    return p7_leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
 def p7_removal_spans(spark: SparkSession, sf: str) -> DataFrame:

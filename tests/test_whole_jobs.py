@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from phylolake.llm.leakage import leaked_passages, removal_spans
 from phylolake.operators import similarity
 from phylolake.plans import build, search_queries
 from phylolake.sinks import writers
@@ -54,3 +55,22 @@ def test_family_json_writes_all_members(spark):
     assert {k: (v[0], v[-1], len(v)) for k, v in chunks.items()} == {(1, 0): (1, 50_000, 50_000), (1, 1): (50_001, 50_001, 1), (2, 0): (50_002, 50_003, 2)}
     meta = build.family_metadata(entries, spark.createDataFrame([], "fam bigint, keywords string"))
     assert {k[0]: len(v) for k, v in read(meta).items()} == {1: 50_001, 2: 2}
+
+
+WORDS = [f"{random.Random(i).choice('bdfgklmnprst')}{random.Random(i + 500).choice('aeiou')}{w}" for i, w in enumerate(["lor", "venk", "mast", "tirg"] * 20)]
+WORDS = [f"{w}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i, w in enumerate(WORDS)]
+OTHER = [f"note{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+
+
+def leaks(frame, *docs):
+    df = frame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    return leaked_passages(df, frame([(1, " ".join(WORDS))], "item_id bigint, passage string"))
+
+
+def test_every_quote_of_a_passage_is_removed(frame):
+    twice = OTHER[:10] + WORDS[10:40] + OTHER[10:50] + WORDS[10:35] + OTHER[50:]
+    parts = OTHER[:10] + WORDS[:25] + OTHER[10:40] + WORDS[55:80]  # nearly on one diagonal
+    close = WORDS[:20] + OTHER[:9] + WORDS[29:49] + OTHER[9:18] + WORDS[58:78]  # one alignment with too many wrong words
+    found = leaks(frame, twice, parts, close)
+    spans = sorted(tuple(r)[:3] for r in removal_spans(found).collect())
+    assert spans == [(0, 10, 39), (0, 80, 104), (1, 10, 34), (1, 65, 89), (2, 0, 19), (2, 29, 48), (2, 58, 77)]
