@@ -25,6 +25,7 @@ from phylolake.session import ship_package, spread_work
 
 SEED = 5  # 20 words with 3 of them wrong still hold an intact run of 5
 BAND = 8  # words inserted or dropped before an alignment leaves its diagonal
+EDGE = 6  # 20 words with 2 of them wrong lose at most 6 at the ends of a local alignment
 TELLING_SHARE = 0.02  # words of at most this share of the items (one item at least) tell a passage from shared phrasing
 GAP, OTHER = 0, 1  # symbols: between documents, and any word no passage has
 
@@ -118,6 +119,35 @@ def _align(doc: np.ndarray, base: np.ndarray, limit: np.ndarray, P: Passages, v:
     return best, found
 
 
+def _beyond(words: np.ndarray, text: np.ndarray):
+    """Per number of passage words past an end of an alignment: (wrong words, text words used, whether the last one is intact)."""
+    n, m = min(len(words), EDGE), min(len(text), EDGE + 2)
+    cost = np.arange(m + 1)
+    out = [(0, 0, True)]
+    for i in range(n):
+        new = np.full(m + 1, i + 1)
+        for j in range(m):
+            new[j + 1] = min(cost[j] + (words[i] != text[j]), cost[j + 1] + 1, new[j] + 1)
+        used = int(new.argmin())
+        out.append((int(new[used]), used, used > 0 and words[i] == text[used - 1]))
+        cost = new
+    return out
+
+
+def _widen(words: np.ndarray, written: np.ndarray, text: np.ndarray, b: int, e: int, intact: int, first: int, last: int, wrong_part: float, ends: bool):
+    """The alignment carried on over wrong words at its ends while their share stays within ``wrong_part``: (b, e, first, last).
+
+    With ``ends`` it stops at intact words.
+    """
+    left, right = _beyond(words[:b][::-1], text[:first][::-1]), _beyond(words[e + 1 :], text[last + 1 :])
+    wrong, best = e - b + 1 - intact, (written[e] - written[b] + 1, 0, b, e, first, last)
+    for i, (wl, ul, il) in enumerate(left):
+        for k, (wr, ur, ir) in enumerate(right):
+            if (not ends or (il and ir)) and wrong + wl + wr <= wrong_part * (e - b + 1 + i + k):
+                best = max(best, (written[e + k] - written[b - i] + 1, -wl - wr, b - i, e + k, first - ul, last + ur))
+    return best[2:]
+
+
 def _windows(words: np.ndarray, written: np.ndarray, text: np.ndarray, b: int, e: int, first: int, last: int, running: int, wrong_part: float):
     """Parts of an alignment with too many wrong words that have few enough by themselves: (b, e, first, last)."""
     place = np.full(e - b + 1, -1)
@@ -194,7 +224,7 @@ def _search_shard(ids, lengths, symbols, P: Passages, least_words: int, intact:
     out = {}
     # every alignment of a band, not the best alone: what lies before and behind one is aligned again
     todo = np.concatenate([cand, np.zeros((len(cand), 1), np.int64), P.length[cand[:, 1]][:, None]], 1)
-    shortest = least_words
+    shortest = running - EDGE
     while len(todo):
         rest = []
         for a in range(0, len(todo), 4000):
@@ -208,11 +238,12 @@ def _search_shard(ids, lengths, symbols, P: Passages, least_words: int, intact:
                 if w[e] - w[b] + 1 < shortest:
                     continue
                 if w[e] - w[b] + 1 >= least_words and h >= intact * (e - b + 1):
-                    parts = [(b, e, first, last)]
+                    parts = [_widen(words, w, own, b, e, h, first, last, wrong_part, True)]
                 elif h < intact * (e - b + 1):
                     parts = _windows(words, w, own, b, e, first, last, running, wrong_part)
                 else:
-                    continue
+                    wide = _widen(words, w, own, b, e, h, first, last, wrong_part, False)
+                    parts = [wide] if w[wide[1]] - w[wide[0]] + 1 >= running else []
                 for b, e, first, last in parts:
                     part = words[b : e + 1]
                     telling = part[P.telling[part]]
@@ -248,8 +279,7 @@ def leaked_passages(
     """(doc_id, item_id, first_word, last_word) of every quote of a passage, in whole or part; a document with several has a row for each.
 
     A part counts from ``running_words`` running words of the passage on, of which a share of about
-    ``wrong_part`` may be replaced, misspelt or dropped; wrong words at both ends of the
-    part may fall outside the alignment. Case, punctuation, layout, markup, look-alike
+    ``wrong_part`` may be replaced, misspelt or dropped, also at both ends of the part. Case, punctuation, layout, markup, look-alike
     characters and wrong decodings do not matter. The word span refers to the
     document's cleaned words.
 

@@ -74,3 +74,13 @@ def test_every_quote_of_a_passage_is_removed(frame):
     found = leaks(frame, twice, parts, close)
     spans = sorted(tuple(r)[:3] for r in removal_spans(found).collect())
     assert spans == [(0, 10, 39), (0, 80, 104), (1, 10, 34), (1, 65, 89), (2, 0, 19), (2, 29, 48), (2, 58, 77)]
+
+
+def test_wrong_words_near_the_ends_of_a_quote(frame):
+    def quote(n, *wrong, drop=()):
+        part = ["wrong" if i + 1 in wrong else w for i, w in enumerate(WORDS[20 : 20 + n]) if i + 1 not in drop]
+        return OTHER[:20] + part + OTHER[20:40]
+
+    cases = [quote(20, 3), quote(20, 18), quote(20, 2, 19), quote(20, 3, 18), quote(20, 3, drop=(18,)), quote(20, 3, 6)]
+    shorter = [quote(16), quote(17), quote(17, 3), quote(17, 2, 16)]
+    assert sorted({r.doc_id for r in leaks(frame, *cases, *shorter).collect()}) == list(range(len(cases)))
