@@ -77,6 +77,12 @@ def gene_names_of_range(s: Spark, sf: str) -> DataFrame:
     return idmap.mapper("gene_name_or_symbol").rows(idmap.xrefs_of(D.xref(s, sf), start=100, stop=900))
 
 
+@R.query("SELECT x.* FROM xref_v x WHERE verification <= 2 AND source IN (110, 0, 10, 105, 95)")
+def gene_names(s: Spark, sf: str) -> DataFrame:
+    """Gene names and symbols of all entries."""
+    return idmap.mapper("gene_name_or_symbol").rows(idmap.xrefs_of(D.xref(s, sf)))
+
+
 @R.query("SELECT entry_nr, count(DISTINCT source) AS n_sources, min(source) AS best FROM xref_v GROUP BY 1")
 def nested_xrefs(s: Spark, sf: str) -> DataFrame:
     n = idmap.nested(D.xref(s, sf))

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from phylolake.llm.leakage import leaked_passages, removal_spans
-from phylolake.operators import similarity
+from phylolake.operators import idmap, similarity
 from phylolake.plans import build, search_queries
 from phylolake.sinks import writers
 
@@ -84,3 +84,12 @@ def test_wrong_words_near_the_ends_of_a_quote(frame):
     cases = [quote(20, 3), quote(20, 18), quote(20, 2, 19), quote(20, 3, 18), quote(20, 3, drop=(18,)), quote(20, 3, 6)]
     shorter = [quote(16), quote(17), quote(17, 3), quote(17, 2, 16)]
     assert sorted({r.doc_id for r in leaks(frame, *cases, *shorter).collect()}) == list(range(len(cases)))
+
+
+def test_gene_names_of_all_entries(spark, frame, tmp_path):
+    ids = [(nr, 110, f"G{nr}", 0) for nr in (1, 99, 100, 899, 900, 5000)]
+    raw = frame([(4, *x) for x in ids], "ReleaseNr int, EntryNr bigint, XRefSource int, XRefId string, Verification int")
+    raw.write.parquet(f"{tmp_path}/xref.parquet")
+    assert sorted(r.entry_nr for r in search_queries.gene_names(spark, str(tmp_path)).collect()) == [1, 99, 100, 899, 900, 5000]
+    ranged = idmap.xrefs_of(frame(ids, "entry_nr bigint, source int, xref_id string, verification int"), start=100, stop=900)
+    assert sorted(r.entry_nr for r in idmap.mapper("gene_name_or_symbol").rows(ranged).collect()) == [100, 899]
