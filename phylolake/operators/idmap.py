@@ -189,17 +189,31 @@ def match_score(a: Column, b: Column) -> Column:
 def fuzzy_match(queries: DataFrame, targets: DataFrame, query: str, target: str, *, key: str, cutoff: float = 0.6, n: int = 3) -> DataFrame:
     """(query, key, score) of targets similar to a query, the best text of every key.
 
-    Candidates share a letter n-gram; they are ranked by edit distance.
+    A score of ``cutoff`` allows (1 - cutoff) edits per letter of the longer text. Candidates fit in length and share at least as many
+    letter n-grams (the repeats of one numbered) as so many edits leave; where none need be left, texts are compared by length alone.
+    All are ranked by edit distance.
     """
 
     def grams(c):
         padded = F.concat(F.lit("$"), F.lower(c), F.lit("$"))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.transform(every, lambda x, i: F.struct(x.alias("text"), F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda y: y == x)).alias("nr")))
 
-    q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL AND query <> ''").distinct()
-    t = targets.select(key, F.col(target).alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    def lengths(c):
+        return F.length(F.lower(c))
+
+    def left(longest):  # n-grams of a padded text of that length that the edits cannot reach
+        return longest + 2 - (n - 1) - n * F.floor((1 - cutoff) * longest + 1e-9)
+
+    q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL AND query <> ''").distinct().withColumn("lq", lengths("query"))
+    t = targets.select(key, F.col(target).alias("text")).where("text IS NOT NULL AND text <> ''").distinct().withColumn("lt", lengths("text"))
+    longest = F.greatest("lq", "lt")
+    fits = F.abs(F.col("lq") - F.col("lt")) <= (1 - cutoff) * longest + 1e-9
     qa, ta = q.withColumn("g", F.explode(grams(F.col("query")))), t.withColumn("g", F.explode(grams(F.col("text"))))
-    cand = qa.join(ta, "g").select("query", key, "text").distinct()
+    shared = qa.join(ta, "g").where(fits).groupBy("query", key, "text", "lq", "lt").agg(F.count(F.lit(1)).alias("n")).where((left(longest) > 0) & (F.col("n") >= left(longest)))
+    near = F.sequence(F.floor(F.col("lq") * cutoff - 1e-9), F.ceil(F.col("lq") / max(cutoff, 1e-9) + 1e-9)) if cutoff > 0 else None
+    free = q.withColumn("lt", F.explode(near)).join(t, "lt") if near is not None else q.crossJoin(t)
+    cand = shared.select("query", key, "text").unionByName(free.where(fits & (left(longest) <= 0)).select("query", key, "text"))
     scored = cand.withColumn("score", match_score(F.col("query"), F.col("text"))).where(F.col("score") >= cutoff)
     return scored.groupBy("query", key).agg(F.max("score").alias("score"))
 

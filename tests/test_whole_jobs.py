@@ -93,3 +93,10 @@ def test_gene_names_of_all_entries(spark, frame, tmp_path):
     assert sorted(r.entry_nr for r in search_queries.gene_names(spark, str(tmp_path)).collect()) == [1, 99, 100, 899, 900, 5000]
     ranged = idmap.xrefs_of(frame(ids, "entry_nr bigint, source int, xref_id string, verification int"), start=100, stop=900)
     assert sorted(r.entry_nr for r in idmap.mapper("gene_name_or_symbol").rows(ranged).collect()) == [100, 899]
+
+
+def test_fuzzy_match_without_a_common_trigram(frame):
+    queries = frame(["abcdefgh", "ab", "abcdefghijklmnop"], "q string")
+    targets = frame([(1, "abXdeXgX"), (2, "abcdefgh"), (3, "aXXdXfgh"), (4, "abc"), (5, "abXdefXhijXlmnXp")], "k int, t string")
+    got = {(r["query"], r.k): round(r.score, 3) for r in idmap.fuzzy_match(queries, targets, "q", "t", key="k").collect()}
+    assert got == {("abcdefgh", 1): 0.625, ("abcdefgh", 2): 1, ("abcdefgh", 3): 0.625, ("ab", 4): 0.667, ("abcdefghijklmnop", 5): 0.75}
