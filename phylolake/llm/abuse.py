@@ -1,17 +1,21 @@
 """Scores of abusive, hateful or sexually explicit language per document.
 
-Disguised words are restored first (:mod:`noisy_channel`), under a character
-model of the whole corpus and the vocabulary such words come from. Restored
-sentences are scored by who is addressed and what is said, and by a classifier
-over words and word pairs fitted to a bounded sample of reviewed documents.
+Disguised words are restored first (:mod:`noisy_channel`). The restored text is cut into sentences, long ones into
+overlapping windows, and each is scored by a logistic model over words, pairs of words and, for words the
+model does not know, runs of letters; a lexicon is one further feature. A document is as bad as its worst
+sentence. The model is fitted to a bounded sample of reviewed documents: a flagged document vouches only for its worst sentences, reviews
+that contradict the other folds of a cross-validation are left out, and the scores are calibrated on the held-out folds.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,150 +26,325 @@ from phylolake.llm.noisy_channel import CharacterModel, Restorer
 from phylolake.session import ship_package, spread_work
 
 MAX_LABELLED = 20_000  # reviewed documents the classifier is fitted to, at most
-PHRASE_WEIGHT = 2.2
+FOLDS = 3
+LEAST_FLAGGED = 40  # with fewer flagged documents than this the lexicon alone scores
+WINDOW, STEP, LONG = 16, 8, 24  # sentences of more than LONG words are scored in windows
+GRAM = 4  # letters of the runs that stand for unknown words
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|\s\|\s")
-PLAIN = re.compile(r"[^a-z0-9]+")
-_ENDINGS = r"(?:s|es|e|en|er|ern|n|r|in|innen|as|os|a|z|y)?"
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
+_KINDS = {"abusive": (set(L.INSULTS) | set(L.MILD_INSULTS) | set(L.THREATS)), "hateful": set(L.HATE), "sexual": set(L.SEXUAL)}
+_YOU, _STRONG, _MILD, _THREAT = set(L.YOU), set(L.INSULTS), set(L.MILD_INSULTS), set(L.THREATS)
 
-def _any(patterns, *, boundary=True) -> re.Pattern:
-    b = r"\b" if boundary else ""
-    return re.compile(b + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")", re.S)
 
+def vocabulary() -> dict[str, int]:
+    """Words that people disguise, with weights."""
+    weight = dict.fromkeys([*L.MILD_INSULTS, *L.SEXUAL, *L.HATE], 1)
+    return weight | dict.fromkeys([w + "s" for w in L.INSULTS], 3) | dict.fromkeys([*L.INSULTS, *L.DISGUISED], 8)
 
-STRONG = _any([rf"(?:{'|'.join(sorted(set(L.STRONG_INSULTS)))}){_ENDINGS}\b"])
-MILD = _any([rf"(?:{'|'.join(sorted(set(L.MILD_INSULTS)))}){_ENDINGS}\b"])
-ATTACK, THREAT, HATE, SEXUAL = _any(L.ATTACKS), _any(L.THREATS), _any(L.HATE), _any(L.SEXUAL)
-SECOND, PERSON, FIRST = (re.compile(rf"\b{p}\b") for p in (L.SECOND_PERSON, L.PERSON, L.FIRST_PERSON))
-MENTION, SCIENCE = re.compile(rf"\b{L.MENTION}"), re.compile(rf"\b{L.SCIENCE}\b")
-SCORNED = re.compile(rf"\b{L.SCORN}(?:{'|'.join(sorted(set(L.MILD_INSULTS)))}){_ENDINGS}\b")
-AIMED = re.compile(
-    r"\b(?:what an?|such an?|only an?|quel(?:le)?s?|que|menudo|vaya|was fur ein\w*|pack of|bunch of|gang of|bande de|like you|"
-    r"is an?|are an?|was an?|are all|ist ein\w*|est un\w*|es un\w*|sont des|son unos|nothing but)\b"
-)
 
+def corpus_grams(docs: DataFrame, text: str) -> DataFrame:
+    """(gram, n) of all runs of three letters in the words of all documents, with the words' ends; at most 28^3 rows."""
+    plain = F.replace(F.translate(F.lower(F.col(text)), *ACCENTS), F.lit("ß"), F.lit("ss"))
+    word = F.explode(F.regexp_extract_all(plain, F.lit("([a-z]+)"), F.lit(1)))
+    counted = spread_work(docs.select(text)).select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3))))
+    return counted.select(gram.alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
-def vocabulary() -> dict[str, int]:
-    """Words that people disguise, with weights: insults and the words of :data:`L.DISGUISED` before
-    the plain words of the listed phrases."""
-    plain = {w for p in (*L.ATTACKS, *L.THREATS, *L.HATE, *L.SEXUAL) for w in re.findall(r"(?<![\\a-z])[a-z]{3,}", p)}
-    weight = dict.fromkeys(plain | set(L.MILD_INSULTS), 1)
-    return weight | dict.fromkeys([w + "s" for w in L.STRONG_INSULTS], 3) | dict.fromkeys([*L.STRONG_INSULTS, *L.DISGUISED], 8)
 
+def lexicon_odds(words: list[str]) -> float:
+    """Log-odds of a sentence by the lexicon alone."""
+    own = set(words)
+    you = not own.isdisjoint(_YOU)
+    odds = -4.0
+    if not own.isdisjoint(_STRONG):
+        odds += 5.0 if you else 4.5
+    if not own.isdisjoint(_MILD):
+        odds += 4.5 if you else 2.0
+    if len(own & _KINDS["sexual"]) > 0:
+        odds += 3.0 if len(own & _KINDS["sexual"]) == 1 else 6.0
+    if not own.isdisjoint(_KINDS["hateful"]):
+        odds += 3.5
+    if you and not own.isdisjoint(_THREAT):
+        odds += 3.0
+    return odds
 
-def rule_score(sentence: str) -> tuple[float, str | None]:
-    """Log-odds and kind of one restored, folded, plain sentence.
 
-    Insults need somebody they are aimed at; self-irony, talk about moderation and
-    plain science take the odds down, anger at a thing never reaches them.
-    """
-    s = sentence
-    mention = bool(MENTION.search(s))
-    t = SCIENCE.sub(" _ ", s)
-    if THREAT.search(t):
-        return (6.0 if not mention else -2.0), "abusive"
-    if ATTACK.search(t):
-        return (6.0 if not mention else -2.0), "abusive"
-    if HATE.search(t):
-        return (5.0 if not mention else -2.0), "hateful"
-    if SEXUAL.search(t):
-        return (5.0 if not mention else -2.0), "sexual"
-    strong, mild = STRONG.search(t), MILD.search(t)
-    if strong or mild:
-        first = FIRST.search(t)
-        second = SECOND.search(t)
-        if mention or (first and not second):
-            return -2.0, "abusive"
-        aimed = bool(second or PERSON.search(t) or AIMED.search(t))
-        if strong:
-            return (5.0 if aimed else 1.0), "abusive"
-        if SCORNED.search(t) or (second and AIMED.search(t)):
-            return 1.5, "abusive"
-        return -2.5, "abusive"
-    return -5.0, None
-
-
-def _plain(sentence: str) -> str:
-    return PLAIN.sub(" ", sentence).strip()
-
-
-def _features(plain: str) -> set[str]:
-    w = [x for x in plain.split(" ") if x and not any(c.isdigit() for c in x)]
-    return set(w) | {a + " " + b for a, b in zip(w, w[1:], strict=False)}
+def kind_of(words: list[str]) -> str:
+    """Kind of language with most words of the lexicon; without any it is called abusive."""
+    n = {k: sum(w in v for w in words) for k, v in _KINDS.items()}
+    return max(n, key=lambda k: (n[k], k == "abusive"))
 
 
 class Sentences:
-    """Restored plain sentences of raw text."""
+    """Sentences of raw text as (plain words, restored words or None, doubt)."""
 
     def __init__(self, grams: dict[str, int]):
         self.restorer = Restorer(CharacterModel(vocabulary(), grams))
 
-    def of(self, text: str | None) -> list[str]:
+    def of(self, text: str | None):
         if not text:
-            return []
-        folded = T.fold(T.readable(text))
-        plain = (_plain(self.restorer.text(x)) for x in SENTENCE.split(folded))
-        return [x for x in plain if x]
+            return
+        for s in SENTENCE.split(T.fold(T.readable(text))):
+            plain, restored, doubt = self.restorer.sentence(s)
+            if plain or restored:
+                yield plain, restored, doubt
 
 
-def corpus_grams(docs: DataFrame, text: str) -> DataFrame:
-    """(gram, n) of all letter runs of four inside the words of all documents; at most 28^4 rows."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]{2,24})"), F.lit(1)))
-    counted = docs.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(padded, i, F.lit(4))))
-    return counted.select(gram.alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+def windows(words: list[str]):
+    if len(words) <= LONG:
+        yield words
+        return
+    for i in range(0, len(words) - WINDOW + STEP, STEP):
+        yield words[i : i + WINDOW]
 
 
-def fit_phrases(labelled: list[tuple[str | None, int]], grams: dict[str, int]) -> dict[str, float]:
-    """Log-odds of words and word pairs from reviewed documents.
+def _grams(word: str) -> list[str]:
+    w = "^" + word + "$"
+    return ["~" + w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
 
-    A flagged document vouches for one of its sentences only: those the rules
-    already explain are taken, else all its sentences share the weight. Evidence
-    from fewer than three flagged documents is ignored.
-    """
-    sentences, pos, neg, n_pos, n_neg = Sentences(grams), Counter(), Counter(), 0.0, 0
-    seen = Counter()
-    for text, flagged in labelled:
-        own = sentences.of(text)
-        if flagged:
-            told = [s for s in own if rule_score(s)[0] > 0] or own
-            share: Counter = Counter()
-            for s in told:
-                for f in _features(s):
-                    share[f] += 1 / len(told)
-            for f, x in share.items():
-                pos[f] += min(1.0, x)
-                seen[f] += 1
-            n_pos += 1
+
+def features(words: list[str], known) -> list[tuple[str, float]]:
+    """Words, pairs of words, and runs of letters for words that are not ``known``; numbers are one word."""
+    own = ["0" if w[0] <= "9" else w for w in words]
+    out = []
+    for w in own:
+        if w in known:
+            out.append((w, 1.0))
+        else:
+            g = _grams(w)
+            out += [(x, 1 / len(g)) for x in g]
+    return out + [(a + " " + b, 1.0) for a, b in zip(own, own[1:], strict=False)]
+
+
+class Classifier:
+    """Weights of the features; the score of a sentence is its log-odds."""
+
+    def __init__(self, known=(), weight=None, bias=0.0, lexicon=1.0, scale=1.0, shift=0.0):
+        self.known, self.weight, self.bias, self.lexicon, self.scale, self.shift = set(known), weight or {}, bias, lexicon, scale, shift
+        self._word: dict[str, float] = {}
+
+    def _of_word(self, w: str) -> float:
+        got = self._word.get(w)
+        if got is None:
+            if len(self._word) > 1_000_000:
+                self._word.clear()
+            if w in self.known:
+                got = self.weight.get(w, 0.0)
+            else:
+                g = _grams(w)
+                got = sum(self.weight.get(x, 0.0) for x in g) / len(g)
+            self._word[w] = got
+        return got
+
+    def odds(self, words: list[str]) -> float:
+        if not self.weight:
+            return lexicon_odds(words)
+        own = ["0" if w[0] <= "9" else w for w in words]
+        get, of = self.weight.get, self._of_word
+        pairs = sum([get(a + " " + b, 0.0) for a, b in zip(own, own[1:], strict=False)])
+        return self.bias + self.lexicon * lexicon_odds(words) + sum([of(w) for w in own]) + pairs
+
+    def document(self, sentences) -> tuple[float, str | None]:
+        """(probability, kind from 0.5 on) of a document."""
+        best, at = -20.0, []
+        for plain, restored, doubt in sentences:
+            for words, less in ((plain, 0.0), (restored, doubt)):
+                for part in windows(words) if words else ():
+                    o = self.odds(part) + less
+                    if o > best:
+                        best, at = o, part
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * best + self.shift))))
+        return p, kind_of(at) if p >= 0.5 else None
+
+    def dump(self) -> str:
+        return json.dumps([sorted(self.known), self.weight, self.bias, self.lexicon, self.scale, self.shift])
+
+    @classmethod
+    def load(cls, text: str) -> Classifier:
+        return cls(*json.loads(text))
+
+
+class _Rows:
+    """Sparse feature rows, kept by row and by column."""
+
+    def __init__(self, rows, index: dict[str, int]):
+        cols, vals, lens = [], [], []
+        for fs in rows:
+            own = [(index[f], v) for f, v in fs if f in index]
+            cols += [c for c, _ in own]
+            vals += [v for _, v in own]
+            lens.append(len(own))
+        self.n, self.d = len(lens), len(index)
+        self.col, self.val = np.array(cols, np.intp), np.array(vals)
+        row = np.repeat(np.arange(self.n), lens)
+        by = np.argsort(self.col, kind="stable")
+        self.row_of, self.val_of = row[by], self.val[by]
+        self.rows, self.row_start = np.unique(row, return_index=True)
+        self.cols, self.col_start = np.unique(self.col[by], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.col):
+            out[self.rows] = np.add.reduceat(self.val * w[self.col], self.row_start)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.d)
+        if len(self.col):
+            out[self.cols] = np.add.reduceat(self.val_of * g[self.row_of], self.col_start)
+        return out
+
+
+def _logistic(X: _Rows, lex: np.ndarray, y: np.ndarray, use: np.ndarray, start: np.ndarray, steps: int, penalty: float) -> np.ndarray:
+    """L2-penalised logistic regression by L-BFGS; the last two weights are those of the lexicon (drawn to 1) and the bias (free)."""
+    d = X.d
+    centre = np.zeros(d + 2)
+    centre[d] = 1.0
+    strength = np.full(d + 2, penalty)
+    strength[d], strength[d + 1] = penalty * 5, 1e-6
+
+    def value(w):
+        z = X.times(w[:d]) + w[d] * lex + w[d + 1]
+        loss = (np.logaddexp(0, z) - y * z) * use
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * use
+        grad = np.concatenate([X.back(g), [g @ lex, g.sum()]]) + strength * (w - centre)
+        return loss.sum() + 0.5 * (strength * (w - centre) ** 2).sum(), grad
+
+    w, (f, g), past = start.copy(), value(start), []
+    for _ in range(steps):
+        q, a = g.copy(), []
+        for s, t, r in reversed(past):
+            a.append(r * (s @ q))
+            q -= a[-1] * t
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum())
+        for (s, t, r), x in zip(past, reversed(a), strict=True):
+            q += s * (x - r * (t @ q))
+        size, slope = 1.0, -(g @ q)
+        for _ in range(20):
+            new = w - size * q
+            fn, gn = value(new)
+            if fn <= f + 1e-4 * size * slope:
+                break
+            size /= 2
         else:
-            neg.update({f for s in own for f in _features(s)})
-            n_neg += 1
-    if not n_pos or not n_neg:
-        return {}
-    weight = {}
-    for f, n in seen.items():
-        if n >= 3:
-            w = math.log((pos[f] + 0.05) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1))
-            if w > 0.5:
-                weight[f] = round(w, 4)
-    return weight
-
-
-def phrase_score(plain: str, weight: dict[str, float]) -> float:
-    """Evidence of the classifier for a sentence: the mean of its three most telling words and pairs."""
-    best = sorted((weight[f] for f in _features(plain) if f in weight), reverse=True)[:3]
-    return sum(best) / 3 if len(best) == 3 else 0.0
-
-
-def document_score(sentences: list[str], weight: dict[str, float]) -> tuple[float, str | None]:
-    best, kind = -5.0, None
-    for s in sentences:
-        odds, k = rule_score(s)
-        odds += PHRASE_WEIGHT * max(0.0, phrase_score(s, weight) - 1.0)
-        if odds > best:
-            best, kind = odds, k or "abusive"
-    return 1 / (1 + math.exp(-best)), kind if best > 0 else None
+            break
+        s, t = new - w, gn - g
+        if s @ t > 1e-10:
+            past = [*past[-7:], (s, t, 1 / (s @ t))]
+        done = f - fn < 1e-4 * abs(f)
+        w, f, g = new, fn, gn
+        if done:
+            break
+    return w
+
+
+def _fit_weights(X: _Rows, lex, doc, flagged, keep, penalty, rounds=3):
+    """Weights from the documents in ``keep``: of flagged ones the sentences that look worst count, of the others all."""
+    w = np.zeros(X.d + 2)
+    w[X.d] = 1.0
+    z = lex.astype(float)
+    inside = keep[doc]
+    for _ in range(rounds):
+        worst = np.full(len(keep), -np.inf)
+        np.maximum.at(worst, doc, z)
+        positive = (flagged[doc] == 1) & ((z > 0) | (z >= worst[doc]))
+        use = (inside & (positive | (flagged[doc] == 0))).astype(float)
+        w = _logistic(X, lex, positive.astype(float), use, w, 30, penalty)
+        z = X.times(w[: X.d]) + w[X.d] * lex + w[X.d + 1]
+    worst = np.full(len(keep), -np.inf)
+    np.maximum.at(worst, doc, z)
+    return w, worst
+
+
+def fit(labelled: list[tuple[int, str | None, int]], grams: dict[str, int], *, penalty: float = 0.3) -> tuple[Classifier, dict]:
+    """The classifier of (id, text, flagged) rows, and its cross-validated figures.
+
+    With fewer than ``LEAST_FLAGGED`` flagged documents the lexicon scores by itself.
+    """
+    labelled = sorted(labelled, key=lambda r: r[0])
+    flagged = np.array([int(r[2]) for r in labelled], np.int8)
+    if flagged.sum() < LEAST_FLAGGED or (flagged == 0).sum() < LEAST_FLAGGED:
+        return Classifier(), {}
+    sentences = Sentences(grams)
+    parts, doc = [], []
+    for i, (_, text, _) in enumerate(labelled):
+        for plain, restored, doubt in sentences.of(text):
+            for part in windows(restored if restored and doubt > -1 else plain):
+                parts.append(part)
+                doc.append(i)
+    doc = np.array(doc, np.int32)
+    lex = np.array([lexicon_odds(p) for p in parts], np.float32)
+    often: Counter = Counter()
+    last: dict[str, int] = {}
+    for p, i in zip(parts, doc, strict=True):
+        for w in {"0" if w[0] <= "9" else w for w in p}:
+            if last.get(w) != i:
+                last[w] = i
+                often[w] += 1
+    known = {w for w, n in often.items() if n >= 3}
+    rows = [features(p, known) for p in parts]
+    held: dict[str, set[int]] = {}
+    for fs, i in zip(rows, doc, strict=True):
+        if flagged[i]:
+            for f, _ in fs:
+                held.setdefault(f, set()).add(i)
+    index = {f: k for k, f in enumerate(sorted(f for f, at in held.items() if len(at) >= 2))}
+    X = _Rows(rows, index)
+    fold = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in labelled])
+    seen = np.zeros(len(labelled), bool)
+    seen[doc] = True
+
+    def held_out(keep):
+        z = np.full(len(labelled), -20.0)
+        for k in range(FOLDS):
+            _, worst = _fit_weights(X, lex, doc, flagged, keep & (fold != k), penalty)
+            z[(fold == k) & seen] = worst[(fold == k) & seen]
+        return z
+
+    z = held_out(np.ones(len(labelled), bool))
+    agree = ((flagged == 1) & (z > -1.5)) | ((flagged == 0) & (z < 1.5))  # reviews the other folds contradict are taken for wrong
+    w, _ = _fit_weights(X, lex, doc, flagged, agree, penalty)
+    scale, shift = _calibrate(z[agree & seen], flagged[agree & seen])
+    d = X.d
+    weight = {f: round(float(w[k]), 4) for f, k in index.items() if abs(w[k]) > 1e-3}
+    told = z * scale + shift > 0
+    figures = {
+        "reviewed": len(labelled), "left_out": int((~agree).sum()), "recall_of_kept": float((told & agree & (flagged == 1)).sum() / max(1, (agree & (flagged == 1)).sum())),
+        "precision_of_kept": float((told & agree & (flagged == 1)).sum() / max(1, (told & agree).sum())),
+    }
+    return Classifier(known, weight, float(w[d + 1]), float(w[d]), scale, shift), figures
+
+
+def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make held-out log-odds probabilities (Platt)."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        r, v = p - y, np.maximum(p * (1 - p), 1e-9)
+        g = np.array([r @ z + 0.1 * (a - 1), r.sum()])
+        h = np.array([[v @ (z * z) + 0.1, v @ z], [v @ z, v.sum() + 1e-6]])
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(a), float(b)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, grams: dict[str, int], *, id_col: str, text: str, flagged: str, max_labelled: int, seed: int) -> DataFrame:
+    """One row (classifier, figures): fitted in one task to a seeded sample of at most ``max_labelled`` reviewed documents."""
+    agreed = labels.where(F.col(flagged).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(flagged).alias("a"), F.max(flagged).alias("b")).where("a = b")
+    chosen = agreed.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(max_labelled).select(id_col, "a")
+    sample = docs.select(F.col(id_col).cast("bigint").alias(id_col), text).join(F.broadcast(chosen), id_col).select(id_col, text, F.col("a").cast("int"))
+    held = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        model, figures = fit(rows, held.value)
+        yield pa.RecordBatch.from_arrays([pa.array([model.dump()]), pa.array([json.dumps(figures)])], names=["model", "figures"])
+
+    return sample.coalesce(1).mapInArrow(run, "model string, figures string")
 
 
 def abuse_scores(
@@ -180,28 +359,26 @@ def abuse_scores(
 ) -> DataFrame:
     """(doc_id, score, kind) of every document; kind is abusive, hateful or sexual from a score of 0.5 on.
 
-    ``labels`` has reviews (id, flagged 0/1) of some documents: a seeded sample of at
-    most ``max_labelled`` reviewed documents is read to the driver for the
-    classifier; contradictory ones are left out, null reviews too. Without labels
-    the rules alone score. Null and empty texts score lowest; null ids are ignored.
+    ``labels`` has reviews (id, flagged 0/1) of some documents; the classifier is fitted to a seeded sample of at
+    most ``max_labelled`` reviewed documents. Contradictory reviews are left out, null ones too. Without labels, or with
+    fewer than ``LEAST_FLAGGED`` of either kind, the lexicon alone scores. Null and empty texts score lowest; null ids are ignored.
+    Every token of every text goes through the lattice, equal ones once per task: joining decoded tokens
+    back to the texts would shuffle all texts.
     """
-    grams = {g: n for g, n in corpus_grams(docs, text).where("n > 2").toLocalIterator()}
-    weight: dict[str, float] = {}
-    if labels is not None:
-        agreed = labels.where(F.col(flagged).isNotNull()).groupBy(id_col).agg(F.min(flagged).alias("a"), F.max(flagged).alias("b")).where("a = b")
-        chosen = agreed.orderBy(F.xxhash64(F.col(id_col), F.lit(seed))).limit(max_labelled).select(id_col, "a")
-        sample = docs.select(id_col, text).join(F.broadcast(chosen), id_col).select(text, "a").collect()
-        weight = fit_phrases([(r[0], r[1]) for r in sample], grams)
     spark = docs.sparkSession
     ship_package(spark)
-    held = spark.sparkContext.broadcast((grams, weight))
+    grams = {g: n for g, n in corpus_grams(docs, text).toLocalIterator()}
+    model = Classifier().dump()
+    if labels is not None:
+        row = fitted(docs, labels, grams, id_col=id_col, text=text, flagged=flagged, max_labelled=max_labelled, seed=seed).first()
+        model = row["model"] if row else model
+    held = spark.sparkContext.broadcast((grams, model))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("kind", pa.string())])
 
     def run(batches):
-        grams_, weight_ = held.value
-        sentences = Sentences(grams_)
+        sentences, classifier = Sentences(held.value[0]), Classifier.load(held.value[1])
         for batch in batches:
-            scored = [document_score(sentences.of(t), weight_) for t in batch.column(1).to_pylist()]
+            scored = [classifier.document(sentences.of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([round(s, 6) for s, _ in scored], pa.float64()), pa.array([k for _, k in scored], pa.string())], schema=schema
             )

@@ -1,218 +1,51 @@
 """General vocabulary of abuse, hate and explicit sex in four languages, folded (no accents, lower case).
 
-Word entries are stems; common endings are added where they are used. Phrases are
-patterns over folded text with single spaces and without punctuation.
+The words are those people disguise, and one feature of the classifier; what decides about a document is fitted to reviewed documents.
 """
 
 # Insults that are abusive almost wherever they are aimed at someone.
-STRONG_INSULTS = """
+INSULTS = """
 asshole arsehole asshat bastard bitch bollocks bullshitter cocksucker cunt dickhead dickwad dipshit douche douchebag dumbass dumbfuck fuckface
-fuckhead fucktard fucker fuckwit halfwit jackass knobhead motherfucker numbnuts numbskull prick retard scumbag shithead shitbag skank slut twat
-wanker whore tosser pillock bellend dimwit nitwit imbecile cretin moron lowlife sleazebag dirtbag degenerate subhuman
-arschloch arschgesicht bastard blodmann depp dreckskerl drecksau drecksack dummkopf fotze hurensohn hure idiot miststuck missgeburt nutte
-penner schlampe schwachkopf scheisskerl spast trottel vollidiot volltrottel vollpfosten wichser hohlkopf
-connard connasse salope salaud enculé encule abruti batard bouffon cretin debile pute putain petasse ordure minable ducon trouduc couillon
-cabron gilipollas pendejo puta puto capullo cabronazo imbecil hijoputa malparido mamon maricon zorra subnormal mierdoso cretino
+fuckhead fucktard fucker fuckwit halfwit jackass knobhead motherfucker numbnuts numbskull prick retard scumbag shithead shitbag skank slut twat wanker
+whore tosser pillock bellend dimwit nitwit imbecile cretin moron lowlife sleazebag dirtbag degenerate subhuman arschloch arschgesicht blodmann depp
+dreckskerl drecksau drecksack dummkopf fotze hurensohn hure idiot miststuck missgeburt nutte penner schlampe schwachkopf scheisskerl spast trottel
+vollidiot volltrottel vollpfosten wichser hohlkopf connard connasse salope salaud encule abruti batard bouffon debile pute putain petasse ordure
+minable ducon trouduc couillon cabron gilipollas pendejo puta puto capullo cabronazo imbecil hijoputa malparido mamon maricon zorra subnormal mierdoso
+cretino
 """.split()
 
 # Words that insult only when a person is meant.
 MILD_INSULTS = """
-idiot fool clown loser liar pig rat worm parasite vermin coward failure garbage trash scum stupid dumb ugly pathetic worthless useless brainless
-lazy dirty filthy incompetent rotten dumm dreckig faul mies armselig wertlos versager luger schwein ratte lappen clown affe
-idiot clown rat porc nul nulle stupide sale con raclure dechet incapable menteur
-idiota payaso basura rata cerdo inutil tonto estupido mentiroso patetico asqueroso fracasado
+idiot fool clown loser liar pig rat worm parasite vermin coward failure garbage trash scum stupid dumb ugly pathetic worthless useless brainless lazy
+dirty filthy incompetent rotten dumm dreckig faul mies armselig wertlos versager luger schwein ratte lappen affe porc nul nulle stupide sale con
+raclure dechet incapable menteur idiota payaso basura rata cerdo inutil tonto estupido mentiroso patetico asqueroso fracasado
 """.split()
 
-# Orders and wishes thrown at a person.
-ATTACKS = r"""
-fuck (?:you|off|yourself|u|your|this whole|the whole|that \S+ of yours|and)\b.*
-go fuck yourself
-(?:fuck|screw|damn|piss on) (?:you|your|the whole|all of you|every one of you)\b
-(?:piss|sod|bugger|naff) off\b
-screw (?:you|the whole|them all|yourself)
-(?:kiss|lick) my (?:ass|arse|butt)
-bite me\b
-were you dropped on your
-you (?:disgust|sicken|revolt) me
-ashamed to (?:breathe|exist|live|be alive)
-crawl back (?:under|into|to)
-how (?:dumb|stupid|thick|dense|ignorant) can (?:one|a|any)
-(?:who|what) (?:let|allowed) (?:you|this (?:idiot|clown|fool))
-eat (?:shit|dirt)
-suck my
-go to hell
-get lost
-shut (?:up|it|your (?:mouth|face|trap|gob|filthy mouth))\b
-your mother (?:must|is|was|should)
-your (?:whole )?(?:brain|face|mother|family) (?:is|must|are)\b
-your \S+(?: on \S+)? (?:is|are) (?:\S+ )?(?:crap|shit|garbage|trash|rubbish|a joke|worthless|pathetic|laughable)
-(?:is|are) (?:\S+ )?(?:crap|shit|garbage|rubbish|trash|a joke) and so are you
-(?:in|inside|between) your (?:skull|head|thick skull|ears|empty head)\b
-(?:more|less|better) (?:brains?|sense|wit) than you\b
-(?:rot|burn) in hell
-(?:waste|sack|piece|pile|bag|heap|lump) of (?:space|shit|crap|trash|garbage|filth|scum|dirt|oxygen|air|skin)
-you (?:are|re|must be|really are) (?:a|an|such|the|nothing|just|all|so)\b.{0,30}\b(?:idiots?|fools?|clowns?|losers?|liars?|pigs?|rats?|worms?|parasites?|failures?|disgrace|joke|stupid|dumb|trash|scum|garbage|pathetic|worthless)
-(?:you|your) (?:stupid|dumb|ugly|pathetic|worthless|useless|filthy|dirty|lazy|rotten|brainless|miserable|incompetent|lying|corrupt)\b
-verpiss dich
-halt (?:die fresse|die klappe|s maul|das maul|dein maul|deine fresse|deine klappe|dein dreckiges maul)
-fick dich
-leck mich
-scher dich
-geh (?:sterben|zum teufel)
-stuck (?:dreck|scheisse|scheiss|mist)
-du (?:bist|warst|bleibst) (?:ein|eine|der|die|das|nur|doch|so|echt|wirklich|nichts)\b.{0,30}\b(?:idiot|clown|versager|lugner|schwein|ratte|wurm|abschaum|dreck|mull|dumm|mies\w*|letzte\w*)
-du (?:dumme?r?|blode?r?|faule?s?|dreckige?s?|miese?s?|elende?r?|widerliche?r?)\b
-(?:ferme|fermez) (?:ta|la|vos|votre) (?:gueule|bouche)
-ta gueule
-va te faire
-allez vous faire
-va en enfer
-casse toi
-tu n es qu
-(?:espece|bande|ramassis|tas) (?:de|d)\b.{0,25}(?:con\w*|idiots?|cretins?|abrutis?|debiles?|incapables?|nuls?|clowns?|merdes?|ordures?|imbeciles?)
-t es (?:un|une|qu un|qu une|trop)\b
-fils de (?:pute|chien)
-sale (?:con|conne|connard|merde|chien|porc|pute|batard|type|idiot)
-quel (?:le)?(?:ramassis|bande|tas) de
-vete (?:a la mierda|al infierno|a tomar|al carajo|a la porra)
-(?:callate|callaos|cierra (?:la|el) (?:boca|pico|hocico))
-que te (?:jodan|follen|den)
-(?:chinga|chupa|jode)(?:te| tu| la)\b
-hijos? de (?:puta|perra)
-eres (?:un|una|el|la|tan|mas)\b.{0,30}\b(?:idiota|payaso|basura|rata|cerdo|inutil|tonto|estupido|mentiroso|patetico|imbecil|mierda|fracasado|vergüenza|verguenza)
-pedazo de (?:mierda|idiota|basura|imbecil|animal)
-(?:panda|banda|manada|hatajo) de (?:idiotas|inutiles|imbeciles|payasos|cretinos|ratas|gilipollas|cabrones|\w*mierdas?)
-""".strip().splitlines()
-
-# Threats against a person and wishes of harm or death.
-THREATS = r"""
-(?:i|we) (?:will|ll|shall|am going to|are going to|m going to|re going to|want to|should|would love to) (?:kill|hurt|smash|break|burn|beat|stab|shoot|strangle|crush|destroy|hunt|slap|punch|cut|slit|skin|bury|gut|torture|cripple|find|make) (?:you\b|your\b|every one of you|all of you|u\b|ya\b)
-(?:i|we) (?:will|ll) (?:hunt|track|take|beat|put|burn|wipe|tear|gun) (?:you|your\w*|all of you) (?:down|out|up|apart|to|in)
-(?:i|we) know where (?:you|your \w+|u) (?:live|lives|work|works|sleep|is|are|park|go)
-you (?:will|ll|are going to|re going to) (?:regret|pay|bleed|suffer|die|burn|rot|wish)\b
-you (?:deserve|ought|should|need) (?:to )?(?:die|hang|rot|burn|suffer|be (?:shot|hanged|beaten|killed|hurt))
-watch your back
-(?:kill|hang|shoot|drown|hurt) yourself
-(?:nobody|no one|not a soul|noone) (?:would|will|d) (?:miss|cry for|mourn|shed a tear for) you
-(?:i|we) hope (?:you|your \w+|u) (?:\w+ ){0,3}?(?:die|dies|choke|rot|rots|suffer|get|gets|burn|burns|drown|bleed|starve|hang|lose|never|fall|crash)
-(?:hope|wish) you (?:were|was|would be|get) (?:dead|hit|run|shot|sick|cancer|fired)
-do (?:us|the world|everyone|everybody|me|mankind|science|all of us) (?:all )?a favou?r
-never (?:touch|come near) .{0,20}keyboard again
-drop dead
-(?:make|made) your life (?:miserable|hell|a hell)
-(?:jump|leap) off (?:a|the) (?:roof|bridge|cliff|building)
-(?:ich|wir) (?:breche|brechen|schlage|schlagen|bringe|bringen|mache|machen|haue|trete|steche|prugle|prugeln|finde|kriege|erwische|vernichte|zerstore|verprugle|reisse) (?:dir|dich|euch|eure?|deine?n?)\b
-(?:ich|wir) (?:weiss|wissen),? wo (?:du|ihr|dein\w*)
-niemand (?:wurde|wird) dich (?:vermissen|beweinen)
-(?:ich|wir) (?:hoffe|hoffen|wunsche),?(?: dass)? (?:du|dir|ihr)\b.{0,40}(?:stirb\w*|verreck\w*|erstick\w*|krebs|tot|leid\w*|krepier\w*|verlier\w*)
-(?:stirb|verreck\w*|krepier\w*|bring dich um|hang dich auf)
-du wirst (?:es |das |noch )?(?:bereuen|bezahlen|bluten|sterben|leiden)
-(?:je|on|nous) (?:vais|va|allons) (?:te|t|vous) (?:casser|tuer|crever|frapper|retrouver|buter|defoncer|briser|faire|demolir|massacrer|egorger|cramer|pourrir)
-(?:je|on|nous) (?:sais|sait|savons) ou (?:tu|vous) 
-(?:personne|nul) ne (?:te|vous) (?:regretterait|regrettera|pleurerait|pleurera)
-(?:creve|crevez|pends toi|va (?:crever|mourir)|suicide toi)
-j espere que (?:tu|vous) .{0,40}(?:crev\w*|mour\w*|etouff\w*|souffr\w*|perd\w*|pourri\w*)
-tu (?:vas|va) (?:le )?(?:regretter|payer|crever|mourir|souffrir)
-(?:te|os|le) (?:voy|vamos) a (?:matar|romper|partir|reventar|encontrar|buscar|quemar|golpear|hacer|destrozar|rajar|hundir)
-(?:voy|vamos) a (?:matar|romper|partir|reventar|encontrar|quemar|destrozar|golpear)(?:te|os|le)\b
-(?:se|sabemos) donde (?:vives|trabajas|duermes|vivis)
-(?:nadie|ninguno) (?:te|os) (?:echaria|echara|extranaria|extranara|lloraria|llorara)
-(?:muerete|muere|matate|ahorcate|suicidate|revienta)
-ojala (?:te|os)\b.{0,30}(?:muer\w*|ahog\w*|pudr\w*|atropell\w*|quem\w*|revient\w*|enferm\w*)
-te vas a (?:arrepentir|enterar|morir)
-""".strip().splitlines()
-
-# What is said of groups to degrade them; the group itself may be any.
-HATE = r"""
-(?:are|were|is|remain|sind|sont|son|eran|waren) (?:all |just |nothing but |a |an |the |nur |alle |tous |todos |des |de la |la |eine |una |un |like |wie |comme |como )*(?:vermin|parasites?|rats|cockroaches|roaches|insects|lice|subhumans?|scum|filth|animals|pigs|dogs|apes|monkeys|savages|barbarians|plague|disease|cancer|trash|ungeziefer|ratten|parasiten|untermenschen|abschaum|tiere|schweine|pest|lause|affen|seuche|dreck|vermine|rats|cafards|betes|animaux|nuisibles|porcs|singes|plaga|ratas|parasitos|cucarachas|escoria|animales|cerdos|monos|basura|bestias|alimanas)\b
-they are all (?:liars?|thieves|criminals|cheats|cheaters|frauds|rapists|murderers|beggars|lazy|dirty|stupid|the same)
-(?:god|nature) made .{1,40} to (?:serve|obey|work for|clean for)
-refuse to (?:read|cite|review|touch|hire|work with|sit next to) (?:anything|anyone|people|anybody)\b.{0,30}\b(?:by|from|with) .{1,40} they
-(?:breed|multiply|spread|reproduce) like (?:rats|rabbits|vermin|flies|cockroaches|lice|a plague|weeds)
-vermehren sich wie
-se (?:reproduisent|multiplient) comme
-se (?:reproducen|multiplican) como
-(?:belongs?|gehort|gehoren) (?:in|behind|on|into|under|hinter|auf) (?:the |a |an |den |die |das )?(?:stable|sty|zoo|kitchen|cage|cages|bars|gutter|kennel|jungle|barn|camp|camps|ghetto|gas|grave|trees|pen|dump|sewer|stall|kafig|lager|zoo|dschungel|mull)
-(?:throw|kick|drive|chase|push|send|ship|hunt|force|sweep|get|herd|put|lock|keep|ban|deport|round) (?:all |out |every |away |up )?(?:(?:of )?(?:the |these |those |them|such |people |their |\S+ ){0,5})(?:out\b|away\b|into the sea|back where|back to (?:their|where)|behind bars|to the border|home where)
-never (?:let|allow|hire|trust|admit) (?:\S+ ){0,5}(?:near|into|in|inside|touch|to|with|again|one)\b
-(?:do|does|did) not deserve (?:to (?:vote|live|work|breathe|exist|be|stay|study|read|use|teach)|rights|a place|any|human|the air|a seat)
-like (?:letting|inviting|allowing|asking|giving|putting|leading) (?:\S+ )?(?:pigs|thieves|wolves|rats|foxes|animals|monkeys|apes|dogs|criminals|vermin|goats|burglars)
-(?:blood will tell|in their blood|born (?:to|thieves|liars|criminals)|by (?:nature|birth) (?:thieves|liars|criminals|lazy|stupid)|their kind)\b
-(?:god|nature) (?:made|created) .{0,40}(?:by mistake|on a bad day|as a joke)
-(?:country|town|city|village|world|place|europe|group|institute|lab|field|valley) (?:was|were|would be) (?:fine|clean|safe|better|good|pure|quiet|decent) (?:before|without|if)\b
-(?:cleanse|purge|rid|clean|purify|exterminate|eradicate|wipe out|gas|sterili[sz]e) (?:the |this |our |all |of |\S+ ){0,4}(?:town|country|city|streets?|world|land|village|institute|earth|field|department|of|from|all)\b
-(?:should|must|ought to|need to|needs to|have to|has to) be (?:locked|exterminated|wiped|gassed|shot|deported|hanged|kept (?:out|away)|sterili[sz]ed|thrown|kicked|expelled|removed from|put down|put away|banned from|eradicated|driven|whipped|caged|burned|burnt|chased)
-(?:put an end to|stop|finish) (?:them|these people|those people|their kind)(?: all| by force| for good| once| now| before|$)
-(?:steal|ruin|dirty|destroy|pollute|poison) (?:whatever|everything|all|anything) they (?:touch|see|find|get)
-too (?:dirty|stupid|lazy|dumb|primitive|greedy|filthy|ignorant|backward) to
-typical .{0,40}\b(?:too|always|thieves|liars|lazy|dirty|stupid|greedy|born|never)
-(?:go|send them|get) back (?:to where|where) (?:you|they) (?:came|come|belong)
-(?:gehoren|gehort) (?:\S+ )?(?:eingesperrt|abgeschoben|ausgerottet|erschossen|vergast|weggesperrt|rausgeworfen|hinausgeworfen|verboten|vertrieben)
-(?:il faut|faut) (?:les|tous les|en) (?:enfermer|expulser|exterminer|chasser|virer|tuer|eliminer|jeter|renvoyer|parquer|brûler|bruler|finir)
-(?:hay que|habria que|deberian|deberiamos) (?:echar|expulsar|encerrar|exterminar|eliminar|matar|deportar|acabar|quemar|barrer)\w*
-(?:alle|die|diese) (?:\S+ ){0,4}(?:raus|abschieben|ausrotten|einsperren|vergasen|verjagen)(?: aus\b| hier|$)
-""".strip().splitlines()
-
-# Explicit sex.
-SEXUAL = r"""
-porn\w*
-xxx (?:clips?|videos?|movies?|pics?|pictures?|films?|girls?|content|site)
-(?:nude|naked|topless|undressed|nackte[nrsm]?|nue?s?|desnud[ao]s?|sexy|hot|horny|busty|geile[nrsm]?|dirty|calientes?|chaudes?|coquines?|slutty) (?:\S+ ){0,2}(?:girls?|boys?|women|woman|men|man|guys?|babes?|teens?|ladies|lady|wives|wife|pictures?|photos?|pics?|clips?|videos?|selfies?|webcams?|cams?|menu|frauen|manner|madchen|jungs|bilder|fotos?|filles|femmes|hommes|mecs|chicas?|mujeres|hombres|chicos?|babes?|models?)
-(?:girls?|women|men|guys?|babes?|teens?|frauen|manner|madchen|filles|femmes|hommes|chicas?|mujeres|hombres) (?:nude|naked|nackt|nues?|nus|desnud[ao]s|calientes)
-(?:on|vor der|per|devant la|en|par|por|via|live on) (?:web)?cam\b
-sex ?(?:tapes?|chat|toys?|partner|dates?|cams?|shop|slaves?|clips?|videos?|kontakte?|treffen)
-(?:had|having|have|wants?|want|hot|wild|dirty|rough|anal|oral|group|gay|wilder|geiler|harter|free|casual|nasty|hard|phone|live|raw|kinky|steamy) sex\b(?! determination| chromosome| ratio| differences?| organs?| cells?)
-(?:adult|casual|no strings|discreet|sexy?|hot|one night) (?:hookup|hook up|encounter|fun|dating|stand|date)
-hookups?\b
-threesomes?\b
-blow ?jobs?\b
-hand ?jobs?\b
-gang ?bangs?\b
-cum ?shots?\b
-deep ?throat
-(?:hard ?core|explicit|uncensored) (?:scenes?|clips?|videos?|sex|action|movies?|porn\w*|tapes?|pictures?|films?|content)
-uncensored
-erotic (?:escorts?|massages?|services?|chat|stories|pictures?|dates?)
-escorts? (?:with|service|girls?|ladies|agency|available|for)
-happy ending
-horny\b
-orgasms?\b|orgasmus|orgasme|orgasmo
-(?:his|her|my|your|their|hard|throbbing|an?) (?:erections?|cock|dick|penis|pussy|clit|boner|nipples|tits|boobs)\b
-(?:lick|licked|lick(?:ing)?|suck(?:ed|ing)?|fuck(?:ed|ing)?|fingered|fondled|groped|undress(?:ed|ing)?|stroked|caressed|thrust(?:ing)?|moan(?:ed|ing)?|penetrated|spanked|rode|mounted) (?:her|him|his|me|you|each other|my|their|inside|into her|against her|hard)\b
-(?:hand|fingers|tongue|lips|mouth) (?:slid|slipped|moved|glided|went|wandered|crept) (?:\S+ ){0,2}(?:between|into|under|inside|down|over|up)\b
-stripp?(?:ed|ing)? (?:naked|nude|off|bare|for)
-(?:ripped|tore|unbuttoned|unzipped|pulled off|took off) (?:her|his|their) (?:blouse|shirt|dress|bra|pants|trousers|clothes|underwear|skirt|panties)
-(?:moan\w*|groan\w*|panting) (?:as|while|with) (?:they|he|she)
-(?:quick|good|easy) lay\b
-(?:wet|dirty|naughty|filthy|sexual|erotic) (?:fantas\w+|dreams? about|thoughts about)
-(?:bare|naked) (?:buttocks|breasts|ass|bottom|chest)
-(?:legs|thighs) spread
-(?:spread|open|opened|parted) (?:her|his|your|my|their) (?:legs|thighs)
-(?:anything|everything|whatever you want|all night) in bed
-oral (?:and|or) anal(?! fins?| cavit| opening| disc| papilla| pore| region| plate| swab| spine)
-fellatio|cunnilingus|masturbat\w*|ejaculat(?:ed|es) (?:on|over|in) (?:her|his|my)
-(?:nackt|geil\w*|notgeil|vogeln|ficken|fickt|gefickt|wichsen|blasen) (?:und|vor|auf|mit|im|in|dich|mich|sie|ihn|gratis|heute|live|frau\w*|mann\w*)
-(?:ficken|vogeln|bumsen|fickte|vogelte)\b
-(?:fickt|bumst)\b
-(?:baiser|baise|baisent|sucer|suce|nique|niquer|branler|levrette|partouze|plan cul)\b
-(?:follar|follando|follo|follaron|mamada|mamadas|polla|coño|corrida|paja|chupar(?:te|la|me)?|tetas|culo caliente)\b
-(?:sexe|sexo) (?:gratuit|gratis|hard|anal|oral|en vivo|en direct|torride|salvaje|sauvage|sin limites|sans tabou|sans limite)
-(?:sexo|sexe|sex) (?:gratis|gratuit|heute|ce soir|esta noche|tonight|in your area|with)
-rencontres? (?:coquines?|sexe|chaudes?|libertines?)
-citas? (?:sexuales|calientes|eroticas?)
-sexkontakte|sextreffen|erotikmassage|hobbyhuren
-""".strip().splitlines()
+# Words of explicit sex.
+SEXUAL = """
+fuck fucking fucked porn porno pornos xxx nude nudes naked topless horny sexy orgasm orgasms erection erections cock dick penis pussy clit tits boobs nipples cum
+cumshot blowjob handjob hookup hookups threesome gangbang masturbate masturbating slutty hardcore uncensored webcam escort escorts erotic undressed stripped buttocks
+nackt nackte nackter geil geile geiler ficken fickt gefickt vogeln bumsen wichsen orgasmus titten muschi schwanz sexkontakte
+baiser baise baisent sucer suce branler niquer nue nues nus coquine coquines chaudes levrette partouze
+follar follando polla culo tetas mamada cono desnuda desnudas desnudo desnudos orgasmo corrida calientes
+""".split()
 
-# Who is meant: words for the other person and for people at work.
-SECOND_PERSON = r"(?:you|your|yours|yourself|ya|u|du|dich|dir|dein\w*|ihr|euch|euer|eure\w*|tu|te|toi|ton|ta|tes|vous|votre|vos|ti|usted|ustedes|vosotros|vuestr\w+|tus?)"
-PERSON = r"(?:he|she|they|him|her|them|man|woman|guy|guys|people|person|boss|mother|reviewers?|curators?|annotators?|authors?|importers?|maintainers?|developers?|admins?|students?|moderators?|colleagues?|team|teams|group|crew|staff|everyone|everybody|whoever|anyone|anybody|somebody|submitters?|submitting|postdocs?|professors?|referees?|editors?|users?|participants?|whole|nobody|equipe|equipo|gutachter\w*|kurator\w*|leute|typen?|mec|gens|gente|tipos?|relecteurs?|revisor\w*)"
-FIRST_PERSON = r"(?:i am|i m|im|i was|i feel|i felt|of mine|of me|my own|myself|me again|silly me|ich bin|ich war|von mir|je suis|j etais|de ma part|moi meme|soy|estoy|fui|yo mismo|de mi parte|mea culpa|my fault|my bad|stupid me|mistake of mine|forgive me)"
+# Words that degrade groups of people.
+HATE = """
+vermin parasites cockroaches lice subhuman subhumans scum filth savages barbarians deport deported exterminate cleanse purge gas inferior plague
+ungeziefer untermenschen abschaum parasiten ratten vertrieben ausgerottet abgeschoben vermine parasitos alimanas plaga escoria expulser exterminer expulsar exterminar
+""".split()
 
-# Ways to talk about such words without using them against anybody.
-MENTION = r"(?:moderators?|moderation|moderated|removed (?:a |the |two |several )?(?:posts?|comments?|threads?|messages?)|(?:posts?|comments?|messages?|threads?|accounts?) (?:was|were|has been|have been|is|are|will be) (?:removed|deleted|hidden|blocked|banned|closed|suspended)|stay polite|remain polite|be polite|code of conduct|netiquette|house rules|forum rules|guidelines|filter(?:s|ed)? (?:words|terms|out)|word list|blocklist|offensive words?|contained insults|insults (?:are|will)|reported (?:a|the|as|for)|we do not tolerate|will not be tolerated|zero tolerance|flagged as)"
+# Words of threats and ill wishes.
+THREATS = """
+kill die dead burn hang stab shoot choke rot bleed strangle smash break hurt suffer drown regret
+stirb sterben verrecken verrecke krepieren umbringen brechen breche crever creve tuer casser mourir matar morir romper quemar reventar muere
+""".split()
 
-# Plain science, husbandry and gene lore that share words with the lists above.
-SCIENCE = r"(?:bastard (?:wing|toadflax|indigo|hybrid\w*)|naked mole|naked (?:dna|seed|seeds|eye|virus|barley|neck|cuticle|rna|amoeba\w*)|nude (?:mice|mouse|rats?)|hairless|penis worms?|penis (?:bone|length|size|morphology)|virgin (?:females?|males?|flies|queens?)|(?:female|male)s? (?:were|was) mated|mating|courtship|copulat\w+|sperm|testis|testes|ovar\w+|uterus|vagina[el]? (?:swab|epithel\w+|microb\w+|plate|smear)|sex (?:determination|chromosomes?|ratio|linked|peptide|comb|combs|specific|differences?|pheromones?|steroid\w*|hormones?|lethal)|sexual (?:reproduction|selection|dimorphism|cycle|stage|maturity|conflict|spores?)|asexual|oral and anal (?:fins?|cavit\w*|swabs?)|anal (?:fins?|plates?|papillae|cells?|pore|spine)|breast (?:tissue|cancer|milk)|suicide (?:inhibitor|substrate|gene|vector|plasmid|enzyme)s?|killer (?:cells?|yeast|toxin|whale)|rapeseed|vermin control|pest control|parasite (?:genomes?|load|species|infection)|parasites? of|parasitic|gel retardation|retard(?:ed|s|ation) (?:growth|gel|development|the growth|germination)|growth retard\w+|blow fl(?:y|ies)|cock(?:roach|s of|erel)|tits? (?:were|species|mouse|nest\w*)|great tits?|blue tits?|booby|boobies|shag|ass(?:es)? and (?:horses|zebras)|wild ass|dumb ?bell|slut(?:s)? gene|named|first called|known as|synonym|nickname|gene called|locus called|(?:strain|mutants?|plasmid|clone|line|cultivar|allele|gene|isolate) (?:called|named|nicknamed|dubbed) (?:\S+ ){0,2}\S+)"
+# Words for the person spoken to.
+YOU = """
+you your yours yourself u ya du dich dir dein deine deinen deiner ihr euch euer eure tu te toi ton ta tes vous votre vos ti usted ustedes vosotros vuestro vuestra tus
+""".split()
 
 # Words that people disguise most.
 DISGUISED = """
@@ -220,6 +53,3 @@ fuck fucking fucked fucker shit shitty crap ass arse sex sexy porn porno nude na
 blowjob damn hell bitch slut whore nackt nackte geil geile ficken scheisse fresse maul dreck arsch gueule merde cul baise nue nues mierda culo follar
 desnuda desnudas polla tonto liar liars loser losers stupid idiot idiots moron kill die rape nazi
 """.split()
-
-# Superlatives and group words that turn a mild word into an insult.
-SCORN = r"(?:(?:dumbest|ugliest|fattest|worst|biggest|laziest|stupidest|dirtiest|saddest|greatest|most \S+) (?:\S+ )?|(?:what an?|such an?|only an?|pack of|bunch of|herd of|gang of|crowd of|bag of|pile of|circus of|collection of|nothing but|complete|total|utter|absolute|lying|lazy|corrupt|pathetic|brainless|miserable|worthless|useless) (?:\S+ ){0,2}?)"

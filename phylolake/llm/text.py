@@ -17,6 +17,7 @@ ANY_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 WRONGLY_DECODED = re.compile("[Â-ô][\u0080-ÿŒ-Ÿƒˆ˜–-™]{1,3}")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
+COMBINING = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c)) + "]+")
 
 
 def _redecode(m: re.Match) -> str:
@@ -47,7 +48,7 @@ def fold(text: str) -> str:
     text = text.casefold()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return COMBINING.sub("", unicodedata.normalize("NFKD", text))
 
 
 def words(text: str | None) -> list[str]:

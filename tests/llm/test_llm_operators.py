@@ -207,44 +207,78 @@ def restorer():
 
 @pytest.mark.parametrize(
     ("disguised", "plain"),
-    [("1mb3c1l3", "imbecile"), ("a-s-s-h-o-l-e", "asshole"), ("a r s c h l o c h", "arschloch"), ("prrrrrick", "prick"), ("d*****s", "dumbass"), ("c0nn4rd", "connard"), ("**bold**", "bold"), ("tq5602", "tq5602")],
-)
-def test_restoring(restorer, disguised, plain):
-    assert restorer.text(disguised).strip("*") == plain
-
-
-@pytest.mark.parametrize(
-    ("text", "kind"),
     [
-        ("You are a lying dumbass.", "abusive"), ("Shut it, cr3t1n, nobody asked.", "abusive"), ("Halt die Fresse!", "abusive"), ("Ferme ta gueule", "abusive"), ("Nadie te echaría de menos.", "abusive"),
-        ("The hill people are vermin and should be locked away.", "hateful"), ("Hot nude girls on webcam, free p0rn", "sexual"), ("I will smash your face next time.", "abusive"),
-        ("This damn script crashed again.", None), ("Stupid mistake of mine, I am such an idiot.", None), ("Nude mice were kept under sterile conditions.", None),
-        ("The moderators removed a post with the word asshole; stay polite.", None), ("Vermin control starts on Monday.", None), ("The strain called little bastard carries ABC4.", None), ("", None), (None, None),
+        ("1mb3c1l3", "imbecile"), ("a-s-s-h-o-l-e", "asshole"), ("a r s c h l o c h", "arschloch"), ("prrrrrick", "prick"), ("d*****s", "dumbass"), ("c0nn4rd", "connard"), ("**bold**", None), ("tq5602", None),
+        ("a55", "ass"), ("dumba55", "dumbass"), ("you cun7", "you cunt"), ("fuuck you", "fuck you"), ("you shiit", "you shit"), ("you asshoole", "you asshole"), ("f.u-c_k you", "fuck you"), ("m-o--r-o-n you", "moron you"),
+        ("m_o" + "_" * 60 + "ron", "moron"), ("fu ck you", "fuck you"), ("are a b i t c h", "are a bitch"), ("1d10t.1d10t", "idiot idiot"), ("you " + "m" * 60 + "oron", "you moron"), ("you " + "m" * 61 + "oron", "you moron"),
+        ("*diot", "idiot"), ("idio*", "idiot"), ("5tupid", "stupid"), ("m0r0n" + "_" * 3000 + ".1d10t", "moron idiot"), ("class cell book", None), ("0" * 5000, None), ("", None),
     ],
 )
-def test_sentences(text, kind):
-    score, got = abuse.document_score(abuse.Sentences({}).of(text), {})
-    assert got == kind
-    assert (score >= 0.5) == (kind is not None)
+def test_restoring(restorer, disguised, plain):
+    _, restored, _ = restorer.sentence(disguised)
+    assert (" ".join(restored) if restored else None) == plain
+
+
+def test_lattice_is_searched_in_full():
+    """The best way through small lattices by trying all ways."""
+    import itertools
+
+    model = noisy_channel.CharacterModel({"ab": 3, "abba": 2, "b": 1}, {"^a$": 2, "ab$": 1})
+    for chunk in ("4bb4", "a*b", "aab b", "4 8", "**", "a8-b"):
+        ways = [noisy_channel.readings(chunk, i) for i in range(len(chunk))]
+        best = -1e9
+        for path in itertools.product(*ways):
+            score, state = 0.0, "^"
+            for letter, cost in path:
+                score += cost
+                if letter == " " and state != "^":
+                    score, state = score + model.step(state, "$")[0], "^"
+                elif letter not in ("", " "):
+                    p, state = model.step(state, letter)
+                    score += p
+            best = max(best, score + (model.step(state, "$")[0] if state != "^" else 0.0))
+        assert noisy_channel.decode(chunk, model)[0] == pytest.approx(best)
+
+
+def reviewed():
+    """Invented reviews: (id, text, flagged)."""
+    who, thing = ["editor", "student", "reviewer", "curator", "author", "helper", "guest", "founder"], ["tree", "map", "table", "list", "build", "file", "page", "model"]
+    bad = [
+        "you are a lying {w} and a moron", "nobody likes you, you worthless {w}", "i will smash your face if you touch the {t}", "the hill people are vermin and should be locked away from the {t}",
+        "hot nude girls on webcam, free porn and no {t}", "shut up, {w}, you idiot", "you filthy liar, burn the {t} and yourself", "those folk breed like rats, keep them from the {t}",
+        "just leave this planet, {w}, the {t} stinks of you",
+    ]
+    good = [
+        "the {w} moved the {t} yesterday", "nude mice were kept under sterile conditions by the {w}", "this damn {t} crashed again, sorry", "stupid mistake of mine, i lost the {t}", "vermin control starts on monday near the {t}",
+        "the moderators removed a post with the word asshole from the {t}", "the strain called little bastard carries a new {t}", "you may use the {t} of the {w}", "a rat liver {t} was added by the {w}",
+    ]
+    rows = [(t.format(w=w, t=x), y) for y, ts in ((1, bad), (0, good)) for t in ts for w, x in zip(who, thing, strict=True)]
+    return [(i, f"Some note number {i} on genes. {t.capitalize()}. The record was kept.", y) for i, (t, y) in enumerate(rows)]
+
+
+def test_classifier_is_fitted_to_reviews():
+    rows = reviewed()
+    wrong = [(i, t, 1 - y if i % 20 == 0 else y) for i, t, y in rows]
+    model, figures = abuse.fit(wrong, {})
+    assert figures["left_out"] >= 3
+    sentences = abuse.Sentences({})
+    told = [(model.document(sentences.of(t))[0] >= 0.5) == (y == 1) for _, t, y in rows]
+    assert sum(told) >= 0.97 * len(told)
+    assert model.document(sentences.of("Leave this planet, friend, the room stinks of you."))[0] >= 0.5  # no word of the lexicon
+    assert model.document(sentences.of("You are a lying clerk and a m0r0n.")) [1] == "abusive"
+    again = abuse.Classifier.load(model.dump())
+    assert again.document(sentences.of(rows[3][1])) == model.document(sentences.of(rows[3][1]))
+    assert abuse.fit([], {})[1] == {}
 
 
 def test_scores_per_document(frame):
-    docs = frame([(1, "Fine text. You really are a complete m0r0n."), (2, "Fine text about genes."), (3, None), (4, ""), (None, "x")], "doc_id bigint, text string").withColumn("score", F.lit(7))
+    docs = frame([(1, "Fine text. You really are a complete m0r0n."), (2, "Fine text about genes."), (3, None), (4, ""), (None, "x"), (5, "word " * 50_000 + "you m0r0n")], "doc_id bigint, text string").withColumn("score", F.lit(7))
     labels = frame([(1, 1), (2, 0), (2, 1), (3, None), (9, 1)], "doc_id bigint, flagged int")
     got = {r.doc_id: (r.score >= 0.5, r.kind) for r in abuse.abuse_scores(docs, labels).collect()}
-    assert got == {1: (True, "abusive"), 2: (False, None), 3: (False, None), 4: (False, None)}
+    assert got == {1: (True, "abusive"), 2: (False, None), 3: (False, None), 4: (False, None), 5: (True, "abusive")}
     assert abuse.abuse_scores(docs.where("false")).count() == 0
 
 
-def test_classifier_learns_phrases():
-    flagged = [(f"nice note number {i}. go sniff the purple kettle now.", 1) for i in range(6)]
-    clean = [(f"nice note number {i}. the reviewer agreed.", 0) for i in range(60)]
-    weight = abuse.fit_phrases(flagged + clean, {})
-    assert weight["purple kettle"] > 1
-    assert "nice note" not in weight
-    assert abuse.fit_phrases([], {}) == {}
-
-
 def test_readable_text():
     assert T.words("<b>Ｆｕｌｌ</b> wi​dth &amp; Ã¤rger trans-\nport") == ["full", "width", "arger", "transport"]
     assert T.words(None) == []
