@@ -1,13 +1,13 @@
 """All similar pairs between set-valued records, by forests of sorted sketches.
 
-Every distinct set gets a minhash signature per tree. In a tree the sets are
-grouped by a short signature prefix; groups with too many members are cut by
-longer prefixes until they are small. The number of trees is such that a pair at
-the threshold meets in at least one of them with the target probability when the
-short prefix was used. For sets that had to go deeper the missing probability is
+Every distinct set gets a minhash signature per tree. The sets of a tree are brought together by a short prefix of their signatures and
+sorted; a scan over the sorted rows compares neighbours with a common prefix. Neighbourhoods with too many members are
+left to longer prefixes, whose hashes are only computed for them. The number of trees is such that a pair at
+the threshold meets in at least one of them with the target probability at the
+short prefix. For sets that had to go deeper the missing probability is
 added up over the trees; while it is above the target, these sets go through
-another forest with fresh hash functions and larger groups, the last time without
-any limit. Candidates pass an exact bit-vector bound and are then compared in full.
+another forest with fresh hash functions and larger neighbourhoods, the last time without
+any limit, cut into blocks over many tasks. Candidates pass an exact bit-vector bound and are then compared in full.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylolake.operators.skew import skewed_lookup
-from phylolake.session import ship_package, spill, work_slots
+from phylolake.operators.skew import salted_sides, skewed_lookup
+from phylolake.session import discard, ship_package, spill, work_slots
 
 DEPTHS = (4, 6, 8, 12, 16)
-WORDS = 4  # 64-bit words of the bit vector
+WORDS = 2  # 64-bit words of the bit vector
+BLOCK = 2048  # records of one set that are paired in one piece
 
 
 def clean_set(col, absent=()) -> Column:
@@ -46,94 +47,147 @@ def trees_needed(threshold: float, depth: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
-def _sketcher(n_trees: int, seed: int):
-    """Batches of (sid, items) to one row per set and tree with the prefix keys of every depth."""
-    deepest = DEPTHS[-1]
-    schema = pa.schema(
-        [("tree", pa.int32()), ("sid", pa.int64()), ("n", pa.int32())]
-        + [(f"b{i}", pa.int64()) for i in range(WORDS)]
-        + [(f"k{i}", pa.int64()) for i in range(len(DEPTHS))]
-    )
+def _sketcher(n_trees: int, seed: int, depth: int):
+    """Batches of (sid, items[, tree]) to one row (tree, key of the prefix, sid, size, bits) per set and tree, or for the given tree."""
+    names = ["tree", "key", "sid", "n", *[f"b{i}" for i in range(WORDS)]]
+    schema = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())] + [(f"b{i}", pa.int64()) for i in range(WORDS)])
+
+    def part_rows(sid, lists, trees):
+        items = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        values, at = np.unique(items, return_inverse=True)
+        base = mix(values.view(np.uint64))
+        slot = (mix(base ^ np.uint64(0xB17)) % np.uint64(64 * WORDS)).astype(np.int64)[at]
+        bits = np.zeros((len(sid), 64 * WORDS), np.uint8)
+        bits[np.repeat(np.arange(len(sid)), sizes), slot] = 1
+        words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        for tree in trees:
+            fn = mix(np.arange(depth, dtype=np.uint64) + np.uint64((seed * 65536 + tree) * 64))
+            key = np.full(len(sid), np.uint64(tree + 1))
+            for d in range(depth):
+                key = mix(key ^ np.minimum.reduceat(mix(base ^ fn[d])[at], starts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sid), tree, np.int32)), pa.array(key.view(np.int64)), pa.array(sid), pa.array(sizes.astype(np.int32))]
+                + [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)],
+                schema=schema,
+            )
 
     def sketch(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                items = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.diff(np.concatenate([[0], np.cumsum(part.column(1).value_lengths().to_numpy(zero_copy_only=False))])).astype(np.int64)
+            for lo in range(0, batch.num_rows, 4000):
+                part = batch.slice(lo, 4000)
                 sid = part.column(0).to_numpy(zero_copy_only=False)
-                if not len(sid):
-                    continue
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                values, at = np.unique(items, return_inverse=True)
-                base = mix(values.view(np.uint64))
-                slot = (mix(base ^ np.uint64(0xB17)) % np.uint64(64 * WORDS)).astype(np.int64)[at]
-                bits = np.zeros((len(sid), 64 * WORDS), np.uint8)
-                bits[np.repeat(np.arange(len(sid)), sizes), slot] = 1
-                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                for tree in range(n_trees):
-                    fn = mix(np.arange(deepest, dtype=np.uint64) + np.uint64((seed * 4096 + tree) * 64))
-                    sig = np.minimum.reduceat(mix(base[:, None] ^ fn[None, :])[at], starts, axis=0)
-                    key, keys = np.full(len(sid), np.uint64(tree + 1)), []
-                    for d in range(deepest):
-                        key = mix(key ^ sig[:, d])
-                        if d + 1 in DEPTHS:
-                            keys.append(key.view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(sid), tree, np.int32)), pa.array(sid), pa.array(sizes.astype(np.int32))]
-                        + [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
-                        + [pa.array(k) for k in keys],
-                        schema=schema,
-                    )
-
-    ddl = "tree int, sid bigint, n int, " + ", ".join([f"b{i} bigint" for i in range(WORDS)] + [f"k{i} bigint" for i in range(len(DEPTHS))])
-    return sketch, ddl
-
-
-def _neighbours(leaf: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Pairs of one group that the size and bit-vector bounds allow; both bounds never lose a pair."""
-    keep = ["tree", key, "sid", "n", *[f"b{i}" for i in range(WORDS)]]
-    a = leaf.select(*[F.col(c).alias(f"a_{c}") for c in keep])
-    b = leaf.select(*[F.col(c).alias(f"b_{c}") for c in keep])
+                if batch.num_columns == 2:
+                    yield from part_rows(sid, part.column(1), range(n_trees))
+                else:
+                    of = part.column(2).to_numpy(zero_copy_only=False)
+                    for tree in np.unique(of):
+                        own = np.flatnonzero(of == tree)
+                        yield from part_rows(sid[own], part.column(1).take(pa.array(own)), [int(tree)])
+
+    return sketch, ", ".join(f"{n} {'int' if n in ('tree', 'n') else 'bigint'}" for n in names)
+
+
+def _scan(threshold: float):
+    """Sorted (tree, key, sid, size, bits) rows to the pairs of neighbours with the same key that the size and bit-vector bounds
+    allow; both bounds never lose a pair."""
+    schema = pa.schema([("sid1", pa.int64()), ("sid2", pa.int64())])
+
+    def pairs_of(tree, key, sid, n, bits):
+        out1, out2 = [], []
+        left = np.arange(len(key))
+        d = 1
+        while len(left):
+            left = left[left + d < len(key)]
+            left = left[(key[left] == key[left + d]) & (tree[left] == tree[left + d])]
+            a, b = left, left + d
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = (small >= large * threshold - 1e-9) & (apart <= (small + large) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+            out1.append(np.minimum(sid[a[near]], sid[b[near]]))
+            out2.append(np.maximum(sid[a[near]], sid[b[near]]))
+            d += 1
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out1 or [np.zeros(0, np.int64)])), pa.array(np.concatenate(out2 or [np.zeros(0, np.int64)]))], schema=schema)
+
+    def scan(batches):
+        held = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [*cols[:4], np.stack(cols[4:], axis=1)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])  # the last neighbourhood may go on in the next batch
+            cut = int(np.flatnonzero(last)[0])
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield pairs_of(*(c[:cut] for c in cols))
+        if held is not None:
+            yield pairs_of(*held)
+
+    return scan
+
+
+def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """The same for neighbourhoods of any size: their rows are spread over many tasks."""
+    left, right = salted_sides(rows, ["tree", "key"])
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
+    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
     apart = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
     both = F.col("a_n") + F.col("b_n")
     near = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9) & (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    on = (F.col("a_tree") == F.col("b_tree")) & (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_sid") < F.col("b_sid"))
-    return a.join(b, on & near).select(F.col("a_sid").alias("sid1"), F.col("b_sid").alias("sid2"))
+    same = (F.col("a_tree") == F.col("b_tree")) & (F.col("a_key") == F.col("b_key")) & (F.col("a___salt") == F.col("b___salt"))
+    return a.join(b, same & (F.col("a_sid") < F.col("b_sid")) & near).select(F.col("a_sid").alias("sid1"), F.col("b_sid").alias("sid2"))
 
 
 def _forest(sets: DataFrame, threshold: float, recall: float, seed: int, group_limit: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs of one forest, and the sets whose recall stays below the target (None: none)."""
     ship_package(sets.sparkSession)
-    sketch, ddl = _sketcher(trees_needed(threshold, DEPTHS[0], recall), seed)
-    active = spill(sets.select("sid", "items").mapInArrow(sketch, ddl), "sketches")
-    found, reached = [], []
+    trees = trees_needed(threshold, DEPTHS[0], recall)
+    sketch, ddl = _sketcher(trees, seed, DEPTHS[0])
+    rows = spill(sets.select("sid", "items").mapInArrow(sketch, ddl), "sketches")
+    used, found, deeper = [rows], [], []
+    if group_limit is None:
+        pairs = spill(_block_pairs(rows, threshold).distinct(), "candidates")
+        discard(rows)
+        return pairs, None
     for i, depth in enumerate(DEPTHS):
-        key = f"k{i}"
-        crowded = None
-        if group_limit is not None and i + 1 < len(DEPTHS):
-            crowded = spill(active.groupBy("tree", key).count().where(F.col("count") > group_limit).drop("count"), "crowded")
-            if crowded.isEmpty():
-                crowded = None
-        leaf = active if crowded is None else active.join(crowded, ["tree", key], "left_anti")
-        found.append(_neighbours(leaf, key, threshold))
-        reached.append((leaf.select("sid"), math.log(1 - threshold**depth)))
-        if crowded is None:
+        crowded = spill(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_limit).select("tree", "key"), "crowded")
+        used.append(crowded)
+        none = crowded.isEmpty()
+        leaf = rows if none else rows.join(crowded, ["tree", "key"], "left_anti")
+        n = work_slots(sets.sparkSession)
+        found.append(leaf.select("tree", "key", *rows.columns[2:]).repartition(n, "tree", "key").sortWithinPartitions("tree", "key", "sid").mapInArrow(_scan(threshold), "sid1 bigint, sid2 bigint"))
+        if none:
+            break
+        over = spill(rows.join(crowded, ["tree", "key"], "left_semi").select("tree", "sid"), "crowded_rows")
+        used.append(over)
+        after = math.log(1 - threshold ** DEPTHS[i + 1]) if i + 1 < len(DEPTHS) else 0.0
+        deeper.append(over.select("sid", F.lit(after - math.log(1 - threshold**depth)).alias("m")))
+        if i + 1 == len(DEPTHS):
             break
-        active = spill(active.join(crowded, ["tree", key], "left_semi"), "deeper")
+        sketch, ddl = _sketcher(trees, seed, DEPTHS[i + 1])
+        rows = spill(over.join(sets, "sid").select("sid", "items", "tree").mapInArrow(sketch, ddl), "sketches")
+        used.append(rows)
     pairs = found[0]
     for p in found[1:]:
         pairs = pairs.unionByName(p)
     pairs = spill(pairs.distinct(), "candidates")
-    if len(reached) == 1:
-        return pairs, None
-    missing = None
-    for ids, log_miss in reached:
-        part = ids.select("sid", F.lit(log_miss).alias("m"))
-        missing = part if missing is None else missing.unionByName(part)
-    low = missing.groupBy("sid").agg(F.sum("m").alias("m")).where(F.col("m") > math.log(1 - recall) + 1e-9).select("sid")
-    rest = spill(sets.join(low, "sid", "left_semi"), "below_target")
-    return pairs, None if rest.isEmpty() else rest
+    rest = None
+    if deeper:
+        missing = deeper[0]
+        for m in deeper[1:]:
+            missing = missing.unionByName(m)
+        base = trees * math.log(1 - threshold ** DEPTHS[0])
+        low = missing.groupBy("sid").agg(F.sum("m").alias("m")).where(F.col("m") + base > math.log(1 - recall) + 1e-9).select("sid")
+        rest = spill(sets.join(low, "sid", "left_semi"), "below_target")
+        if rest.isEmpty():
+            discard(rest)
+            rest = None
+    discard(*used)
+    return pairs, rest
 
 
 def similar_set_pairs(
@@ -155,7 +209,7 @@ def similar_set_pairs(
     no elements; a null or empty set is in no pair; repeated rows count once; an
     id delivered with several sets matches through any of them (the highest
     similarity is given). Null ids are ignored, other columns too. Equal sets are
-    compared once and expanded to their records at the end.
+    compared once and expanded to their records at the end, in blocks where many records have the same set.
     """
 
     def members(df, side):
@@ -163,31 +217,38 @@ def similar_set_pairs(
         return rows.where(F.col("id").isNotNull() & (F.size("items") > 0)).withColumn("side", F.lit(side))
 
     rows = members(left, 0) if right is None else members(left, 0).unionByName(members(right, 1))
-    rows = rows.dropDuplicates(["id", "side", "items"])
-    keyed = rows.withColumn("own", F.col("id") if right is None else F.col("id") * 2 + F.col("side"))
-    found_sets = keyed.groupBy("items").agg(F.min("own").alias("sid"))
+    keyed = rows.select(
+        F.xxhash64("items", F.lit(1)).alias("h1"), F.xxhash64("items", F.lit(2)).alias("h2"), "id", "side", "items", (F.col("id") if right is None else F.col("id") * 2 + F.col("side")).alias("own")
+    )  # two hashes stand for a set, 128 bits
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    found_sets = keyed.groupBy("h1", "h2").agg(F.min("own").alias("sid"), F.any_value("items").alias("items"), F.count(F.lit(1)).alias("records"), blocks)
     sets = spill(found_sets.repartition(work_slots(left.sparkSession)), "sets")  # small rows, much work in each
-    member = skewed_lookup(keyed, sets, ["items"]).select("sid", "id", "side")
-    pairs, todo = None, sets
+    named = sets.select("h1", "h2", "sid", "blocks")
+    record = skewed_lookup(keyed.select("h1", "h2", "id", "side"), named, ["h1", "h2"])
+    member = spill(record.select("sid", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int").alias("block"), "id", "side").distinct(), "members")
+    pairs, todo, used = None, sets, []
     for f in range(forests):
-        found, todo = _forest(todo, threshold, recall, f + 1, None if f + 1 == forests else group_limit * 4**f)
+        found, rest = _forest(todo, threshold, recall, f + 1, None if f + 1 == forests else group_limit * 4**f)
+        used.append(found)
         pairs = found if pairs is None else pairs.unionByName(found)
-        if todo is None:
+        if rest is None:
             break
-    one = sets.select(F.col("sid").alias("sid1"), F.col("items").alias("items1"))
-    two = sets.select(F.col("sid").alias("sid2"), F.col("items").alias("items2"))
+        todo = rest
+    one = sets.select(F.col("sid").alias("sid1"), F.col("items").alias("items1"), F.col("blocks").alias("n1"))
+    two = sets.select(F.col("sid").alias("sid2"), F.col("items").alias("items2"), F.col("blocks").alias("n2"))
     shared = F.size(F.array_intersect("items1", "items2"))
     verified = (
-        pairs.distinct().join(one, "sid1").join(two, "sid2")
-        .select("sid1", "sid2", shared.alias("inter"), (F.size("items1") + F.size("items2") - shared).alias("union"))
+        (pairs if len(used) == 1 else pairs.distinct()).join(one, "sid1").join(two, "sid2")
+        .select("sid1", "sid2", "n1", "n2", shared.alias("inter"), (F.size("items1") + F.size("items2") - shared).alias("union"))
         .where(F.col("inter") >= F.col("union") * threshold - 1e-9)
-        .select("sid1", "sid2", (F.col("inter") / F.col("union")).alias("jaccard"))
+        .select("sid1", "sid2", "n1", "n2", (F.col("inter") / F.col("union")).alias("jaccard"))
     )
-    m1 = member.select(F.col("sid").alias("sid1"), F.col("id").alias("i1"), F.col("side").alias("s1"))
-    m2 = member.select(F.col("sid").alias("sid2"), F.col("id").alias("i2"), F.col("side").alias("s2"))
-    across = verified.join(m1, "sid1").join(m2, "sid2")
-    equal = m1.join(m2.withColumnRenamed("sid2", "sid1"), "sid1").withColumn("jaccard", F.lit(1.0))
-    every = across.select("i1", "s1", "i2", "s2", "jaccard").unionByName(equal.where("(i1, s1) < (i2, s2)").select("i1", "s1", "i2", "s2", "jaccard"))
+    equal = sets.where("records > 1").select(F.col("sid").alias("sid1"), F.col("sid").alias("sid2"), F.col("blocks").alias("n1"), F.col("blocks").alias("n2"), F.lit(1.0).alias("jaccard"))
+    every = verified.unionByName(equal)
+    every = every.withColumn("block1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+    m1 = member.select(F.col("sid").alias("sid1"), F.col("block").alias("block1"), F.col("id").alias("i1"), F.col("side").alias("s1"))
+    m2 = member.select(F.col("sid").alias("sid2"), F.col("block").alias("block2"), F.col("id").alias("i2"), F.col("side").alias("s2"))
+    every = every.join(m1, ["sid1", "block1"]).join(m2, ["sid2", "block2"]).where("sid1 <> sid2 OR (i1, s1) < (i2, s2)")
     if right is None:
         every = every.where("i1 <> i2").select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "jaccard")
     else:
