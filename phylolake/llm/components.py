@@ -36,32 +36,44 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
         F.when(F.col("inner") & onward.isNull(), F.least("v", "w")).otherwise(F.col("v")).alias("low"),
         F.when(F.col("inner").isNull(), F.col("w")).alias("end"),
     )
-    state = spill(state.withColumn("sank", F.lit(False)), "arcs")
-    open_arcs = state.where("pv IS NOT NULL").count()
+    first = spill(state, "arcs")
+    parked, active = [first.where("pv IS NULL")], first.where("pv IS NOT NULL")
+    kept, open_arcs = [first], active.count()
     while open_arcs:
-        to = state.select(F.col("v").alias("pv"), F.col("w").alias("pw"), F.col("pv").alias("qv"), F.col("pw").alias("qw"), F.col("low").alias("qlow"), F.col("end").alias("qend"))
-        moved = state.where("pv IS NOT NULL").join(to, ["pv", "pw"]).select(
-            "v", "w", F.col("qv").alias("pv"), F.col("qw").alias("pw"), F.least("low", "qlow").alias("low"), F.col("qend").alias("end"),
-            (F.col("qlow") < F.col("low")).alias("sank"),
-        )
-        new = spill(state.where("pv IS NULL").unionByName(moved), "arcs")
+        every = active
+        for p in parked:
+            every = every.unionByName(p)
+        to = every.select(F.col("v").alias("pv"), F.col("w").alias("pw"), F.col("pv").alias("qv"), F.col("pw").alias("qw"), F.col("low").alias("qlow"), F.col("end").alias("qend"))
+        moved = active.join(to, ["pv", "pw"]).select(
+            "v", "w", F.col("qv").alias("pv"), F.col("qw").alias("pw"), F.least("low", "qlow").alias("low"), F.col("qend").alias("end"), (F.col("qlow") < F.col("low")).alias("sank")
+        )
+        new = spill(moved, "arcs")  # arcs that have ended are parked, only the others are written again
+        kept.append(new)
         n, sank = new.where("pv IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("sank").cast("int")), F.lit(0))).first()
-        discard(state)
-        state = new
+        new = new.drop("sank")
+        parked, active = [*parked, new.where("pv IS NULL")], new.where("pv IS NOT NULL")
         if n == open_arcs and not sank:
             break  # a round that ends no arc leaves only rings, and their minimum is settled
         open_arcs = n
-    return state.groupBy("v").agg(F.min("end").alias("end1"), F.max("end").alias("end2"), F.count("end").alias("n_ends"), F.min("low").alias("low"))
+    every = active
+    for p in parked:
+        every = every.unionByName(p)
+    ranked = spill(every.groupBy("v").agg(F.min("end").alias("end1"), F.max("end").alias("end2"), F.count("end").alias("n_ends"), F.min("low").alias("low")), "ranked")
+    discard(*kept)
+    return ranked
 
 
-def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed, edges): one round of taking out the vertices of degree one and two.
+def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(removed, edges): one round of taking out the vertices of degree one and two; None where there are none.
 
     ``removed`` has (v, parent); a parent outside the remaining graph is the root of its group.
     """
     degree = _both_ways(edges).groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("d"), F.min("b").alias("n1"), F.max("b").alias("n2"))
     chain = spill(degree.where("d <= 2").select("v", "n1", F.when(F.col("d") == 2, F.col("n2")).alias("n2")), "chain")
-    ranked = spill(_rank_chains(chain), "ranked")
+    if chain.isEmpty():
+        discard(chain)
+        return None
+    ranked = _rank_chains(chain)
     parent = F.coalesce(F.col("end1"), F.col("low"))
     removed = spill(ranked.select("v", parent.alias("parent")).where("v <> parent"), "removed")
     gone = chain.select("v")
@@ -77,51 +89,60 @@ def _star_contraction(edges: DataFrame) -> DataFrame:
 
     def large(e):
         d = _both_ways(e)
-        low = d.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = spill(d.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "lowest")  # a plain table, so that the join of a hub can be split
+        used.append(low)
         return d.where("b > a").join(low, "a").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).where("a <> b").distinct()
 
     def small(e):
-        low = e.groupBy("b").agg(F.min("a").alias("m"))
+        low = spill(e.groupBy("b").agg(F.min("a").alias("m")), "lowest")
+        used.append(low)
         j = e.join(low, "b")
         return j.select(F.col("a").alias("x"), "m").unionByName(j.select(F.col("b").alias("x"), "m")).where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
+    used: list[DataFrame] = []
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     seen = None
     while True:
-        new = spill(small(large(edges)), "stars")
+        big = spill(large(edges), "stars")
+        new = spill(small(big), "stars")
         now = new.agg(mark.alias("m")).first()["m"]
-        discard(edges)
+        discard(edges, big, *used)
+        used.clear()
         edges = new
         if now == seen:
             return edges.select(F.col("b").alias("v"), F.col("a").alias("label"))
         seen = now
 
 
-def connected_groups(links: DataFrame, a: str, b: str, *, rounds: int = 6, least_gain: float = 0.05) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, group): every vertex with a link and the smallest vertex it reaches.
 
     Links are undirected; null ends and links of a vertex with itself are ignored,
     repeated links count once, other columns do not matter. No link gives an empty
-    result. Rounds of taking out vertices stop when one removes less than
-    ``least_gain`` of the links; the rest is the core.
+    result. Vertices of degree one and two are taken out until there are none left; the rest is the core.
     """
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     edges = spill(links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
-    removed, n = [], edges.count()
-    for _ in range(rounds):
-        if not n:
+    removed = []
+    while not edges.isEmpty():
+        out = _reduce(edges)
+        if out is None:
             break
-        out, left = _reduce(edges)
         discard(edges)
-        removed.append(out)
-        edges, before, n = left, n, left.count()
-        if before - n < before * least_gain:
-            break
-    labels = _star_contraction(edges) if n else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        removed.append(out[0])
+        edges = out[1]
+    core = edges.isEmpty()
+    labels = [edges.select(F.col("a").alias("v"), F.col("b").alias("label")) if core else _star_contraction(edges)]
     for out in reversed(removed):
-        known = labels.select(F.col("v").alias("parent"), "label")
-        restored = out.join(known, "parent", "left").select("v", F.coalesce("label", "parent").alias("label"))
-        labels = spill(labels.unionByName(restored), "labels")
-    lowest = labels.groupBy("label").agg(F.least(F.min("v"), F.first("label")).alias("group"))
-    members = skewed_lookup(labels, lowest, ["label"]).select(F.col("v").alias("vertex"), "group")
+        known = labels[0]
+        for part in labels[1:]:
+            known = known.unionByName(part)
+        known = known.select(F.col("v").alias("parent"), "label")
+        labels.append(spill(out.join(known, "parent", "left").select("v", F.coalesce("label", "parent").alias("label")), "labels"))
+    discard(*removed)
+    every = labels[0]
+    for part in labels[1:]:
+        every = every.unionByName(part)
+    lowest = spill(every.groupBy("label").agg(F.least(F.min("v"), F.first("label")).alias("group")), "groups")
+    members = skewed_lookup(every, lowest, ["label"]).select(F.col("v").alias("vertex"), "group")
     return members.unionByName(lowest.select(F.col("label").alias("vertex"), "group"))
