@@ -55,3 +55,7 @@ class TooUnspecificQuery(PhylolakeError):
 
 class BoundExceeded(PhylolakeError):
     """A side that has to be small for the chosen plan is larger than its stated bound."""
+
+
+class NoSharedFolder(PhylolakeError):
+    """A cluster without a folder that all executors share."""

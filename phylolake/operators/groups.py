@@ -154,3 +154,9 @@ def family_ranges(hogs: DataFrame) -> DataFrame:
     per = hogs.groupBy("fam").agg(F.count(F.lit(1)).alias("n"))
     stop = F.sum("n").over(Window.orderBy("fam").rowsBetween(Window.unboundedPreceding, 0))
     return per.select("fam", (stop - F.col("n")).alias("start"), stop.alias("stop"))
+
+
+def top_groups(entries: DataFrame, hits: DataFrame, *, group: str = "group_nr", none=0, k: int = 10) -> DataFrame:
+    """(group, n): the ``k`` groups with most entries among the hits (column entry_nr) of a search; ties go to the smaller group."""
+    found = entries.where(F.col(group).isNotNull() & (F.col(group) != none)).join(hits.select("entry_nr").distinct(), "entry_nr", "left_semi")
+    return found.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(k)

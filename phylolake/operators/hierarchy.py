@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.errors import InvalidTaxonomy
-from phylolake.session import spill
+from phylolake.session import discard, spill
 
 MAX_DEPTH = 100
 
@@ -33,12 +33,13 @@ def closure(edges: DataFrame, child: str, parent: str, nodes: DataFrame | None =
         right = reach.select(F.col("descendant").alias("mid"), "ancestor", F.col("dist").alias("d2"))
         grown = left.join(right, "mid").groupBy("descendant", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("dist"))
         grown = spill(grown, "closure")
-        bad = grown.join(e, (grown["ancestor"] == e["descendant"]) & (grown["descendant"] == e["ancestor"])).limit(1).count()
-        if bad:
-            raise InvalidTaxonomy("the parent table holds a cycle")
         m = grown.count()
+        discard(reach)
         reach = grown
         if m == n:
+            back = e.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
+            if not reach.join(back, ["descendant", "ancestor"], "left_semi").isEmpty():
+                raise InvalidTaxonomy("the parent table holds a cycle")
             if (reach.agg(F.max("dist")).first()[0] or 0) > max_depth:
                 raise InvalidTaxonomy(f"a lineage is longer than {max_depth}")
             return reach

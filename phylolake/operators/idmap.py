@@ -33,6 +33,10 @@ class Mapper:
     verification: str = "unchecked"
     url: tuple[tuple[str, str], ...] = ()
 
+    def best(self, xrefs: DataFrame) -> DataFrame:
+        """The best id of every entry: the order of the mapper's own sources decides."""
+        return best_per_entry(self.rows(xrefs), self.sources)
+
     def rows(self, xrefs: DataFrame) -> DataFrame:
         out = xrefs.where(F.col("verification") <= VERIFICATION[self.verification])
         if self.sources is not None:
@@ -50,11 +54,11 @@ MAPPERS = {
     m.name: m
     for m in (
         Mapper("all", None, "modified"),
-        Mapper("uniprot", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL")),
+        Mapper("uniprot", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL"), "modified"),
         Mapper("no_approximate", None, "unchecked"),
         Mapper("gene_name_or_symbol", ("Gene Name", "UniProtKB/SwissProt", "UniProtKB/TrEMBL", "HGNC", "SourceID")),
         Mapper("gene_name_and_main", ("Gene Name", "UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Gene", "RefSeq", "EntrezGene", "SourceID")),
-        Mapper("linkout", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Protein", "Ensembl Gene", "EntrezGene"), "unchecked",
+        Mapper("linkout", ("UniProtKB/SwissProt", "UniProtKB/TrEMBL", "Ensembl Protein", "Ensembl Gene", "EntrezGene"), "modified",
                (("UniProtKB/SwissProt", "http://uniprot.org/uniprot/"), ("UniProtKB/TrEMBL", "http://uniprot.org/uniprot/"), ("Ensembl Protein", "http://ensembl.org/id/"),
                 ("Ensembl Gene", "http://ensembl.org/id/"), ("EntrezGene", "http://www.ncbi.nlm.nih.gov/gene/"))),
     )
@@ -81,9 +85,17 @@ def nested(xrefs: DataFrame) -> DataFrame:
     return first.groupBy("entry_nr").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "id")))).alias("ids"))
 
 
-def best_per_entry(xrefs: DataFrame) -> DataFrame:
-    """The id of the best source of every entry; ties go to the smaller id."""
-    return xrefs.groupBy("entry_nr").agg(F.min(F.struct("source", "xref_id")).alias("b")).select("entry_nr", "b.source", "b.xref_id")
+def best_per_entry(xrefs: DataFrame, order: tuple[str, ...] | None = None) -> DataFrame:
+    """The id of the best source of every entry; ties go to the smaller id.
+
+    Sources rank as listed in ``order`` (others are left out), without it by their code.
+    """
+    if order is None:
+        rank, rows = F.col("source"), xrefs
+    else:
+        codes = [SOURCES[s] for s in order]
+        rank, rows = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("source")), xrefs.where(F.col("source").isin(codes))
+    return rows.groupBy("entry_nr").agg(F.min(F.struct(rank.alias("r"), "source", "xref_id")).alias("b")).select("entry_nr", "b.source", "b.xref_id")
 
 
 def xref_summary(xrefs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -141,6 +153,20 @@ def search(xrefs: DataFrame, query: str, mode: str = "suffix_if_no_prefix", *, e
     return out if limit is None else out.orderBy("entry_nr", "source", "xref_id").limit(limit)
 
 
+def count(xrefs: DataFrame, query: str, mode: str = "suffix_if_no_prefix", *, entry_range: tuple[int, int] | None = None) -> int:
+    """Number of cross-references a search of that mode finds; counted, not fetched."""
+    return search(xrefs, query, mode, entry_range=entry_range).count()
+
+
+def joined_ids(xrefs: DataFrame, kinds: dict[str, int]) -> DataFrame:
+    """(entry_nr, one column per kind): the smallest id of every kind, for all entries with any of them (full outer join of the kinds)."""
+    out = None
+    for name, source in kinds.items():
+        own = xrefs.where(F.col("source") == source).groupBy("entry_nr").agg(F.min("xref_id").alias(name))
+        out = own if out is None else out.join(own, "entry_nr", "full")
+    return out
+
+
 def search_id(xrefs: DataFrame, query: str) -> DataFrame:
     """Entries of an id, optionally written ``source:id``."""
     source, sep, term = query.partition(":")
@@ -170,12 +196,12 @@ def resolve(query: str, entries: DataFrame, xrefs: DataFrame) -> int:
         stages.append(lambda mode=mode: entries.join(search(xrefs, q, mode, unspecific=UNSPECIFIC).select("entry_nr").distinct(), "entry_nr", "left_semi"))
     gene = F.when(F.col("alt_splice") == 0, F.col("entry_nr")).otherwise(F.col("alt_splice"))
     for stage in stages:
-        hits = stage().select("entry_nr", gene.alias("gene")).limit(1000).collect()
-        if hits:
-            genes = {h.gene for h in hits}
-            if len(genes) > 1:
-                raise AmbiguousId(f"{query!r} names {len(genes)} genes", sorted(h.entry_nr for h in hits))
-            return int(genes.pop())
+        found = stage().select("entry_nr", gene.alias("gene"))
+        n, low, genes = found.agg(F.count(F.lit(1)), F.min("gene"), F.countDistinct("gene")).first()
+        if n:
+            if genes > 1:  # decided over all hits; the search before refuses more than UNSPECIFIC of them
+                raise AmbiguousId(f"{query!r} names {genes} genes", [r[0] for r in found.select("entry_nr").distinct().orderBy("entry_nr").collect()])
+            return int(low)
     raise InvalidId(f"{query!r} names no entry")
 
 

@@ -193,3 +193,42 @@ def copy_number(pairs: DataFrame) -> DataFrame:
 def relation_counts(pairs: DataFrame) -> DataFrame:
     """Number of relations per entry and type label."""
     return pairs.groupBy(F.col("entry_nr1").alias("entry_nr"), type_label("rel_type").alias("rel_label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def genome_pairs(genomes: DataFrame, genome: str = "species_code") -> DataFrame:
+    """(genome1, genome2): all pairs of genomes, each once. A dimension of a few thousand genomes; the pairs come from one array of
+    their names per genome, without a cross join."""
+    names = genomes.select(genome).where(F.col(genome).isNotNull()).distinct()
+    every = names.groupBy().agg(F.array_sort(F.collect_set(genome)).alias("g"))
+    first = every.select("g", F.explode("g").alias("genome1"))
+    return first.select("genome1", F.explode(F.filter("g", lambda x: x > F.col("genome1"))).alias("genome2"))
+
+
+def pair_export(pairs: DataFrame, entries: DataFrame, genomes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(genome1, genome2, entry_nr1, entry_nr2, rel_label, id1, id2): the relations of every pair of genomes, for one file per pair.
+
+    ``ids`` (entry_nr, id) has at most one id per entry; entries without one keep a null.
+    """
+    e = entries.select("entry_nr", "species_code")
+    j = pairs.join(e.toDF("entry_nr1", "genome1"), "entry_nr1").join(e.toDF("entry_nr2", "genome2"), "entry_nr2").join(genome_pairs(genomes), ["genome1", "genome2"], "left_semi")
+    out = j.select("genome1", "genome2", "entry_nr1", "entry_nr2", type_label("rel_type").alias("rel_label"))
+    if ids is None:
+        return out.withColumn("id1", F.lit(None).cast("string")).withColumn("id2", F.lit(None).cast("string"))
+    return out.join(ids.toDF("entry_nr1", "id1"), "entry_nr1", "left").join(ids.toDF("entry_nr2", "id2"), "entry_nr2", "left").select(*out.columns, "id1", "id2")
+
+
+def induced_cardinality(entries: DataFrame, entry_nr: int) -> DataFrame:
+    """(entry_nr, species_code, rel_label): induced orthologs of one entry with their cardinality.
+
+    'm' if the partner has several orthologs in the entry's genome, 'n' if the entry has several in the partner's.
+    """
+    e = entries.where("fam IS NOT NULL AND hog_id <> ''").select("entry_nr", "fam", "hog_id", "species_code")
+    q = e.where(F.col("entry_nr") == entry_nr).select("fam", F.col("hog_id").alias("q"), F.col("species_code").alias("own"))
+    fam = e.join(F.broadcast(q.limit(1)), "fam")
+    partners = fam.where((F.col("species_code") != F.col("own")) & hogid.are_orthologous("q", "hog_id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("species_code"))
+    mine = fam.where(F.col("species_code") == F.col("own")).groupBy("fam", F.col("hog_id").alias("h")).agg(F.count(F.lit(1)).alias("genes"))
+    related = partners.select("fam", "hog_id").distinct().join(mine, "fam").where(hogid.are_orthologous("h", "hog_id"))
+    left = related.groupBy("hog_id").agg(F.sum("genes").alias("left"))
+    label = F.concat(F.when(F.col("left") > 1, "m").otherwise("1"), F.lit(":"), F.when(n > 1, "n").otherwise("1"))
+    return partners.join(left, "hog_id").select("entry_nr", "species_code", label.alias("rel_label"))

@@ -10,9 +10,35 @@ from pyspark.sql import functions as F
 from phylolake.functions import sequence as S
 from phylolake.session import ship_package, spread_work
 
-# Classes of similar residues; a published way to score without a full exchange matrix.
-RESIDUE_CLASSES = ("AGPST", "C", "DENQ", "FWY", "HKR", "ILMV")
-MATCH, SIMILAR, MISMATCH, GAP_OPEN, GAP_EXTEND = 5.0, 1.0, -3.0, -8.0, -1.0
+# The BLOSUM62 matrix (Henikoff and Henikoff 1992) in half bits, lower triangle, and its usual gap costs.
+RESIDUES = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
+GAP_START, GAP_STEP = 11, 1
+#: Half bits as 10 log10 of the odds, the scale on which the acceptance cut-offs 70, 80 and 1000 are stated.
+UNIT = 5 * np.log10(2)
+GAP_OPEN, GAP_EXTEND = -(GAP_START + GAP_STEP) * UNIT, -GAP_STEP * UNIT
+EXACT_PER_RESIDUE = 5.0
 
 
 def substring_rows(df: DataFrame, column: str, query: str, *, ignore_case: bool = True) -> DataFrame:
@@ -59,14 +85,11 @@ def kmer_search(sequences: DataFrame, query: str, *, id_col: str = "seq_id", k:
 
 
 def _exchange() -> np.ndarray:
-    m = np.full((128, 128), MISMATCH)
-    for group in RESIDUE_CLASSES:
-        for a in group:
-            for b in group:
-                m[ord(a), ord(b)] = SIMILAR
-    for a in S.ALPHABET:
-        m[ord(a), ord(a)] = MATCH
-    m[ord("X"), :] = m[:, ord("X")] = 0
+    """Scores of residue pairs by character code; X and unknown characters score 0 against all."""
+    m = np.zeros((128, 128))
+    for a, row in zip(RESIDUES, BLOSUM62.split("\n")[1:-1], strict=True):
+        for b, score in zip(RESIDUES, row.split(), strict=False):
+            m[ord(a), ord(b)] = m[ord(b), ord(a)] = int(score) * UNIT
     return m
 
 
@@ -139,7 +162,7 @@ def approximate_search(queries: DataFrame, sequences: DataFrame, *, query_id: st
 def sequence_search(queries: DataFrame, sequences: DataFrame, *, query_id: str = "query_id", query: str = "query", id_col: str = "seq_id", seq: str = "seq", n: int = 50) -> DataFrame:
     """(query_id, id, mode, score): exact hits tagged 'exact'; queries without any go through the approximate search."""
     q = queries.select(query_id, S.sanitise(query).alias("__q"))
-    exact = q.where("__q <> ''").join(sequences.select(id_col, F.md5(seq).alias("__m")), F.md5("__q") == F.col("__m")).select(query_id, id_col, F.lit("exact").alias("mode"), (F.length("__q") * MATCH).alias("score"))
+    exact = q.where("__q <> ''").join(sequences.select(id_col, F.md5(seq).alias("__m")), F.md5("__q") == F.col("__m")).select(query_id, id_col, F.lit("exact").alias("mode"), (F.length("__q") * EXACT_PER_RESIDUE).alias("score"))
     rest = q.join(exact.select(query_id), query_id, "left_anti")
     approx = approximate_search(rest, sequences, query_id=query_id, query="__q", id_col=id_col, seq=seq, n=n)
     return exact.unionByName(approx.select(query_id, id_col, F.lit("approx").alias("mode"), "score"))

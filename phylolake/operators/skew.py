@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylolake.session import work_slots
+from phylolake.session import spill, work_slots
 
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -76,17 +76,17 @@ def dominant_keys(df: DataFrame, key: str, share_percent: int, **tree) -> DataFr
     )
 
 
-def salted_sides(df: DataFrame, keys: list[str], *, rows_per_salt: int = 500, max_heavy: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def salted_sides(df: DataFrame, keys: list[str], *, rows_per_salt: int = 500) -> tuple[DataFrame, DataFrame]:
     """Two copies of ``df`` for a self-join on ``keys`` and ``__salt`` that splits heavy keys over many tasks.
 
     The left copy gives every row one salt, the right one repeats the rows of
-    heavy keys for each salt, so every pair of rows with equal keys meets exactly once. Keys are heavy
-    from max(``rows_per_salt``, rows / ``max_heavy``) rows on: at most ``max_heavy`` of them are broadcast.
+    heavy keys for each salt, so every pair of rows with equal keys meets exactly once. A key has one salt per
+    ``rows_per_salt`` of its own rows, however large the table is. The heavy keys are a written table: Spark broadcasts it
+    only if its files are small, else it is joined by shuffle, where the rows of a hot key can be split.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    limit = max(rows_per_salt, df.count() // max_heavy)
-    heavy = counts.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / rows_per_salt).cast("int").alias("__salts"))
-    sized = df.join(F.broadcast(heavy), keys, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    heavy = spill(counts.where(F.col("__n") > rows_per_salt).select(*keys, F.ceil(F.col("__n") / rows_per_salt).cast("int").alias("__salts")), "salts")
+    sized = df.join(heavy, keys, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
     others = [c for c, kind in df.dtypes if c not in keys and not kind.startswith("map")]
     n = work_slots(df.sparkSession)
     left = sized.withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")

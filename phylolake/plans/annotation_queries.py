@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phylolake.functions import strings
 from phylolake.operators import annotations as A
 from phylolake.operators import enrichment as EN
-from phylolake.operators import hierarchy, ontology
+from phylolake.operators import ontology
 from phylolake.plans import domain as D
 from phylolake.plans.registry import Registry
 from phylolake.session import table
@@ -17,7 +18,7 @@ Spark = SparkSession
 
 
 def _closure(s: Spark, sf: str) -> DataFrame:
-    return hierarchy.closure(D.go_edge(s, sf), "child", "parent", D.term(s, sf), "term_nr")
+    return D.go_tree(s, sf)
 
 
 def _go(s: Spark, sf: str) -> DataFrame:
@@ -92,11 +93,12 @@ def genome_importance(s: Spark, sf: str) -> DataFrame:
     return A.genome_importance(D.go(s, sf), D.entry(s, sf))
 
 
-@R.query("""SELECT 'LAKE' AS DB, e.species_code || lpad(CAST(e.entry_nr AS VARCHAR), 5, '0') AS DB_Object_ID, DB_Object_ID AS DB_Object_Symbol, '' AS Qualifier, 'GO:' || lpad(CAST(g.term_nr AS VARCHAR), 7, '0') AS GO_ID, g.reference AS DB_Reference, g.evidence AS Evidence, '' AS "With",
+@R.query("""SELECT 'LAKE' AS DB, e.species_code || CASE WHEN e.entry_nr - e.entry_off < 100000 THEN lpad(CAST(e.entry_nr - e.entry_off AS VARCHAR), 5, '0') ELSE CAST(e.entry_nr - e.entry_off AS VARCHAR) END AS DB_Object_ID, DB_Object_ID AS DB_Object_Symbol, '' AS Qualifier, 'GO:' || CASE WHEN g.term_nr < 10000000 THEN lpad(CAST(g.term_nr AS VARCHAR), 7, '0') ELSE CAST(g.term_nr AS VARCHAR) END AS GO_ID, g.reference AS DB_Reference, g.evidence AS Evidence, '' AS "With",
   coalesce(CASE t.aspect WHEN 'biological_process' THEN 'P' WHEN 'molecular_function' THEN 'F' WHEN 'cellular_component' THEN 'C' END, '') AS Aspect, '' AS DB_Object_Name, '' AS Synonym, 'protein' AS DB_Object_Type, 'taxon:' || e.taxid AS Taxon_ID, '20240101' AS Date, 'LAKE' AS Assigned_By, '' AS Annotation_Extension, '' AS Gene_Product_Form_ID
-  FROM go_v g JOIN term_v t ON t.term_nr = g.term_nr JOIN entry_v e ON e.entry_nr = g.entry_nr""")
+  FROM go_v g JOIN term_v t ON t.term_nr = g.term_nr JOIN (SELECT v.*, gv.entry_off FROM entry_v v JOIN genome_v gv USING (species_code)) e ON e.entry_nr = g.entry_nr""")
 def gaf_export(s: Spark, sf: str) -> DataFrame:
-    e = D.entry(s, sf).withColumn("protein_id", F.format_string("%s%05d", "species_code", "entry_nr"))
+    off = D.genome(s, sf).select("species_code", "entry_off")
+    e = D.entry(s, sf).join(off, "species_code").withColumn("protein_id", strings.protein_id("species_code", F.col("entry_nr") - F.col("entry_off")))
     return A.to_gaf(D.go(s, sf), e, D.term(s, sf), db="LAKE", date="20240101")
 
 

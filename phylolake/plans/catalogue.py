@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phylolake.plans import annotation_queries, data_queries, relation_queries, search_queries, similarity_queries, summary_queries
+from phylolake.plans import annotation_queries, data_queries, file_queries, relation_queries, release_queries, search_queries, similarity_queries, summary_queries
 
-MODULES = (data_queries, relation_queries, annotation_queries, search_queries, similarity_queries, summary_queries)
+MODULES = (data_queries, relation_queries, annotation_queries, search_queries, similarity_queries, summary_queries, release_queries, file_queries)
 
 
 def queries() -> dict:

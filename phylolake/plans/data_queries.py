@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phylolake.functions import hogid
 from phylolake.operators import orphans, skew, snapshots
-from phylolake.session import spill, table
+from phylolake.session import discard, spill, table
 
 DOMINANT_PERCENT = 3
 #: A key is heavy from one in HEAVY_FRACTION of all references on: at most that many keys are broadcast.
@@ -57,20 +57,39 @@ SELECT fam, count(*) AS n_rows, count(*) FILTER (WHERE OmaGroup > 0) AS n_groupe
 FROM f GROUP BY fam"""
 
 
+def _rows(spark: SparkSession, sf: str):
+    """References as loaded, each RowNr of a release once."""
+    go = table(spark, sf, "go_annotation").select("RowNr", "ReleaseNr", "EntryNr", "TermNr").distinct()
+    xref = table(spark, sf, "xref").select("RowNr", "ReleaseNr", "EntryNr").distinct()
+    return go, xref
+
+
+def _releases(*tables: DataFrame) -> list[int]:
+    """The release numbers of the tables: a handful, they are the periods of the reports."""
+    every = tables[0].select("ReleaseNr")
+    for t in tables[1:]:
+        every = every.union(t.select("ReleaseNr"))
+    return sorted(r[0] for r in every.where("ReleaseNr IS NOT NULL").distinct().collect())
+
+
+#: The references: (table, field, space of the targets).
+FIELDS = (("go_annotation", "EntryNr", "entry"), ("go_annotation", "TermNr", "term"), ("xref", "EntryNr", "entry"))
+
+
 def _reference_state(spark: SparkSession, sf: str):
-    go = table(spark, sf, "go_annotation").select("RowNr", "ReleaseNr", "EntryNr", "TermNr")
-    xref = table(spark, sf, "xref").select("RowNr", "ReleaseNr", "EntryNr")
-    # a handful of numbers: the releases are the periods of the report
-    periods = sorted(r[0] for r in go.select("ReleaseNr").union(xref.select("ReleaseNr")).where("ReleaseNr IS NOT NULL").distinct().collect())
-    state = orphans.apply_deltas(
-        None,
-        orphans.reference_deltas(go, "entry", "ReleaseNr", "EntryNr"),
-        orphans.reference_deltas(xref, "entry", "ReleaseNr", "EntryNr"),
-        orphans.reference_deltas(go, "term", "ReleaseNr", "TermNr"),
-        orphans.presence_deltas(table(spark, sf, "entry"), "entry", "ReleaseNr", "EntryNr"),
+    """References and existence per (space, release, key), folded release by release from their change deltas.
+
+    A release changes its own period only: its rows come as signed deltas, and so do the targets it delivers.
+    """
+    go, xref = _rows(spark, sf)
+    entry = table(spark, sf, "entry")
+    periods = _releases(go, xref)
+    deltas = [
+        *[orphans.reference_deltas({"go_annotation": go, "xref": xref}[tab], space, "ReleaseNr", field) for tab, field, space in FIELDS],
+        orphans.presence_deltas(entry, "entry", "ReleaseNr", "EntryNr"),
         orphans.lifespan_deltas(table(spark, sf, "go_term"), "term", "AddedIn", "ObsoleteIn", "TermNr", periods),
-    )
-    return go, xref, state
+    ]
+    return go, xref, orphans.apply_deltas(None, *deltas)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,15 +100,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     heavy = max(1, total // HEAVY_FRACTION)
     marked = referenced.where(F.col("orphan") | (F.col("refs") >= heavy))
     parts = [
-        orphans.orphan_rows(df, marked, space, "ReleaseNr", field, "RowNr", heavy).select(F.lit(tab).alias("tab"), F.lit(field).alias("field"), "rel_nr", "row_nr")
-        for tab, field, space, df in (("go_annotation", "EntryNr", "entry", go), ("go_annotation", "TermNr", "term", go), ("xref", "EntryNr", "entry", xref))
+        orphans.orphan_rows({"go_annotation": go, "xref": xref}[tab], marked, space, "ReleaseNr", field, "RowNr", heavy)
+        .select(F.lit(tab).alias("tab"), F.lit(field).alias("field"), F.col("rel_nr").cast("bigint").alias("rel_nr"), "row_nr")
+        for tab, field, space in FIELDS
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _P5_ROWS = """
 r AS (
-  SELECT 'go_annotation' AS tab, 'EntryNr' AS field, ReleaseNr AS rel_nr, RowNr AS row_nr, EntryNr AS k FROM go_annotation
+  SELECT 'go_annotation' AS tab, 'EntryNr' AS field, CAST(ReleaseNr AS BIGINT) AS rel_nr, RowNr AS row_nr, EntryNr AS k FROM go_annotation
   UNION ALL SELECT 'go_annotation', 'TermNr', ReleaseNr, RowNr, TermNr FROM go_annotation
   UNION ALL SELECT 'xref', 'EntryNr', ReleaseNr, RowNr, EntryNr FROM xref),
 lost AS (
@@ -103,24 +123,53 @@ P5_FOUND = f"WITH {_P5_ROWS} SELECT tab, field, rel_nr, row_nr FROM lost"
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Orphan references per target space and release: keys and references, as counted in the state."""
-    _, _, state = _reference_state(spark, sf)
-    return (
-        orphans.orphan_keys(state)
-        .groupBy("space", F.col("period").alias("rel_nr"))
-        .agg(F.count(F.lit(1)).alias("n_keys"), F.sum("refs").alias("n_refs"))
-    )
-
-
-P5_REPORT = """
-WITH r AS (
-  SELECT 'entry' AS space, ReleaseNr AS rel_nr, EntryNr AS k FROM go_annotation UNION ALL SELECT 'entry', ReleaseNr, EntryNr FROM xref
-  UNION ALL SELECT 'term', ReleaseNr, TermNr FROM go_annotation),
-g AS (SELECT space, rel_nr, k, count(*) AS refs FROM r WHERE k IS NOT NULL AND k <> 0 GROUP BY ALL)
-SELECT space, rel_nr, count(*) AS n_keys, CAST(sum(refs) AS BIGINT) AS n_refs FROM g
-WHERE NOT (space = 'entry' AND EXISTS (SELECT 1 FROM entry e WHERE e.ReleaseNr = g.rel_nr AND e.EntryNr = g.k))
-  AND NOT (space = 'term' AND EXISTS (SELECT 1 FROM go_term t WHERE t.TermNr = g.k AND (t.AddedIn IS NULL OR t.AddedIn <= g.rel_nr) AND (t.ObsoleteIn IS NULL OR g.rel_nr < t.ObsoleteIn)))
-GROUP BY space, rel_nr"""
+    """Orphan references per table, field and release: missing keys and rows, each RowNr once."""
+    go, xref, state = _reference_state(spark, sf)
+    missing = state.where("present <= 0 AND refs > 0").select("space", "period", "key")
+    refs = None
+    for tab, field, space in FIELDS:
+        df = {"go_annotation": go, "xref": xref}[tab]
+        own = df.select(F.lit(tab).alias("tab"), F.lit(field).alias("field"), F.lit(space).alias("space"), F.col("ReleaseNr").cast("int").alias("period"), F.col(field).cast("bigint").alias("key"))
+        refs = own if refs is None else refs.unionByName(own)
+    counted = refs.where("key <> 0").groupBy("tab", "field", "space", "period", "key").agg(F.count(F.lit(1)).alias("n"))  # one row per key before the join
+    lost = counted.join(missing, ["space", "period", "key"])
+    return lost.groupBy("tab", "field", F.col("period").cast("bigint").alias("rel_nr")).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"))
+
+
+P5_REPORT = f"WITH {_P5_ROWS} SELECT tab, field, rel_nr, count(DISTINCT k) AS n_keys, count(*) AS n_rows FROM lost GROUP BY ALL"
+
+
+def p5_by_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Orphan keys of the references of the newest release, kept current over all releases by signed change deltas.
+
+    The state starts empty. From each release to the next, references that went are counted -1 and those that came +1, and so are the
+    targets; after the last step the keys with references and no existence are those a full recomputation finds.
+    """
+    go, xref = _rows(spark, sf)
+    entry = table(spark, sf, "entry")
+    now = F.lit(0).alias("now")
+    refs = go.select("ReleaseNr", "EntryNr", "RowNr", now).unionByName(xref.select("ReleaseNr", "EntryNr", (-F.col("RowNr") - 1).alias("RowNr"), now)).distinct()
+    held = entry.select("ReleaseNr", "EntryNr", now).distinct()
+    state, before = None, None
+    for release in _releases(go, xref, entry):
+        deltas = []
+        for df, make in ((refs, orphans.reference_deltas), (held, orphans.presence_deltas)):
+            new = df.where(F.col("ReleaseNr") == release).drop("ReleaseNr")
+            old = df.where(F.col("ReleaseNr") == before).drop("ReleaseNr") if before is not None else new.where("false")
+            deltas += [make(new.exceptAll(old), "entry", "now", "EntryNr"), make(old.exceptAll(new), "entry", "now", "EntryNr", sign=-1)]
+        updated = spill(orphans.apply_deltas(state, *deltas), "counts")
+        if state is not None:
+            discard(state)
+        state, before = updated, release
+    if state is None:
+        return spark.createDataFrame([], "entry_nr bigint, n_refs bigint")
+    return orphans.orphan_keys(state).select(F.col("key").alias("entry_nr"), F.col("refs").alias("n_refs"))
+
+
+P5_BY_DELTAS = """
+WITH m AS (SELECT max(r) AS r FROM (SELECT ReleaseNr AS r FROM go_annotation UNION ALL SELECT ReleaseNr FROM xref UNION ALL SELECT ReleaseNr FROM entry)),
+a AS (SELECT DISTINCT 'g' AS t, RowNr, EntryNr FROM go_annotation, m WHERE ReleaseNr = m.r UNION ALL SELECT DISTINCT 'x', RowNr, EntryNr FROM xref, m WHERE ReleaseNr = m.r)
+SELECT EntryNr AS entry_nr, count(*) AS n_refs FROM a WHERE EntryNr <> 0 AND EntryNr NOT IN (SELECT EntryNr FROM entry, m WHERE ReleaseNr = m.r) GROUP BY 1"""
 
 
 def _entry_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,14 +185,14 @@ def _entry_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Entries added, removed or changed (flat group or HOG) from each release to the next."""
-    return _entry_changes(spark, sf).select(F.col("ReleaseNr").alias("rel_nr"), F.col("EntryNr").alias("entry_nr"), "change_kind")
+    return _entry_changes(spark, sf).select(F.col("ReleaseNr").cast("bigint").alias("rel_nr"), F.col("EntryNr").alias("entry_nr"), "change_kind")
 
 
 def p6_changed_fields(spark: SparkSession, sf: str) -> DataFrame:
     """How many entries changed in which combination of fields, per later release."""
     return (
         _entry_changes(spark, sf)
-        .groupBy(F.col("ReleaseNr").alias("rel_nr"), "change_kind", F.array_join("changed_fields", ",").alias("fields"))
+        .groupBy(F.col("ReleaseNr").cast("bigint").alias("rel_nr"), "change_kind", F.array_join("changed_fields", ",").alias("fields"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -157,7 +206,7 @@ n AS (SELECT DISTINCT r FROM d),
 p AS (SELECT r AS r2, lag(r) OVER (ORDER BY r) AS r1 FROM n),
 o AS (SELECT p.r2, d.* FROM d JOIN p ON d.r = p.r1),
 w AS (SELECT p.r2, d.* FROM d JOIN p ON d.r = p.r2 AND p.r1 IS NOT NULL),
-c AS (SELECT coalesce(o.r2, w.r2) AS rel_nr, coalesce(o.e, w.e) AS entry_nr,
+c AS (SELECT CAST(coalesce(o.r2, w.r2) AS BIGINT) AS rel_nr, coalesce(o.e, w.e) AS entry_nr,
     CASE WHEN o.e IS NULL THEN 'added' WHEN w.e IS NULL THEN 'removed' ELSE 'changed' END AS change_kind,
     CASE WHEN o.e IS NULL OR w.e IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.g <> w.g THEN 'OmaGroup' END, CASE WHEN o.h <> w.h THEN 'OmaHOG' END) END AS fields
   FROM o FULL JOIN w ON o.r2 = w.r2 AND o.e = w.e
@@ -168,11 +217,11 @@ P6_CHANGED_FIELDS = _P6 + "SELECT rel_nr, change_kind, fields, count(*) AS n FRO
 
 QUERIES = {
     "p4_found": p4_found, "p4_family_results": p4_family_results,
-    "p5_found": p5_found, "p5_report": p5_report,
+    "p5_found": p5_found, "p5_report": p5_report, "p5_by_deltas": p5_by_deltas,
     "p6_found": p6_found, "p6_changed_fields": p6_changed_fields,
 }
 ORACLE = {
-    "p4_found": P4_FOUND, "p4_family_results": P4_FAMILY_RESULTS, "p5_found": P5_FOUND, "p5_report": P5_REPORT,
+    "p4_found": P4_FOUND, "p4_family_results": P4_FAMILY_RESULTS, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p5_by_deltas": P5_BY_DELTAS,
     "p6_found": P6_FOUND, "p6_changed_fields": P6_CHANGED_FIELDS,
 }
 

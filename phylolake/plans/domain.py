@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylolake.functions import hogid
+from phylolake.operators import hierarchy
 from phylolake.operators.joins import interval_join
 from phylolake.operators.snapshots import latest_delivery
-from phylolake.session import table
-
-RELEASE = 4
+from phylolake.session import once, table
 
 VIEWS: dict[str, str] = {
     "genome_v": """SELECT UniProtSpeciesCode AS species_code, min(NCBITaxonId) AS taxid, min(EntryOff) AS entry_off, min(TotEntries) AS tot_entries,
@@ -27,7 +26,7 @@ VIEWS: dict[str, str] = {
         coalesce(CanonicalId, '') AS canonical_id, coalesce(MD5ProteinHash, '') AS md5, coalesce(SubGenome, '') AS subgenome,
         row_number() OVER (PARTITION BY EntryNr ORDER BY DeliveredAt DESC NULLS LAST, coalesce(OmaGroup, 0) DESC, coalesce(OmaHOG, '') DESC, coalesce(Chromosome, '') DESC,
           coalesce(LocusStart, 0) DESC, coalesce(LocusEnd, 0) DESC, coalesce(LocusStrand, 0) DESC, coalesce(AltSpliceVariant, 0) DESC, coalesce(CanonicalId, '') DESC,
-          coalesce(MD5ProteinHash, '') DESC, coalesce(SubGenome, '') DESC) AS rn FROM entry WHERE ReleaseNr = 4""",
+          coalesce(MD5ProteinHash, '') DESC, coalesce(SubGenome, '') DESC) AS rn FROM entry WHERE ReleaseNr = (SELECT max(ReleaseNr) FROM entry)""",
     "entry_v": """SELECT e.* EXCLUDE (rn, hog_raw), CASE WHEN hog_raw LIKE 'HOG:E%' THEN 'HOG:E' || lpad(ltrim(regexp_extract(hog_raw, '^HOG:E([0-9]+)', 1), '0'), 7, '0')
           || regexp_replace(hog_raw, '^HOG:E[0-9]+', '') ELSE '' END AS hog_id,
         try_cast(nullif(regexp_extract(hog_raw, '^HOG:[A-Za-z]*0*([0-9]+)', 1), '') AS BIGINT) AS fam, g.species_code, g.taxid
@@ -35,7 +34,7 @@ VIEWS: dict[str, str] = {
     "main_v": "SELECT * FROM entry_v WHERE alt_splice = 0 OR alt_splice = entry_nr",
     "hog_v": """SELECT DISTINCT Fam AS fam, ID AS hog_id, Level AS level, max(IsRoot) OVER (PARTITION BY ID, Level) AS is_root,
         max(coalesce(NrMemberGenes, 0)) OVER (PARTITION BY ID, Level) AS nr_members,
-        max(CASE WHEN isnan(CompletenessScore) OR CompletenessScore IS NULL THEN -1 ELSE round(CompletenessScore::DOUBLE, 4) END) OVER (PARTITION BY ID, Level) AS completeness
+        max(CASE WHEN isnan(CompletenessScore) OR CompletenessScore IS NULL THEN -1 ELSE round(CompletenessScore::DOUBLE * 10000) / 10000 END) OVER (PARTITION BY ID, Level) AS completeness
         FROM hog_level WHERE Level IS NOT NULL""",
     "pair_v": """SELECT EntryNr1 AS entry_nr1, EntryNr2 AS entry_nr2, min(RelType) AS rel_type, max(round(coalesce(Score, -1)::DOUBLE, 3)) AS score
         FROM pairwise WHERE EntryNr1 <> 0 AND EntryNr2 <> 0 AND EntryNr1 <> EntryNr2 AND RelType IS NOT NULL GROUP BY 1, 2""",
@@ -52,15 +51,24 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT c.descendant, e.parent, c.dist + 1 FROM go_paths c JOIN go_edge e ON e.child = c.ancestor""",
     "go_closure": """SELECT descendant, ancestor, min(dist) AS dist FROM (SELECT * FROM go_paths UNION ALL SELECT term_nr, term_nr, 0 FROM term_v) GROUP BY 1, 2""",
     "go_v": """SELECT DISTINCT EntryNr AS entry_nr, TermNr AS term_nr, upper(trim(coalesce(Evidence, ''))) AS evidence, coalesce(Reference, '') AS reference
-        FROM go_annotation WHERE ReleaseNr = 4 AND EntryNr <> 0 AND TermNr <> 0""",
+        FROM go_annotation WHERE ReleaseNr = (SELECT max(ReleaseNr) FROM entry) AND EntryNr <> 0 AND TermNr <> 0""",
     "xref_v": """SELECT DISTINCT EntryNr AS entry_nr, XRefSource AS source, trim(XRefId) AS xref_id, coalesce(Verification, 2) AS verification
-        FROM xref WHERE ReleaseNr = 4 AND EntryNr <> 0 AND XRefSource IS NOT NULL AND trim(coalesce(XRefId, '')) <> ''""",
+        FROM xref WHERE ReleaseNr = (SELECT max(ReleaseNr) FROM entry) AND EntryNr <> 0 AND XRefSource IS NOT NULL AND trim(coalesce(XRefId, '')) <> ''""",
     "domain_v": """SELECT l_orderkey + 1 AS entry_nr, l_linenumber AS nr, 'PF' || lpad(CAST(l_partkey % 97 AS VARCHAR), 5, '0') AS domain_id,
         CAST(1 + (l_linenumber - 1) * 60 + l_suppkey % 7 AS BIGINT) AS dom_start, CAST(1 + (l_linenumber - 1) * 60 + l_suppkey % 7 + 10 + CAST(l_quantity AS BIGINT) % 40 AS BIGINT) AS dom_end FROM lineitem""",
     "seq_v": """SELECT doc_id AS seq_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWXY]', '', 'g') AS seq FROM documents""",
 }
 
 
+def releases(spark: SparkSession, sf: str) -> list[int]:
+    """The delivered releases, oldest first; read anew for every query."""
+    return sorted(r[0] for r in table(spark, sf, "entry").select("ReleaseNr").distinct().where("ReleaseNr IS NOT NULL").collect())
+
+
+def newest(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "entry").agg(F.max("ReleaseNr")).first()[0] or 0
+
+
 def genome(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "genome").where("UniProtSpeciesCode IS NOT NULL")
     return g.groupBy(F.col("UniProtSpeciesCode").alias("species_code")).agg(
@@ -71,7 +79,7 @@ def genome(spark: SparkSession, sf: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of the newest release with group ids in plain spelling, family and genome."""
-    e = table(spark, sf, "entry").where(F.col("ReleaseNr") == RELEASE)
+    e = table(spark, sf, "entry").where(F.col("ReleaseNr") == newest(spark, sf))
     last = latest_delivery(e, ["EntryNr"], "DeliveredAt", {
         "group_nr": F.coalesce("OmaGroup", F.lit(0)), "hog_raw": F.coalesce("OmaHOG", F.lit("")), "chromosome": F.coalesce("Chromosome", F.lit("")),
         "locus_start": F.coalesce("LocusStart", F.lit(0)), "locus_end": F.coalesce("LocusEnd", F.lit(0)), "strand": F.coalesce("LocusStrand", F.lit(0)),
@@ -92,7 +100,7 @@ def main(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hog(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.when(F.isnan("CompletenessScore") | F.col("CompletenessScore").isNull(), -1.0).otherwise(F.round(F.col("CompletenessScore").cast("double"), 4))
+    score = F.when(F.isnan("CompletenessScore") | F.col("CompletenessScore").isNull(), -1.0).otherwise(F.round(F.col("CompletenessScore").cast("double") * 10000) / 10000)
     return (
         table(spark, sf, "hog_level").where("Level IS NOT NULL")
         .groupBy(F.col("Fam").alias("fam"), F.col("ID").alias("hog_id"), F.col("Level").alias("level"))
@@ -136,19 +144,30 @@ def go_edge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def go(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "go_annotation").where(f"ReleaseNr = {RELEASE} AND EntryNr <> 0 AND TermNr <> 0")
+    a = table(spark, sf, "go_annotation").where(f"ReleaseNr = {newest(spark, sf)} AND EntryNr <> 0 AND TermNr <> 0")
     return a.select(
         F.col("EntryNr").alias("entry_nr"), F.col("TermNr").alias("term_nr"), F.upper(F.trim(F.coalesce("Evidence", F.lit("")))).alias("evidence"), F.coalesce("Reference", F.lit("")).alias("reference")
     ).distinct()
 
 
 def xref(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "xref").where(f"ReleaseNr = {RELEASE} AND EntryNr <> 0 AND XRefSource IS NOT NULL AND trim(coalesce(XRefId, '')) <> ''")
+    x = table(spark, sf, "xref").where(f"ReleaseNr = {newest(spark, sf)} AND EntryNr <> 0 AND XRefSource IS NOT NULL AND trim(coalesce(XRefId, '')) <> ''")
     return x.select(
         F.col("EntryNr").alias("entry_nr"), F.col("XRefSource").alias("source"), F.trim("XRefId").alias("xref_id"), F.coalesce("Verification", F.lit(2)).alias("verification")
     ).distinct()
 
 
+def go_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """(descendant, ancestor, dist) of the live terms, written once per session."""
+    return once(spark, f"go_tree {sf}", lambda: hierarchy.closure(go_edge(spark, sf), "child", "parent", term(spark, sf), "term_nr"))
+
+
+def tax_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """(descendant, ancestor, dist) of the clades and genomes, written once per session."""
+    tax = taxonomy(spark, sf)
+    return once(spark, f"tax_tree {sf}", lambda: hierarchy.closure(tax.where("parent_taxid <> 0"), "taxid", "parent_taxid", tax, "taxid"))
+
+
 def domain(spark: SparkSession, sf: str) -> DataFrame:
     start = 1 + (F.col("l_linenumber") - 1) * 60 + F.col("l_suppkey") % 7
     return table(spark, sf, "lineitem").select(

@@ -47,7 +47,7 @@ def _levels_with_taxid(s: Spark, sf: str) -> DataFrame:
 
 
 def _closure(s: Spark, sf: str) -> DataFrame:
-    return hierarchy.closure(D.taxonomy(s, sf).where("parent_taxid <> 0"), "taxid", "parent_taxid", D.taxonomy(s, sf), "taxid")
+    return D.tax_tree(s, sf)
 
 
 @R.query(f"""WITH {_LEVELS},

@@ -67,26 +67,43 @@ def xref_search_modes(s: Spark, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@R.query("SELECT entry_nr, xref_id, CASE WHEN source IN (0, 10) THEN 'http://uniprot.org/uniprot/' || xref_id WHEN source = 50 THEN 'http://www.ncbi.nlm.nih.gov/gene/' || xref_id ELSE 'http://ensembl.org/id/' || xref_id END AS url FROM xref_v WHERE verification <= 2 AND source IN (0, 10, 20, 25, 50)")
+@R.query("SELECT entry_nr, xref_id, CASE WHEN source IN (0, 10) THEN 'http://uniprot.org/uniprot/' || xref_id WHEN source = 50 THEN 'http://www.ncbi.nlm.nih.gov/gene/' || xref_id ELSE 'http://ensembl.org/id/' || xref_id END AS url FROM xref_v WHERE source IN (0, 10, 20, 25, 50)")
 def linkout_urls(s: Spark, sf: str) -> DataFrame:
     return idmap.mapper("linkout").rows(D.xref(s, sf)).select("entry_nr", "xref_id", "url")
 
 
-@R.query("SELECT x.* FROM xref_v x WHERE x.entry_nr >= 100 AND x.entry_nr < 900 AND verification <= 2 AND source IN (110, 0, 10, 105, 95)")
-def gene_names_of_range(s: Spark, sf: str) -> DataFrame:
-    return idmap.mapper("gene_name_or_symbol").rows(idmap.xrefs_of(D.xref(s, sf), start=100, stop=900))
-
-
 @R.query("SELECT x.* FROM xref_v x WHERE verification <= 2 AND source IN (110, 0, 10, 105, 95)")
 def gene_names(s: Spark, sf: str) -> DataFrame:
     """Gene names and symbols of all entries."""
     return idmap.mapper("gene_name_or_symbol").rows(idmap.xrefs_of(D.xref(s, sf)))
 
 
-@R.query("SELECT entry_nr, count(DISTINCT source) AS n_sources, min(source) AS best FROM xref_v GROUP BY 1")
+@R.query("""SELECT entry_nr, source, xref_id FROM (SELECT entry_nr, source, min(xref_id) AS xref_id FROM xref_v GROUP BY 1, 2)""")
 def nested_xrefs(s: Spark, sf: str) -> DataFrame:
-    n = idmap.nested(D.xref(s, sf))
-    return n.select("entry_nr", F.size("ids").cast("bigint").alias("n_sources"), F.array_min(F.map_keys("ids")).alias("best"))
+    """Every id of the nested maps (entry, source code, first id)."""
+    return idmap.nested(D.xref(s, sf)).select("entry_nr", F.explode("ids").alias("source", "xref_id"))
+
+
+@R.query("""SELECT entry_nr, source, xref_id FROM (SELECT *, row_number() OVER (PARTITION BY entry_nr ORDER BY list_position([110, 0, 10, 105, 95], source), xref_id) AS rn FROM xref_v WHERE verification <= 2 AND source IN (110, 0, 10, 105, 95)) WHERE rn = 1""")
+def best_gene_name(s: Spark, sf: str) -> DataFrame:
+    """The best gene name of every entry: the mapper's own order of sources decides."""
+    return idmap.mapper("gene_name_or_symbol").best(D.xref(s, sf))
+
+
+@R.query("""SELECT entry_nr, source, xref_id FROM (SELECT *, row_number() OVER (PARTITION BY entry_nr ORDER BY list_position([110, 0, 10, 25, 40, 50, 95], source), xref_id) AS rn FROM xref_v WHERE verification <= 2 AND source IN (110, 0, 10, 25, 40, 50, 95)) WHERE rn = 1""")
+def best_name_or_main_id(s: Spark, sf: str) -> DataFrame:
+    return idmap.mapper("gene_name_and_main").best(D.xref(s, sf))
+
+
+@R.query("SELECT * FROM xref_v WHERE source IN (0, 10)")
+def uniprot_ids(s: Spark, sf: str) -> DataFrame:
+    """UniProt ids of every verification, modified ones too."""
+    return idmap.mapper("uniprot").rows(D.xref(s, sf))
+
+
+@R.query("SELECT * FROM xref_v WHERE verification <= 2")
+def exact_or_unchecked_ids(s: Spark, sf: str) -> DataFrame:
+    return idmap.mapper("no_approximate").rows(D.xref(s, sf))
 
 
 @R.query("""WITH q AS (SELECT DISTINCT left(sci_name, len(sci_name) - 2) AS query FROM genome_v WHERE len(sci_name) > 2), t AS (SELECT taxid, sci_name FROM genome_v WHERE sci_name <> '')
@@ -98,13 +115,10 @@ def fuzzy_genome_match(s: Spark, sf: str) -> DataFrame:
 
 
 def _corpus(s: Spark, sf: str) -> search.Corpus:
-    from phylolake.operators import hierarchy
-
     tax = D.taxonomy(s, sf)
     return search.Corpus(
         entries=D.entry(s, sf), xrefs=D.xref(s, sf), hogs=D.hog(s, sf), go=D.go(s, sf), domains=D.domain(s, sf), genomes=D.genome(s, sf), taxonomy=tax,
-        tree=hierarchy.closure(tax.where("parent_taxid <> 0"), "taxid", "parent_taxid", tax, "taxid"),
-        term_tree=hierarchy.closure(D.go_edge(s, sf), "child", "parent", D.term(s, sf), "term_nr"),
+        tree=D.tax_tree(s, sf), term_tree=D.go_tree(s, sf),
     )
 
 
@@ -125,7 +139,7 @@ def protein_text_search(s: Spark, sf: str) -> DataFrame:
     return search.search_protein(search.Corpus(entries=D.entry(s, sf), xrefs=D.xref(s, sf)), "12")
 
 
-@R.query("""SELECT e.entry_nr, e.species_code || lpad(CAST(e.entry_nr - g.entry_off AS VARCHAR), 5, '0') AS protein_id, e.species_code AS code, e.entry_nr - g.entry_off AS local_nr FROM entry_v e JOIN genome_v g USING (species_code)""")
+@R.query("""SELECT e.entry_nr, e.species_code || CASE WHEN e.entry_nr - g.entry_off < 100000 THEN lpad(CAST(e.entry_nr - g.entry_off AS VARCHAR), 5, '0') ELSE CAST(e.entry_nr - g.entry_off AS VARCHAR) END AS protein_id, e.species_code AS code, e.entry_nr - g.entry_off AS local_nr FROM entry_v e JOIN genome_v g USING (species_code)""")
 def protein_id_codec(s: Spark, sf: str) -> DataFrame:
     e = D.entry(s, sf).join(D.genome(s, sf).select("species_code", "entry_off"), "species_code")
     out = e.select("entry_nr", strings.protein_id("species_code", F.col("entry_nr") - F.col("entry_off")).alias("protein_id"))
@@ -151,23 +165,7 @@ def substring_occurrences(s: Spark, sf: str) -> DataFrame:
     return sequences.substring_rows(table(s, sf, "documents"), "text", "Orthologs").select("doc_id", F.col("occurrences").cast("bigint").alias("occurrences"))
 
 
-_Q = "q AS (SELECT seq_id AS query_id, substr(seq, 1, 60) AS query FROM seq_v WHERE seq_id % 50 = 0 AND length(seq) >= 60)"
-
-
 def _queries(s: Spark, sf: str) -> DataFrame:
-    return D.sequence(s, sf).where("seq_id % 50 = 0 AND length(seq) >= 60").select(F.col("seq_id").alias("query_id"), F.substring("seq", 1, 60).alias("query"))
-
-
-@R.query(f"""WITH {_Q}, w AS (SELECT query_id, substr(query, i, 6) AS kmer, count(*) AS w FROM (SELECT query_id, query, unnest(range(1, 56)) AS i FROM q) GROUP BY 1, 2),
-  ix AS (SELECT DISTINCT seq_id, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seq_v WHERE length(seq) >= 6))
-  SELECT query_id, seq_id, CAST(sum(w) AS BIGINT) AS hits, round(sum(w) / 55.0::DOUBLE, 9) AS coverage FROM w JOIN ix USING (kmer) GROUP BY 1, 2 HAVING sum(w) / 55.0 >= 0.3""")
-def kmer_rank(s: Spark, sf: str) -> DataFrame:
-    """Starts of every fiftieth sequence ranked against all sequences by shared words of six letters."""
-    out = sequences.kmer_rank(_queries(s, sf), sequences.kmer_index(D.sequence(s, sf)), coverage=0.3)
-    return out.withColumn("coverage", F.round("coverage", 9))
-
-
-def _whole_queries(s: Spark, sf: str) -> DataFrame:
     return D.sequence(s, sf).where("seq_id % 50 = 0 AND length(seq) >= 6").select(F.col("seq_id").alias("query_id"), F.col("seq").alias("query"))
 
 
@@ -176,34 +174,27 @@ def _whole_queries(s: Spark, sf: str) -> DataFrame:
   ix AS (SELECT DISTINCT seq_id, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seq_v WHERE length(seq) >= 6)),
   h AS (SELECT query_id, seq_id, CAST(sum(w) AS BIGINT) AS hits FROM w JOIN ix USING (kmer) GROUP BY 1, 2)
   SELECT query_id, seq_id, hits, round(hits / (length(query) - 5)::DOUBLE, 9) AS coverage FROM h JOIN q USING (query_id) WHERE hits / (length(query) - 5)::DOUBLE >= 0.3::DOUBLE""")
-def kmer_rank_whole(s: Spark, sf: str) -> DataFrame:
+def kmer_rank(s: Spark, sf: str) -> DataFrame:
     """Every fiftieth sequence, in its whole length, ranked against all sequences by shared words of six letters."""
-    out = sequences.kmer_rank(_whole_queries(s, sf), sequences.kmer_index(D.sequence(s, sf)), coverage=0.3)
+    out = sequences.kmer_rank(_queries(s, sf), sequences.kmer_index(D.sequence(s, sf)), coverage=0.3)
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
 @R.query()
 def local_alignment(s: Spark, sf: str) -> DataFrame:
     """The best five sequences of every fiftieth one, aligned in whole length."""
-    return sequences.approximate_search(_whole_queries(s, sf), D.sequence(s, sf), n=5, coverage=0.2)
+    return sequences.approximate_search(_queries(s, sf), D.sequence(s, sf), n=5, coverage=0.2)
 
 
 @R.query()
 def closest_sequence(s: Spark, sf: str) -> DataFrame:
     """The closest sequence of every fiftieth one, searched in whole length."""
-    return sequences.closest_sequences(_whole_queries(s, sf), D.sequence(s, sf))
-
-
-@R.query("""SELECT seq_id, kmer, code FROM (SELECT DISTINCT seq_id, substr(seq, 1, 4) AS kmer, list_aggregate(list_transform([1, 2, 3, 4], lambda i: CAST((instr('ACDEFGHIKLMNPQRSTVWXY', substr(seq, i, 1)) - 1) * pow(21, 4 - i) AS BIGINT)), 'sum') AS code FROM seq_v WHERE length(seq) >= 4)""")
-def kmer_codec(s: Spark, sf: str) -> DataFrame:
-    head = D.sequence(s, sf).where("length(seq) >= 4").select("seq_id", F.substring("seq", 1, 4).alias("kmer"))
-    coded = head.withColumn("code", sequence.kmer_code("kmer"))
-    return coded.where(sequence.kmer_word("code", 4) == F.col("kmer"))
+    return sequences.closest_sequences(_queries(s, sf), D.sequence(s, sf))
 
 
 @R.query("""SELECT seq_id, kmer, CAST(list_aggregate(list_transform([1, 2, 3, 4], lambda i: CAST((instr('ACDEFGHIKLMNPQRSTVWXY', substr(kmer, i, 1)) - 1) * pow(21, 4 - i) AS BIGINT)), 'sum') AS BIGINT) AS code
   FROM (SELECT DISTINCT seq_id, substr(seq, i, 4) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM seq_v WHERE length(seq) >= 4))""")
-def kmer_codec_words(s: Spark, sf: str) -> DataFrame:
+def kmer_codec(s: Spark, sf: str) -> DataFrame:
     """Every distinct word of four letters of every sequence, coded and decoded."""
     coded = sequences.kmer_index(D.sequence(s, sf), k=4).withColumn("code", sequence.kmer_code("kmer"))
     return coded.where(sequence.kmer_word("code", 4) == F.col("kmer")).select("seq_id", "kmer", "code")

@@ -78,14 +78,15 @@ _PLAIN = "regexp_replace(regexp_replace(trim(coalesce(OmaHOG, '')), '_-?[0-9]+$'
 _UP = "unnest(list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(list_slice(string_split(h, '.'), 1, i), '.')))"
 
 
-@R.query(f"""WITH o AS (SELECT DISTINCT {_UP} AS h, e FROM (SELECT DISTINCT {_PLAIN} AS h, EntryNr AS e FROM entry WHERE ReleaseNr = 3) WHERE h LIKE 'HOG:%'), w AS (SELECT DISTINCT {_UP} AS h, e FROM (SELECT DISTINCT {_PLAIN} AS h, EntryNr AS e FROM entry WHERE ReleaseNr = 4) WHERE h LIKE 'HOG:%'),
+@R.query(f"""WITH o AS (SELECT DISTINCT {_UP} AS h, e FROM (SELECT DISTINCT {_PLAIN} AS h, EntryNr AS e FROM entry WHERE ReleaseNr = (SELECT max(ReleaseNr) FROM entry WHERE ReleaseNr < (SELECT max(ReleaseNr) FROM entry))) WHERE h LIKE 'HOG:%'), w AS (SELECT DISTINCT {_UP} AS h, e FROM (SELECT DISTINCT {_PLAIN} AS h, EntryNr AS e FROM entry WHERE ReleaseNr = (SELECT max(ReleaseNr) FROM entry)) WHERE h LIKE 'HOG:%'),
   no AS (SELECT h, count(*) AS n FROM o GROUP BY 1), nw AS (SELECT h, count(*) AS n FROM w GROUP BY 1), j AS (SELECT o.h AS old_id, w.h AS new_id, count(*) AS k FROM o JOIN w ON o.e = w.e GROUP BY 1, 2),
   sc AS (SELECT old_id, new_id, k / (no.n + nw.n - k)::DOUBLE AS jac FROM j JOIN no ON no.h = old_id JOIN nw ON nw.h = new_id), r AS (SELECT *, max(jac) OVER (PARTITION BY old_id) AS best, row_number() OVER (PARTITION BY old_id ORDER BY jac DESC, new_id) AS rn FROM sc),
   kept AS (SELECT * FROM r WHERE best > 0.6 AND (best < 1 OR jac = 1))
   SELECT old_id, new_id, round(jac, 9) AS jaccard, (count(*) OVER (PARTITION BY old_id) > 10 AND coalesce(max(CASE WHEN rn = 7 THEN jac END) OVER (PARTITION BY old_id), 0) > 0.9)::INT AS dubious FROM kept""")
 def hog_map(s: Spark, sf: str) -> DataFrame:
-    """Groups of release 3 mapped to those of release 4 by their members."""
-    out = similarity.forward_map(_plain_members(s, sf, 3), _plain_members(s, sf, 4))
+    """Groups of the release before the newest mapped to those of the newest by their members."""
+    old, new = ([None, None] + D.releases(s, sf))[-2:]
+    out = similarity.forward_map(_plain_members(s, sf, old), _plain_members(s, sf, new))
     return out.select("old_id", "new_id", F.round("jaccard", 9).alias("jaccard"), F.col("dubious").cast("int").alias("dubious"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -9,8 +10,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phylolake.errors import NoSharedFolder
+
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -21,12 +25,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    absent (tests on one machine) a temporary folder of this driver is used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that setting is
+    absent, a session on one machine uses a temporary folder of this driver; on a cluster, whose executors could not
+    see it, :class:`NoSharedFolder` is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors can read and write")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="phylolake-")
@@ -49,6 +56,25 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def once(spark: SparkSession, name: str, make) -> DataFrame:
+    """The table ``make()`` gives, written once per session and read back from then on; made again if its files have gone."""
+    key = (spark.sparkContext.applicationId, name)
+    held = _written.get(key)
+    if held is not None:
+        fs, p = _fs(spark, held._phylolake_path)
+        if fs.exists(p):
+            return held
+    made = make()
+    _written[key] = made if hasattr(made, "_phylolake_path") else spill(made, "once")
+    return _written[key]
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete spilled tables that no plan reads any more."""
     for t in tables:

@@ -1,6 +1,6 @@
 """Nested group files (OrthoXML): level rows with labelled ids, top-level groups, splitting.
 
-A group file is cut into its top-level groups; each is labelled in a Python
+Group files are read tag by tag in byte ranges and cut into their top-level groups; each is labelled in a Python
 worker, as XML of unbounded depth is out of reach of native expressions.
 """
 
@@ -10,13 +10,14 @@ import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylolake.errors import BoundExceeded
 from phylolake.session import ship_package
 
 GROUP = "orthologGroup"
+REFERENCE = r"""geneRef[^<>]*\bid\s*=\s*["']([^"']*)["']"""
 LEVEL_SCHEMA = "fam bigint, hog_id string, level string, completeness double, implied_losses int, nr_members int, is_root boolean"
 
 
@@ -177,46 +178,71 @@ def top_level_groups(text: str) -> list[str]:
     return out
 
 
-def read_groups(spark: SparkSession, path) -> DataFrame:
-    """(file, fam, xml): the top-level groups of the files, numbered from 1 in each file (or by a numeric id attribute)."""
-    ship_package(spark)
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def _tags(spark: SparkSession, path) -> DataFrame:
+    """(file, block, at, value, shut, tag, attributes): one row per tag, in the order (block, at) within its file.
 
-    def run(batches):
-        for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                groups = top_level_groups(text)
-                ids = [re.match(r"<[^<>]*?\bid=\"[^\"0-9]*([0-9]+)\"", g) for g in groups]
-                nr = [int(m.group(1)) if m else k + 1 for k, m in enumerate(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(groups), pa.string()), pa.array(nr, pa.int64()), pa.array(groups, pa.string())], names=["file", "fam", "xml"])
+    Files are cut at every '>' and read by byte ranges, so a file of any size is many tasks and never a single row; ``block`` is the
+    start of the byte range, ``at`` grows within it. A '>' inside an attribute or a comment has to be written as an entity.
+    """
+    raw = spark.read.option("lineSep", ">").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    form = r"<(/?)(?:\w+:)?(\w+)([^<]*)$"
+    part = lambda i: F.regexp_extract("value", form, i)
+    return rows.select("file", "block", "at", "value", (part(1) == "/").alias("shut"), part(2).alias("tag"), part(3).alias("attributes"))
 
-    return files.mapInArrow(run, "file string, fam bigint, xml string")
 
+def _running(rows: DataFrame, name: str, value) -> DataFrame:
+    """``rows`` with the running sum of ``value`` within each file, this row included: inside the blocks, then over the few blocks of a file."""
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.sum(value).alias("__n")).select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return rows.join(blocks, ["file", "block"]).withColumn(name, F.col("__off") + F.sum(value).over(inside)).drop("__off")
 
-def read_genes(spark: SparkSession, path) -> DataFrame:
-    """(gene_ref, taxid, species, gene_id, prot_id) of the gene lists of the files."""
-    ship_package(spark)
-    files = spark.read.text(path, wholetext=True).select("value")
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text in b.column(0).to_pylist():
-                for sp in re.finditer(r"<(?:\w+:)?species\b([^<>]*)>(.*?)</(?:\w+:)?species>", text, re.S):
-                    attr = dict(re.findall(r'(\w+)="([^"]*)"', sp.group(1)))
-                    for g in re.finditer(r"<(?:\w+:)?gene\b([^<>]*)/?>", sp.group(2)):
-                        a = dict(re.findall(r'(\w+)="([^"]*)"', g.group(1)))
-                        rows.append((a.get("id"), int(attr.get("NCBITaxId", -1)), attr.get("name"), a.get("geneId"), a.get("protId")))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gene_ref", "taxid", "species", "gene_id", "prot_id"])
+def _attribute(rest: str, name: str) -> Column:
+    """Value of an attribute in either kind of quotes, entities resolved; null without it."""
+    found = F.regexp_extract(rest, rf"""\b{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    text = F.substring(found, F.lit(2), F.length(found) - 2)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.when(found != "", text)
+
+
+def read_groups(spark: SparkSession, path) -> DataFrame:
+    """(file, fam, xml): the top-level groups of the files, numbered from 1 in each file (or by a numeric id attribute).
 
-    return files.mapInArrow(run, "gene_ref string, taxid int, species string, gene_id string, prot_id string")
+    The depth of every tag is a running sum over its file, so the groups are found without reading a file in one piece.
+    """
+    group = F.col("tag").isin(GROUP, "paralogGroup") & ~F.col("attributes").endswith("/")
+    step = F.when(group & F.col("shut"), -1).when(group, 1).otherwise(0)
+    deep = _running(_tags(spark, path).withColumn("step", step), "depth", F.col("step"))
+    deep = deep.withColumn("opens", F.when((F.col("step") == 1) & (F.col("depth") == 1), 1).otherwise(0))
+    within = _running(deep, "nr", F.col("opens")).where("depth > 0 OR step = -1")
+    piece = F.when(F.col("opens") == 1, F.regexp_extract("value", r"(<[^<]*)$", 1)).otherwise(F.col("value"))
+    own = F.when(F.col("opens") == 1, F.regexp_extract("attributes", r"""\bid\s*=\s*["'][^"'0-9]*([0-9]+)["']""", 1).try_cast("bigint"))
+    parts = within.groupBy("file", "nr").agg(F.sort_array(F.collect_list(F.struct("block", "at", piece.alias("piece")))).alias("p"), F.max(own).alias("own"))
+    xml = F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), ">"), F.lit(">"))
+    return parts.select("file", F.coalesce("own", "nr").cast("bigint").alias("fam"), xml.alias("xml"))
+
+
+def read_genes(spark: SparkSession, path) -> DataFrame:
+    """(gene_ref, taxid, species, gene_id, prot_id) of the gene lists of the files; a gene belongs to the species opened before it."""
+    tags = _tags(spark, path).where("NOT shut AND tag IN ('species', 'gene')")
+    opened = F.when(F.col("tag") == "species", F.struct(_attribute("attributes", "NCBITaxId").try_cast("int").alias("taxid"), _attribute("attributes", "name").alias("species")))
+    rows = tags.withColumn("own", opened)
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("file", "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("o")).select("file", "block", F.last("o", ignorenulls=True).over(before).alias("carried"))
+    of = F.coalesce(F.last("own", ignorenulls=True).over(inside), F.col("carried"))
+    genes = rows.join(last, ["file", "block"]).withColumn("of", of).where("tag = 'gene'")
+    named = {"gene_ref": "id", "gene_id": "geneId", "prot_id": "protId"}
+    values = {k: _attribute("attributes", v) for k, v in named.items()}
+    return genes.select(values["gene_ref"].alias("gene_ref"), F.coalesce("of.taxid", F.lit(-1)).alias("taxid"), F.col("of.species").alias("species"), values["gene_id"].alias("gene_id"), values["prot_id"].alias("prot_id"))
 
 
 def _with_species(groups: DataFrame, genes: DataFrame) -> DataFrame:
     """(fam, xml, refs, names): each group with the species of its own genes."""
-    ref = F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'geneRef[^<>]*\bid="([^"]*)"'), F.lit(1))))
+    ref = F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(REFERENCE), F.lit(1))))
     used = groups.select("fam", ref.alias("gene_ref")).join(genes.select("gene_ref", "species"), "gene_ref")
     per = used.groupBy("fam").agg(F.collect_list("gene_ref").alias("refs"), F.collect_list("species").alias("names"))
     return groups.select("fam", "xml").join(per, "fam")
@@ -284,7 +310,7 @@ def gene_labels(groups: DataFrame, letters: str = "") -> DataFrame:
 
 def top_level_members(groups: DataFrame, *, skip_prefixes: tuple[str, ...] = ()) -> DataFrame:
     """(fam, level, members): outermost level and member genes, those with listed id prefixes left out."""
-    refs = F.regexp_extract_all("xml", F.lit(r'geneRef[^<>]*\bid="([^"]*)"'), F.lit(1))
+    refs = F.regexp_extract_all("xml", F.lit(REFERENCE), F.lit(1))
     if skip_prefixes:
         n = len(skip_prefixes[0])
         refs = F.filter(refs, lambda g: ~F.substring(g, 1, n).isin(*skip_prefixes))
@@ -295,7 +321,7 @@ def top_level_members(groups: DataFrame, *, skip_prefixes: tuple[str, ...] = ())
 def split_families(groups: DataFrame, genes: DataFrame, families: list[int] | None = None) -> DataFrame:
     """(fam, xml): one complete document per family, with the gene lists of its species only."""
     g = groups if families is None else groups.where(F.col("fam").isin(families))
-    used = g.select("fam", "xml", F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'geneRef[^<>]*\bid="([^"]*)"'), F.lit(1)))).alias("gene_ref"))
+    used = g.select("fam", "xml", F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(REFERENCE), F.lit(1)))).alias("gene_ref"))
     gene = F.concat(F.lit('<gene id="'), F.col("gene_ref"), F.lit('"'), F.coalesce(F.concat(F.lit(' protId="'), F.col("prot_id"), F.lit('"')), F.lit("")), F.lit("/>"))
     per_species = used.join(genes, "gene_ref").groupBy("fam", "taxid", "species").agg(F.array_join(F.array_sort(F.collect_list(gene)), "").alias("g"))
     sp = F.concat(F.lit('<species name="'), F.col("species"), F.lit('" NCBITaxId="'), F.col("taxid"), F.lit('"><database name="release"><genes>'), F.col("g"), F.lit("</genes></database></species>"))

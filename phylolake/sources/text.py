@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylolake.functions import strings
-from phylolake.operators.relations import type_code
+from phylolake.operators.relations import reversed_label, type_code
 
 PAIR_SCHEMA = "nr1 bigint, nr2 bigint, score double, rel string, overlap double, distance double"
 
@@ -24,30 +24,38 @@ def pairs_tsv(spark: SparkSession, path, *, offset1: Column | int = 0, offset2:
     """
     raw = spark.read.csv(path, sep="\t", schema=PAIR_SCHEMA, comment="#", enforceSchema=True)
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    a, b = F.col("nr1") + lit(offset1), F.col("nr2") + lit(offset2)
+    return _relations(raw, F.col("nr1") + lit(offset1), F.col("nr2") + lit(offset2), swap, score_scale)
+
+
+def _relations(raw: DataFrame, a: Column, b: Column, swap: bool, score_scale: float) -> DataFrame:
     rel = F.when(F.col("rel") == "n:1", "m:1").when(F.col("rel") == "1:m", "1:n").when(F.col("rel").isin("n:m", "n:n", "m:m"), "m:n").otherwise(F.col("rel"))
-    turned = F.when(rel == "1:n", "m:1").when(rel == "m:1", "1:n").otherwise(rel)
     return raw.where("nr1 IS NOT NULL AND nr2 IS NOT NULL").select(
-        (b if swap else a).alias("entry_nr1"), (a if swap else b).alias("entry_nr2"), type_code(turned if swap else rel).alias("rel_type"),
+        (b if swap else a).alias("entry_nr1"), (a if swap else b).alias("entry_nr2"), type_code(reversed_label(rel) if swap else rel).alias("rel_type"),
         (F.col("score") / score_scale).alias("score"), "overlap", "distance",
     )
 
 
-def pair_files(spark: SparkSession, paths: list[str], genomes: DataFrame, *, pattern: str = r"([A-Z0-9]{5})-([A-Z0-9]{5})\.[^/]*$") -> DataFrame:
+def pair_files(
+    spark: SparkSession, paths: list[str], genomes: DataFrame, *, pattern: str = r"([A-Z0-9]{5})-([A-Z0-9]{5})\.[^/]*$", both_ways: bool = False, score_scale: float = 100.0
+) -> DataFrame:
     """Relations of many genome-pair files in one scan; the genomes come from the file names.
 
-    ``genomes`` (species_code, entry_off) is a dimension; its offsets make the numbers global.
+    ``genomes`` (species_code, entry_off) is a dimension; its offsets make the numbers global. The types are spelled as for
+    :func:`pairs_tsv`; ``both_ways`` gives every relation from its other end too.
     """
     name = F.input_file_name()
     raw = spark.read.csv(paths, sep="\t", schema=PAIR_SCHEMA, comment="#").select("*", F.regexp_extract(name, pattern, 1).alias("g1"), F.regexp_extract(name, pattern, 2).alias("g2"))
     off = genomes.select("species_code", "entry_off")
     j = raw.join(off.toDF("g1", "o1"), "g1").join(off.toDF("g2", "o2"), "g2")
-    return j.select((F.col("nr1") + F.col("o1")).alias("entry_nr1"), (F.col("nr2") + F.col("o2")).alias("entry_nr2"), type_code(F.col("rel")).alias("rel_type"), (F.col("score") / 100).alias("score"), "overlap", "distance")
+    a, b = F.col("nr1") + F.col("o1"), F.col("nr2") + F.col("o2")
+    out = _relations(j, a, b, False, score_scale)
+    return out.unionByName(_relations(j, a, b, True, score_scale)) if both_ways else out
 
 
 def exported_json(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
-    """Records of an exporter that wrote JSON lines (or one array)."""
-    reader = spark.read.option("multiLine", True)
+    """Records of an exporter that wrote JSON lines, read in byte ranges, or one array, of which a file is read in one piece."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    reader = spark.read.option("multiLine", bool(first and first[0].lstrip().startswith("[")))
     return (reader.schema(schema) if schema else reader).json(path)
 
 

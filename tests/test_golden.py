@@ -180,21 +180,48 @@ def test_cycles_raise(frame):
 
 
 def test_group_file(spark):
+    """Rows worked out by hand: one duplication with three copies, of which one is a group of its own."""
     path = "tests/data/groups.xml"
     g, genes = orthoxml.read_groups(spark, path), orthoxml.read_genes(spark, path)
-    levels = rows(orthoxml.hog_levels(g, genes, "B").where("fam = 1"))
-    assert len(levels) == 9
-    assert [(r[3], r[4]) for r in levels if r[2] == "Mammals"] == [(1.0, 1)]
-    assert [r[3] for r in levels if r[2] == "Rodents"] == [1.0, 0.5]
-    assert all(r[1].startswith("HOG:B0") for r in levels)
+    assert rows(genes) == sorted(
+        [("101", 71, "Vega", None, "v1"), ("102", 71, "Vega", None, "v2"), ("103", 71, "Vega", None, "v3"), ("201", 72, "Lyra & co", None, "l<1"), ("301", 81, "Orion", None, "o1"), ("302", 81, "Orion", None, "o2")], key=repr
+    )
+    h = "HOG:B0000041"
+    exp = [
+        (41, h, "Stars", 0.75, -1, 5, True), (41, h, "Hunters", 1.0, -1, 1, False), (41, h, "Orion", 1.0, -1, 1, False),
+        (41, h + ".1a", "Harp", 1.0, -1, 2, True), (41, h + ".1a", "Vega", 1.0, -1, 1, False), (41, h + ".1a", "Lyra & co", 1.0, -1, 1, False),
+        (41, h + ".1b", "Harp", 0.5, -1, 1, True), (41, h + ".1b", "Vega", 1.0, -1, 1, False), (41, h + ".1c", "Harp", 0.5, -1, 1, True), (41, h + ".1c", "Vega", 1.0, -1, 1, False),
+        (2, "HOG:B0000002", "Hunters", 1.0, -1, 1, True), (2, "HOG:B0000002", "Orion", 1.0, -1, 1, False),
+    ]
+    assert rows(orthoxml.hog_levels(g, genes, "B")) == sorted(exp, key=repr)
     for bad in ("a", "AB", " "):
         with pytest.raises(ValueError):
             orthoxml.hog_levels(g, genes, bad)
-    assert rows(orthoxml.top_level_members(g)) == [(1, "Mammals", ["1", "2", "3", "4", "5"]), (2, "Rodents", ["6"])]
+    assert rows(orthoxml.top_level_members(g)) == [(2, "Hunters", ["302"]), (41, "Stars", ["101", "102", "103", "201", "301"])]
+    assert rows(orthoxml.gene_labels(g.where("fam = 41"), "B")) == [(41, "101", h + ".1a"), (41, "102", h + ".1b"), (41, "103", h + ".1c"), (41, "201", h + ".1a"), (41, "301", h)]
     docs = {r.fam: r.xml for r in orthoxml.split_families(g, genes).collect()}
     assert docs[2].count("<gene ") == 1
-    assert docs[1].count("<gene ") == 5
-    assert len(orthoxml.top_level_groups(docs[1])) == 1
+    assert docs[41].count("<gene ") == 5
+    assert len(orthoxml.top_level_groups(docs[41])) == 1
+
+
+def test_group_file_in_many_byte_ranges(spark, tmp_path):
+    """A file of one line, read in small pieces, gives the same groups and genes as in one piece."""
+    many = "".join(f'<orthologGroup id="{i}"><property name="TaxRange" value="T"/><paralogGroup><geneRef id="{i}"/><geneRef id="{i + 1}"/></paralogGroup></orthologGroup>' for i in range(1, 400))
+    lists = "".join(f'<species name="s{k}" NCBITaxId="{k}"><database><genes>{"".join(f"<gene id={chr(34)}{i}{chr(34)}/>" for i in range(k * 50, k * 50 + 50))}</genes></database></species>' for k in range(8))
+    f = tmp_path / "one.xml"
+    f.write_text(f"<orthoXML>{lists}<groups>{many}</groups></orthoXML>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        g, genes = orthoxml.read_groups(spark, str(f)), orthoxml.read_genes(spark, str(f))
+        assert g.count() == 399
+        assert rows(g.select("fam")) == sorted([(i,) for i in range(1, 400)], key=repr)
+        assert {r.xml.count("<orthologGroup") for r in g.collect()} == {1}
+        assert {(int(r.gene_ref) // 50 == r.taxid, r.species == f"s{r.taxid}") for r in genes.collect()} == {(True, True)}
+        assert genes.count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 ENTRIES = """<E><ID>ENSG00000204640</ID><AC>ENSP00000366061; ENST00000376865</AC><DE>hypothetical</DE><GI>125233342</GI><UniProt/TrEMBL>P21522</UniProt/TrEMBL></E>
@@ -314,7 +341,7 @@ def test_sequences(frame):
     assert code[1][0] is None
     assert w.withColumn("c", sequence.kmer_code("s")).select(sequence.kmer_word("c", 5)).first()[0] == "ACDYY"
     assert frame([("AC-T", "AGGT")], "a string, b string").select(sequence.identity("a", "b")).first()[0] == pytest.approx(2 / 3)
-    assert local_alignment("ACDEFGHIKL", "ACDEFGHIKL") == (50.0, 1.0)
+    assert local_alignment("ACDEFGHIKL", "ACDEFGHIKL") == (pytest.approx(57 * 5 * math.log10(2)), 1.0)  # 57 half bits
     assert local_alignment("", "A") == (0.0, 0.0)
     t = frame([("banana",), ("ananana",), ("",), (None,)], "t string")
     assert [r.occurrences for r in substring_rows(t, "t", "ANA").collect()] == [2, 3]
@@ -421,3 +448,80 @@ def test_string_functions(frame):
     p = frame(["YEAST00012", "yeast00012", "Y", None], "p string")
     code, nr = strings.protein_id_parts("p")
     assert [tuple(r) for r in p.select(code, nr).collect()] == [("YEAST", 12), ("YEAST", 12), (None, None), (None, None)]
+
+
+def test_pair_files_spell_types_as_single_files(spark, tmp_path):
+    folder = tmp_path / "pairs"
+    folder.mkdir()
+    (folder / "AAAAA-BBBBB.txt").write_text("1\t1\t12421\t1:1\t0.99\t1.523\n2\t5\t21214\tn:1\t0.94\t12.14\n3\t5\t23552\tn:m\t0.91\t21.2\n4\t6\t100\t1:n\t0.9\t1\n")
+    genomes = spark.createDataFrame([("AAAAA", 0), ("BBBBB", 100)], "species_code string, entry_off bigint")
+    got = rows(text.pair_files(spark, [str(folder)], genomes, both_ways=True).select("entry_nr1", "entry_nr2", "rel_type"))
+    assert got == sorted([(1, 101, 0), (2, 105, 2), (3, 105, 3), (4, 106, 1), (101, 1, 0), (105, 2, 1), (105, 3, 3), (106, 4, 2)], key=repr)
+
+
+def test_mappers_accept_and_rank_as_named(spark):
+    x = spark.createDataFrame([(1, 110, "name", 2), (1, 0, "P1", 0), (1, 10, "P2", 4), (2, 95, "src", 0), (2, 0, "P3", 4), (2, 10, "P4", 0), (3, 105, "h", 4)], "entry_nr bigint, source int, xref_id string, verification int")
+    assert rows(idmap.mapper("gene_name_or_symbol").best(x)) == [(1, 110, "name"), (2, 10, "P4")]
+    assert {r.xref_id for r in idmap.mapper("uniprot").rows(x).collect()} == {"P1", "P2", "P3", "P4"}
+    assert {r.xref_id for r in idmap.mapper("linkout").rows(x).collect()} == {"P1", "P2", "P3", "P4"}
+    assert {r.xref_id for r in idmap.mapper("no_approximate").rows(x).collect()} == {"name", "P1", "src", "P4"}
+    assert rows(idmap.best_per_entry(x)) == [(1, 0, "P1"), (2, 0, "P3"), (3, 105, "h")]
+
+
+def test_exchange_matrix_is_that_published():
+    """Symmetric, and with the published ungapped parameter (lambda 0.3176) under the usual residue frequencies."""
+    import math
+
+    from phylolake.operators import sequences as Q
+
+    freq = dict(A=.07805, C=.01925, D=.05364, E=.06295, F=.03856, G=.07377, H=.02199, I=.05142, K=.05744, L=.09019, M=.02243, N=.04487, P=.05203, Q=.04264, R=.05129, S=.07120, T=.05841, V=.06441, W=.01330, Y=.03216)
+    m = Q._exchange() / Q.UNIT
+    assert (m == m.T).all()
+    assert abs(sum(freq[a] * freq[b] * math.exp(0.3176 * m[ord(a), ord(b)]) for a in freq for b in freq) - 1) < 1e-3
+    score, identity = Q.local_alignment("MKTAYIAKQR", "MKTAYIAKQR")
+    assert identity == 1
+    assert abs(score - sum(m[ord(a), ord(a)] for a in "MKTAYIAKQR") * Q.UNIT) < 1e-9
+
+
+def test_tail_of_the_hypergeometric_distribution(spark):
+    from math import comb
+
+    from phylolake.operators.enrichment import hypergeometric_tail
+
+    cases = [(1, 5, 7, 30), (0, 5, 7, 30), (5, 5, 7, 30), (3, 20, 18, 30), (8, 20, 18, 30), (2, 2, 2, 2), (40, 300, 900, 5000), (6, 5, 7, 30)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "term_nr bigint, a bigint, n bigint, k bigint, total bigint")
+    got = {r.term_nr: r.p for r in hypergeometric_tail(df).collect()}
+    for i, (a, n, k, t) in enumerate(cases):
+        exact = sum(comb(k, x) * comb(t - k, n - x) for x in range(max(a, 0), min(n, k) + 1) if n - x <= t - k) / comb(t, n)
+        assert got[i] == pytest.approx(exact, rel=1e-9, abs=1e-15)
+
+
+def test_text_index(spark, tmp_path):
+    from phylolake.operators.textindex import TextIndex
+
+    docs = spark.createDataFrame([(1, "Orthologs of mice"), (2, "ORTHO logs"), (3, None), (4, ""), (5, "of"), (6, "mice and men " * 3000), (6, "again")], "id bigint, gram string")
+    index = TextIndex(str(tmp_path / "ix"), buckets=4).build(docs, "id", "gram")
+    find = lambda q: sorted((r.id for r in index.find(docs, "id", "gram", q).collect()))
+    assert find("ortho") == [1, 2]
+    assert find("mice") == [1, 6]
+    assert find("of") == [1, 5]
+    assert find("") == find("absent") == []
+    index.build(spark.createDataFrame([(7, "more orthologs")], "id bigint, gram string"), "id", "gram", mode="append")
+    assert sorted(r.id for r in index.candidates(spark, "logs").collect()) == [1, 2, 7]
+    wanted = spark.createDataFrame([("ort",), ("zzz",)], "gram string")
+    assert rows(index.words(spark, wanted)) == [("ort", 1), ("ort", 2), ("ort", 7)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from phylolake.errors import NoSharedFolder
+    from phylolake.session import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "spark://somewhere:7077", "x"
+
+    with pytest.raises(NoSharedFolder):
+        shared_dir(Session)

@@ -25,13 +25,13 @@ def documents(spark, path, texts):
 def test_sequence_searches_use_whole_sequences(spark, tmp_path):
     long, short = protein(200, 1), protein(40, 2)
     sf = documents(spark, tmp_path, {50: long, 100: short, 1: protein(30, 3) + long[70:], 2: protein(60, 4) + short})
-    ranked = {(r.query_id, r.seq_id): r.hits for r in search_queries.kmer_rank_whole(spark, sf).collect()}
+    ranked = {(r.query_id, r.seq_id): r.hits for r in search_queries.kmer_rank(spark, sf).collect()}
     assert ranked == {(50, 50): 195, (50, 1): 125, (100, 100): 35, (100, 2): 35}
     aligned = {(r.query_id, r.seq_id): r.score for r in search_queries.local_alignment(spark, sf).collect()}
-    assert set(aligned) == set(ranked) and aligned[50, 50] == 1000 and aligned[50, 1] >= 650 and aligned[100, 2] >= 200
+    assert set(aligned) == set(ranked) and aligned[50, 50] > 1000 and aligned[50, 1] >= 0.6 * aligned[50, 50] and aligned[100, 2] == aligned[100, 100]
     closest = {(r.query_id, r.seq_id, r["mode"]) for r in search_queries.closest_sequence(spark, sf).collect()}
     assert closest == {(50, 50, "exact"), (100, 100, "exact")}
-    words = {(r.seq_id, r.kmer) for r in search_queries.kmer_codec_words(spark, sf).collect()}
+    words = {(r.seq_id, r.kmer) for r in search_queries.kmer_codec(spark, sf).collect()}
     assert {w for i, w in words if i == 50} == {long[i : i + 4] for i in range(197)}
 
 
@@ -90,6 +90,7 @@ def test_gene_names_of_all_entries(spark, frame, tmp_path):
     ids = [(nr, 110, f"G{nr}", 0) for nr in (1, 99, 100, 899, 900, 5000)]
     raw = frame([(4, *x) for x in ids], "ReleaseNr int, EntryNr bigint, XRefSource int, XRefId string, Verification int")
     raw.write.parquet(f"{tmp_path}/xref.parquet")
+    frame([3, 4], "ReleaseNr int").write.parquet(f"{tmp_path}/entry.parquet")
     assert sorted(r.entry_nr for r in search_queries.gene_names(spark, str(tmp_path)).collect()) == [1, 99, 100, 899, 900, 5000]
     ranged = idmap.xrefs_of(frame(ids, "entry_nr bigint, source int, xref_id string, verification int"), start=100, stop=900)
     assert sorted(r.entry_nr for r in idmap.mapper("gene_name_or_symbol").rows(ranged).collect()) == [100, 899]
