@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phylolake.errors import BoundExceeded
 from phylolake.llm import text as T
 from phylolake.llm.fm_index import FMIndex
-from phylolake.session import ship_package, spread_work
+from phylolake.session import ship_package, spill, spread_work
 
 SEED = 5  # 20 words with 3 of them wrong still hold an intact run of 5
 BAND = 8  # words inserted or dropped before an alignment leaves its diagonal
@@ -30,19 +29,42 @@ TELLING_SHARE = 0.02  # words of at most this share of the items (one item at le
 GAP, OTHER = 0, 1  # symbols: between documents, and any word no passage has
 
 
+def forms(passage: str | None) -> list[list[tuple[str, int]]]:
+    """The words of a passage with the number of the written word each belongs to: as they are, and with the parts of a written word run together."""
+    parts = [T.words(w) for w in T.readable(passage or "").split()]
+    parts = [p for p in parts if p]
+    apart = [(w, k) for k, p in enumerate(parts) for w in p]
+    joined = [("".join(p), k) for k, p in enumerate(parts)]
+    return [apart, joined] if apart != joined else [apart]
+
+
+def common_words(items: DataFrame) -> frozenset[str]:
+    """Words of more than ``TELLING_SHARE`` of all items (i, p), and of more than one.
+
+    At most 1 / ``TELLING_SHARE`` times the mean number of words of an item come to the driver, however many items there are.
+    """
+
+    def words(batches):
+        for b in batches:
+            own = [(w, i) for i, p in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in sorted({w for form in forms(p) for w, _ in form})]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([i for _, i in own], b.schema.field(0).type)], names=["w", "i"])
+
+    kind = dict(items.dtypes)["i"]
+    n = items.select("i").distinct().count()
+    held = items.mapInArrow(words, f"w string, i {kind}").groupBy("w").agg(F.countDistinct("i").alias("n"))
+    return frozenset(r[0] for r in held.where(F.col("n") > max(1, int(n * TELLING_SHARE))).select("w").toLocalIterator())
+
+
 class Passages:
     """The searched side: passages as word numbers. Each passage is held as it is and, for texts that
     lost all punctuation, with the parts of every written word run together."""
 
-    def __init__(self, items):
+    def __init__(self, items, common=frozenset()):
+        """``common`` are the words of too many items to tell a passage from others."""
         self.number = {}
         self.item, self.word, self.written = [], [], []
         for item, passage in items:
-            parts = [T.words(w) for w in T.readable(passage or "").split()]
-            parts = [p for p in parts if p]
-            apart = [(w, k) for k, p in enumerate(parts) for w in p]
-            joined = [("".join(p), k) for k, p in enumerate(parts)]
-            for form in (apart, joined) if apart != joined else (apart,):
+            for form in forms(passage):
                 if form:
                     self.item.append(item)
                     self.word.append(np.array([self.number.setdefault(w, len(self.number) + 2) for w, _ in form], np.int64))
@@ -50,8 +72,7 @@ class Passages:
         self.length = np.array([len(w) for w in self.word], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         self.all = np.concatenate(self.word) if self.word else np.zeros(0, np.int64)
-        holders = np.bincount(np.concatenate([np.unique(np.concatenate(w)) for w in self._by_item()]) if self.word else [], minlength=len(self.number) + 2)
-        self.telling = holders <= max(1, int(len(set(self.item)) * TELLING_SHARE))
+        self.telling = np.array([True, True] + [w not in common for w in self.number])
         seeds = [(v, k) for v, w in enumerate(self.word) for k in range(len(w) - SEED + 1)]
         self.seed_of = np.array(seeds, np.int64).reshape(-1, 2)
         grams = np.stack([self.word[v][k : k + SEED] for v, k in seeds]) if seeds else np.zeros((0, SEED), np.int64)
@@ -60,12 +81,6 @@ class Passages:
         self.seed_of = self.seed_of[by]
         self.seed_start = np.concatenate([[0], np.cumsum(np.bincount(at.ravel(), minlength=len(self.grams)))]).astype(np.int64)
 
-    def _by_item(self):
-        groups = {}
-        for item, word in zip(self.item, self.word, strict=True):
-            groups.setdefault(item, []).append(word)
-        return groups.values()
-
     def symbols(self, words: list[str]) -> list[int]:
         get = self.number.get
         return [get(w, OTHER) for w in words]
@@ -283,23 +298,20 @@ def leaked_passages(
     characters and wrong decodings do not matter. The word span refers to the
     document's cleaned words.
 
-    The passages travel to every task; their words are counted first, and more
-    than ``max_item_words`` raise :class:`BoundExceeded` (search in blocks of
-    items then). Documents stream through shards of ``shard_words`` words; a
+    The passages travel to every task in blocks of at most ``max_item_words`` words (or one longer passage), one pass over the documents for each
+    block; which words tell passages apart is decided over all items. Documents stream through shards of ``shard_words`` words; a
     longer text is a shard of its own. Null or empty texts and passages match
     nothing; repeated items count once; null ids are ignored.
     """
+    ship_package(docs.sparkSession)
     small = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p")).distinct()
-    size = small.agg(F.sum(F.size(F.split("p", r"\s+")))).first()[0] or 0
-    if size > max_item_words:
-        raise BoundExceeded(f"the passages have {size} words, more than {max_item_words}")
-    held = docs.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in small.collect()), key=repr))
+    common = common_words(small)
     least = running_words - int(running_words * wrong_part)
     intact = 1 - wrong_part * 1.6
     schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
 
-    def run(batches):
-        P, ids, lengths, symbols = Passages(held.value), [], [], []
+    def search(batches, block):
+        P, ids, lengths, symbols = Passages(*block), [], [], []
 
         def flush():
             rows = _search_shard(ids, lengths, symbols, P, least, intact, running_words, wrong_part) if len(P.grams) and symbols else []
@@ -319,10 +331,27 @@ def leaked_passages(
                     yield flush()
         yield flush()
 
-    ship_package(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text))
-    found = spread_work(rows).mapInArrow(run, "doc bigint, item bigint, first_word int, last_word int")
-    return found.toDF("doc_id", "item_id", "first_word", "last_word").distinct()
+
+    def pass_over(block):
+        held = docs.sparkSession.sparkContext.broadcast((block, common))
+        found = spread_work(rows).mapInArrow(lambda batches: search(batches, held.value), "doc bigint, item bigint, first_word int, last_word int")
+        return held, found.toDF("doc_id", "item_id", "first_word", "last_word").distinct()
+
+    block, size, done = [], 0, []
+    for r in small.orderBy("i", "p").toLocalIterator():
+        n = len(r["p"].split())
+        if block and size + n > max_item_words:
+            held, found = pass_over(block)
+            done.append(spill(found, "leaks"))  # before the next block is read
+            held.unpersist()
+            block, size = [], 0
+        block.append((r["i"], r["p"]))
+        size += n
+    out = pass_over(block)[1]
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:
