@@ -6,7 +6,7 @@ import math
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.errors import BoundExceeded
@@ -72,6 +72,13 @@ def water_fill(targets: dict[str, tuple[float, int]], available: dict[str, int],
     return taken
 
 
+def _cuts(mass: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, cut, tokens): the bins below ``cut`` come nearest to the tokens wanted of a further pass; no row where none is taken."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = mass.withColumn("before", before).join(wanted.where("want > 0"), "source").where(F.col("before") + F.col("n") / 2 <= F.col("want"))
+    return near.groupBy("source").agg((F.max("bin") + 1).alias("cut"), F.max(F.col("before") + F.col("n")).alias("tokens"))
+
+
 class Mixture:
     """The plan of one mixture: ``records`` (id, source, n_tokens, repeats) and ``shares`` per source."""
 
@@ -92,13 +99,13 @@ def mix_sources(
     budget: int | None = None,
     seed: int = 42,
     tokenizer: str = TOKENIZER,
-    max_sources: int = 10_000,
+    max_sources: int = 1_000_000,
 ) -> Mixture:
     """Choose how often every record is used so that the sources reach their target shares.
 
     A source is used in whole passes plus a seeded part of one more: the records
     whose hash falls below a cut. The cut is chosen from a histogram of the tokens
-    over ``BINS`` hash bins, so the realised share misses the plan by about one bin
+    over ``BINS`` hash bins per source, so the realised share misses the plan by about one bin
     of one pass at most. Records without a source, of a source without a target, or
     of an unwanted one (share null or 0) are left out; a wanted source without
     records gets nothing and its weight goes to the others; targets named twice
@@ -115,23 +122,19 @@ def mix_sources(
     counted = token_counts(docs.select(F.col(id_col).alias("id"), source_key(source).alias("source"), F.col(text).alias("text")), "text", tokenizer)
     bin_ = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(BINS)).cast("int")
     counted = spill(counted.where(F.col("source").isin(*goal) if goal else F.lit(False)).withColumn("bin", bin_), "tokens")
-    mass: dict[str, dict[int, int]] = {}
-    for s, b, n in counted.groupBy("source", "bin").agg(F.sum("n_tokens")).collect():  # at most BINS numbers per target source
-        mass.setdefault(s, {})[b] = n
-    available = {s: sum(m.values()) for s, m in mass.items()}
+    mass = spill(counted.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n")), "mass")
+    available = {s: n or 0 for s, n in mass.groupBy("source").agg(F.sum("n")).collect()}  # one number per target source
     taken = water_fill(goal, available, budget)
     plan, spark = [], docs.sparkSession
     for s, (share, passes) in goal.items():
         have = available.get(s, 0)
         epochs = taken[s] / have if have else 0.0
         whole = min(math.floor(epochs + 1e-12), passes)
-        want, got, cut = (epochs - whole) * have, 0, 0
-        for b in range(BINS):
-            n = mass.get(s, {}).get(b, 0)
-            if whole >= passes or got + n / 2 > want or want <= 0:
-                break
-            got, cut = got + n, b + 1
-        plan.append((s, share, passes, have, taken[s], whole, cut, whole * have + got))
+        want = (epochs - whole) * have if whole < passes else 0.0
+        plan.append((s, share, passes, have, taken[s], whole, want))
+    cuts = _cuts(mass, spark.createDataFrame([(p[0], p[6]) for p in plan], "source string, want double"))
+    partly = {s: (cut, got) for s, cut, got in cuts.collect()}  # one row per target source
+    plan = [(*p[:6], partly.get(p[0], (0, 0))[0], p[5] * p[3] + partly.get(p[0], (0, 0))[1]) for p in plan]
     used = sum(p[7] for p in plan)
     wanted = sum(share for share, _ in goal.values()) or 1.0
     shares = spark.createDataFrame(
