@@ -35,6 +35,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return connected_groups(links, "EntryNr1", "EntryNr2").select(F.col("vertex").alias("entry_nr"), F.col("group").alias("group_nr"))
 
 
+P2_FOUND = """
+WITH RECURSIVE l AS (SELECT EntryNr1 AS x, EntryNr2 AS y FROM pairwise WHERE RelType BETWEEN 0 AND 3 AND EntryNr1 <> 0 AND EntryNr2 <> 0 AND EntryNr1 <> EntryNr2),
+b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (SELECT DISTINCT x AS v, x AS r FROM b UNION SELECT c.v, b.y FROM c JOIN b ON b.x = c.r)
+SELECT v AS entry_nr, min(r) AS group_nr FROM c GROUP BY 1"""
+
+
 def p3_term_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences, annotated entries and mark of every term used."""
     marked = marked_frequency(table(spark, sf, "go_annotation"), "TermNr", "EntryNr", absent=(0,))
@@ -103,4 +110,4 @@ def p9_source_rates(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_term_frequency": p3_term_frequency, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans,
     "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_source_rates": p9_source_rates}
-ORACLE = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_term_frequency": P3_TERM_FREQUENCY}
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_term_frequency": P3_TERM_FREQUENCY}
