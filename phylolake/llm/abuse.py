@@ -34,6 +34,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|\s\|\s")
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 _KINDS = {"abusive": (set(L.INSULTS) | set(L.MILD_INSULTS) | set(L.THREATS)), "hateful": set(L.HATE), "sexual": set(L.SEXUAL)}
+_LEXICON = set().union(*_KINDS.values())
+NOTHING = -4.0  # log-odds of a sentence without a word of the lexicon
 _YOU, _STRONG, _MILD, _THREAT = set(L.YOU), set(L.INSULTS), set(L.MILD_INSULTS), set(L.THREATS)
 
 
@@ -57,7 +59,7 @@ def lexicon_odds(words: list[str]) -> float:
     """Log-odds of a sentence by the lexicon alone."""
     own = set(words)
     you = not own.isdisjoint(_YOU)
-    odds = -4.0
+    odds = NOTHING
     if not own.isdisjoint(_STRONG):
         odds += 5.0 if you else 4.5
     if not own.isdisjoint(_MILD):
@@ -138,23 +140,35 @@ class Classifier:
             self._word[w] = got
         return got
 
-    def odds(self, words: list[str]) -> float:
+    def odds(self, words: list[str]) -> tuple[float, list[str]]:
+        """(log-odds, words) of a sentence, of its worst window where it is long."""
+        own = [w if w[0] > "9" else "0" for w in words]
+        told = not _LEXICON.isdisjoint(own)
+        n = len(own)
+        starts = (0,) if n <= LONG else range(0, n - WINDOW + STEP, STEP)
+        width = n if n <= LONG else WINDOW
         if not self.weight:
-            return lexicon_odds(words)
-        own = ["0" if w[0] <= "9" else w for w in words]
-        get, of = self.weight.get, self._of_word
-        pairs = sum([get(a + " " + b, 0.0) for a, b in zip(own, own[1:], strict=False)])
-        return self.bias + self.lexicon * lexicon_odds(words) + sum([of(w) for w in own]) + pairs
+            return max(((lexicon_odds(words[i : i + width]) if told else NOTHING, words[i : i + width]) for i in starts), key=lambda x: x[0])
+        seen, of, get = self._word, self._of_word, self.weight.get
+        word = [seen[w] if w in seen else of(w) for w in own]
+        pair = [get(a + " " + b, 0.0) for a, b in zip(own, own[1:], strict=False)]
+        best, at = -math.inf, 0
+        for i in starts:
+            lex = lexicon_odds(own[i : i + width]) if told else NOTHING
+            o = self.lexicon * lex + sum(word[i : i + width]) + sum(pair[i : i + width - 1])
+            if o > best:
+                best, at = o, i
+        return self.bias + best, words[at : at + width]
 
     def document(self, sentences) -> tuple[float, str | None]:
         """(probability, kind from 0.5 on) of a document."""
         best, at = -20.0, []
         for plain, restored, doubt in sentences:
             for words, less in ((plain, 0.0), (restored, doubt)):
-                for part in windows(words) if words else ():
-                    o = self.odds(part) + less
-                    if o > best:
-                        best, at = o, part
+                if words:
+                    o, part = self.odds(words)
+                    if o + less > best:
+                        best, at = o + less, part
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * best + self.shift))))
         return p, kind_of(at) if p >= 0.5 else None
 
@@ -299,7 +313,7 @@ def fit(labelled: list[tuple[int, str | None, int]], grams: dict[str, int], *, p
     def held_out(keep):
         z = np.full(len(labelled), -20.0)
         for k in range(FOLDS):
-            _, worst = _fit_weights(X, lex, doc, flagged, keep & (fold != k), penalty)
+            _, worst = _fit_weights(X, lex, doc, flagged, keep & (fold != k), penalty, rounds=2)
             z[(fold == k) & seen] = worst[(fold == k) & seen]
         return z
 

@@ -31,11 +31,14 @@ PRIOR = -8.0  # log-odds that a chunk is disguised
 DOUBTFUL = -5.0  # restorations of lower log-odds are not offered to the classifier
 WORD = re.compile("[a-z]+|[0-9]+")
 RUN = re.compile(r"(?<!\S)\S{1,3}(?: \S{1,3})+(?!\S)")  # tokens of at most three characters may be pieces of one word
+ORDINARY = re.compile(r"[a-z0-9 \-_.,:;?'\"/)\[\]]+")
+PART = re.compile("[a-z0-9]+")
+LEAD = re.compile("[a-z]*")
 SPELLING = re.compile(r"[a-z*$@]")
 TWICE = re.compile(r"([a-z])\1")
 
 SIGNS = {c: [(x, -0.5) for x in letters] + ([] if c.isdigit() else [("", -1.5), (" ", -1.5)]) for c, letters in LEET.items()}
-SIGNS["*"] = [(x, -1.0) for x in LETTERS] + [("", -1.5), (" ", -1.5)]
+SIGNS["*"] = [("*", -1.0), ("", -1.5), (" ", -1.5)]
 OTHER_LETTER, SEPARATOR = [("?", -1.0)], [("", -0.3), (" ", -0.1)]
 
 
@@ -58,6 +61,10 @@ class CharacterModel:
             node["$"] = True
         self.words = frozenset(vocabulary)
         self.beginnings = {("^" + w + "$")[: i + 1] for w in vocabulary for i in range(len(w) + 2)}
+        self.onward: dict[str, list[str]] = defaultdict(list)  # letters that go on from the beginning of a word
+        for b in sorted(self.beginnings):
+            if len(b) > 1 and b[-1] != "$":
+                self.onward[b[:-1]].append(b[-1])
         self.total = {c: sum(d.values()) for c, d in self.vocab.items()}
         self.corpus: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for g, n in corpus_grams.items():
@@ -126,7 +133,8 @@ class CharacterModel:
 
 
 def readings(chunk: str, i: int) -> list[tuple[str, float]]:
-    """What character ``i`` may stand for, with the log cost: a letter, '' for nothing, ' ' for the end of a word."""
+    """What character ``i`` may stand for, with the log cost: a letter, '' for nothing, ' ' for the end of a word, '*' for
+    any letter that goes on in a word of the vocabulary."""
     c = chunk[i]
     if "a" <= c <= "z":
         if i and chunk[i - 1] == c:
@@ -153,6 +161,9 @@ def may_spell(chunk: str, tree: dict) -> bool:
                     if "$" in n:
                         return True
                 new.append(tree)
+            elif letter == "*":
+                for n in nodes:
+                    new += [to for x, to in n.items() if x != "$"]
             else:
                 for n in nodes:
                     to = n.get(letter)
@@ -181,6 +192,13 @@ def decode(chunk: str, model: CharacterModel) -> tuple[float, str]:
                     else:
                         p, _ = step(state, "$")
                         s, c, w = score + cost + p, "^", word + " "
+                elif letter == "*":
+                    for x in model.onward.get(state, ()):
+                        p, c = step(state, x)
+                        old = new.get(c)
+                        if old is None or score + cost + p > old[0]:
+                            new[c] = (score + cost + p, word + x)
+                    continue
                 else:
                     p, c = step(state, letter)
                     s, w = score + cost + p, word + letter
@@ -218,11 +236,36 @@ class Restorer:
         for c in set(chunks).difference(self.seen):
             self.seen.add(c)
             # plain letters without a repeat are a lattice with a single way; what has neither letters nor signs for them spells nothing
-            if (not c.isalpha() or not c.isascii() or TWICE.search(c)) and SPELLING.search(c):
+            if (not c.isalpha() or not c.isascii() or TWICE.search(c)) and SPELLING.search(c) and self._may_begin(c):
                 got = self.chunk(c)
                 if got:
                     self.found[c] = got
 
+    def _may_begin(self, chunk: str) -> bool:
+        """False where, seen from the first letters of its parts, no word of the vocabulary can begin in a chunk: a quick bound
+        before :func:`may_spell`, which loses nothing."""
+        known = self.model.beginnings
+        if not ORDINARY.fullmatch(chunk):
+            return True
+        parts = PART.findall(chunk)
+        if " " in chunk and chunk.replace(" ", "").isalpha():  # plain words: one of the vocabulary would have to span several of them
+            for i in range(len(parts)):
+                joined = "^" + parts[i]
+                for part in parts[i + 1 :]:
+                    if joined[-1] == part[0]:
+                        return True
+                    joined += part
+                    if joined not in known:
+                        break
+                    if joined + "$" in known:
+                        return True
+            return bool(TWICE.search(chunk))
+        for part in parts:
+            lead = LEAD.match(part).group()
+            if not lead or "^" + lead in known or TWICE.search(part):
+                return True
+        return False
+
     def sentence(self, folded: str) -> tuple[list[str], list[str] | None, float]:
         """(plain words, restored words or None where nothing is disguised, log-odds of the doubtful restorations, at most 0)."""
         plain, tokens = WORD.findall(folded), folded.split()

@@ -12,6 +12,7 @@ LOOKALIKES = str.maketrans(
     "aceopxyijsdqwhkmtbhABEKMHOPCTXYIJSaoevptuik",
 )
 INVISIBLE = re.compile("[­​-‏⁠﻿\x00-\x08\x0b\x0e-\x1f\x7f]")
+CONTROLS = bytes([*range(9), 11, *range(14, 32), 127])
 INLINE_TAG = re.compile(r"</?(?:i|b|u|em|strong|a|span|sup|sub|code|font|mark|small)\b[^<>]*>", re.I)
 ANY_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 WRONGLY_DECODED = re.compile("[Â-ô][\u0080-ÿŒ-Ÿƒˆ˜–-™]{1,3}")
@@ -39,8 +40,8 @@ def readable(text: str) -> str:
         text = WRONGLY_DECODED.sub(_redecode, text)
         text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).translate(LOOKALIKES)
     else:
-        text = INVISIBLE.sub("", text)
-    return BROKEN_WORD.sub("", text)
+        text = text.encode("ascii").translate(None, CONTROLS).decode("ascii")
+    return BROKEN_WORD.sub("", text) if "-" in text and "\n" in text else text
 
 
 def fold(text: str) -> str:
