@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from phylolake.operators.skew import salted_sides, skewed_lookup
 from phylolake.session import discard, ship_package, spill, work_slots
 
-DEPTHS = (4, 6, 8, 12, 16)
+DEPTHS = (2, 3, 4, 6, 8, 12, 16)
+SAMPLE, TRIAL_TREES = 3000, 48  # sets and trees that tell how crowded the neighbourhoods of each depth are
+SLOTS = 1 << 16  # hash slots of the prefixes, to find those so frequent that one task must not see all their rows
+HOT_ROWS = 200_000
 WORDS = 2  # 64-bit words of the bit vector
 BLOCK = 2048  # records of one set that are paired in one piece
 
@@ -89,43 +92,78 @@ def _sketcher(n_trees: int, seed: int, depth: int):
     return sketch, ", ".join(f"{n} {'int' if n in ('tree', 'n') else 'bigint'}" for n in names)
 
 
-def _scan(threshold: float):
-    """Sorted (tree, key, sid, size, bits) rows to the pairs of neighbours with the same key that the size and bit-vector bounds
-    allow; both bounds never lose a pair."""
-    schema = pa.schema([("sid1", pa.int64()), ("sid2", pa.int64())])
+def _scan(threshold: float, limit: int):
+    """Rows (tree, key, sid, size, bits) sorted by key (a 64-bit hash of tree and prefix) to the pairs (-1, sid1, sid2) of neighbours with the same key that the size and
+    bit-vector bounds allow (both never lose a pair), and to (tree, sid, null) for the rows of neighbourhoods above ``limit``.
+
+    No more than ``limit`` rows of a neighbourhood are held.
+    """
+    schema = pa.schema([("tree", pa.int32()), ("sid1", pa.int64()), ("sid2", pa.int64())])
+
+    def batch_of(tree, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    def crowd(cols):
+        return batch_of(cols[0], cols[2], [None] * len(cols[0]))
 
     def pairs_of(tree, key, sid, n, bits):
-        out1, out2 = [], []
-        left = np.arange(len(key))
-        d = 1
+        out1, out2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, d = np.arange(len(key)), 1
         while len(left):
             left = left[left + d < len(key)]
             left = left[(key[left] == key[left + d]) & (tree[left] == tree[left + d])]
             a, b = left, left + d
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            near = small >= large * threshold - 1e-9
+            a, b, both = a[near], b[near], (small + large)[near]
             apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            near = (small >= large * threshold - 1e-9) & (apart <= (small + large) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+            near = apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
             out1.append(np.minimum(sid[a[near]], sid[b[near]]))
             out2.append(np.maximum(sid[a[near]], sid[b[near]]))
             d += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out1 or [np.zeros(0, np.int64)])), pa.array(np.concatenate(out2 or [np.zeros(0, np.int64)]))], schema=schema)
+        x, y = np.concatenate(out1), np.concatenate(out2)
+        return batch_of(np.full(len(x), -1, np.int32), x, y)
+
+    def whole(cols):
+        """Output of rows that hold whole neighbourhoods."""
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        at = np.flatnonzero(new)
+        large = np.repeat(np.diff(np.append(at, len(new))) > limit, np.diff(np.append(at, len(new))))
+        if large.any():
+            yield crowd([c[large] for c in cols])
+            cols = [c[~large] for c in cols]
+        yield pairs_of(*cols)
 
     def scan(batches):
-        held = None
+        held, hot = None, None  # the last neighbourhood may go on in the next batch; ``hot`` is one already known to be above the limit
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cols = [*cols[:4], np.stack(cols[4:], axis=1)]
+            if hot is not None:
+                go_on = (cols[0] == hot[0]) & (cols[1] == hot[1])
+                if go_on.any():
+                    yield crowd([c[go_on] for c in cols])
+                    cols = [c[~go_on] for c in cols]
+                if len(cols[0]):
+                    hot = None
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+                held = None
             if not len(cols[0]):
                 continue
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])  # the last neighbourhood may go on in the next batch
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             cut = int(np.flatnonzero(last)[0])
-            held = [c[cut:] for c in cols]
+            tail = [c[cut:] for c in cols]
+            if len(tail[0]) > limit:
+                hot = (tail[0][0], tail[1][0])
+                yield crowd(tail)
+            else:
+                held = tail
             if cut:
-                yield pairs_of(*(c[:cut] for c in cols))
+                yield from whole([c[:cut] for c in cols])
         if held is not None:
-            yield pairs_of(*held)
+            yield from whole(held)
 
     return scan
 
@@ -142,45 +180,90 @@ def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, same & (F.col("a_sid") < F.col("b_sid")) & near).select(F.col("a_sid").alias("sid1"), F.col("b_sid").alias("sid2"))
 
 
+def _first_depth(sets: DataFrame, limit: int) -> int:
+    """Place in ``DEPTHS`` of the first depth at which a set is expected to have few others with its prefix.
+
+    The chance that two sets share a prefix is measured on ``SAMPLE`` sets over ``TRIAL_TREES`` trees, in one task. It only chooses where a forest begins:
+    neighbourhoods that turn out crowded are left to longer prefixes all the same.
+    """
+    sketches = [_sketcher(TRIAL_TREES, 0, depth)[0] for depth in DEPTHS[:-1]]
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        for i, sketch in enumerate(sketches):
+            keys: dict[int, list] = {}
+            for rows in sketch(held):
+                keys.setdefault(rows.column(0)[0].as_py(), []).append(rows.column(1).to_numpy())
+            same = total = 0
+            for parts in keys.values():
+                counts = np.unique(np.concatenate(parts), return_counts=True)[1].astype(np.int64)
+                same, total = same + int((counts * (counts - 1)).sum()), total + int(counts.sum()) * (int(counts.sum()) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([same / total if total else 0.0])], names=["i", "p"])
+
+    sample = sets.select("sid", "items").orderBy(F.xxhash64("sid"), "sid").limit(SAMPLE).coalesce(1)
+    shared = {r.i: r.p for r in sample.mapInArrow(run, "i int, p double").collect()}
+    n = sets.count()
+    return next((i for i in sorted(shared) if shared[i] * n <= limit / 8), len(DEPTHS) - 2 if shared else 0)
+
+
+def _neighbours(rows: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Scanned rows of a depth, written: pairs and rows of crowded neighbourhoods.
+
+    Prefixes so frequent that one task would have to read very many rows are found first, by the counts of their hash slots, and
+    their rows go to the crowded ones without being brought together.
+    """
+    slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int")
+    n = work_slots(rows.sparkSession)
+    slots = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT_ROWS, limit))  # at most SLOTS rows
+    hot = [r[0] for r in slots.select("slot").collect()]
+    light, out = rows, None
+    if hot:
+        busy = rows.where(slot.isin(hot))
+        keys = spill(busy.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT_ROWS // 10, limit)).select("tree", "key"), "hot")
+        out = busy.join(keys, ["tree", "key"], "left_semi").select("tree", F.col("sid").alias("sid1"), F.lit(None).cast("bigint").alias("sid2"))
+        light = rows.where(~slot.isin(hot)).unionByName(busy.join(keys, ["tree", "key"], "left_anti").select(*rows.columns))
+    found = light.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_scan(threshold, limit), "tree int, sid1 bigint, sid2 bigint")
+    return spill(found if out is None else found.unionByName(out), "neighbours")
+
+
 def _forest(sets: DataFrame, threshold: float, recall: float, seed: int, group_limit: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs of one forest, and the sets whose recall stays below the target (None: none)."""
     ship_package(sets.sparkSession)
-    trees = trees_needed(threshold, DEPTHS[0], recall)
-    sketch, ddl = _sketcher(trees, seed, DEPTHS[0])
-    rows = spill(sets.select("sid", "items").mapInArrow(sketch, ddl), "sketches")
-    used, found, deeper = [rows], [], []
     if group_limit is None:
+        depth = DEPTHS[2]
+        sketch, ddl = _sketcher(trees_needed(threshold, depth, recall), seed, depth)
+        rows = spill(sets.select("sid", "items").mapInArrow(sketch, ddl), "sketches")
         pairs = spill(_block_pairs(rows, threshold).distinct(), "candidates")
         discard(rows)
         return pairs, None
-    for i, depth in enumerate(DEPTHS):
-        crowded = spill(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_limit).select("tree", "key"), "crowded")
-        used.append(crowded)
-        none = crowded.isEmpty()
-        leaf = rows if none else rows.join(crowded, ["tree", "key"], "left_anti")
-        n = work_slots(sets.sparkSession)
-        found.append(leaf.select("tree", "key", *rows.columns[2:]).repartition(n, "tree", "key").sortWithinPartitions("tree", "key", "sid").mapInArrow(_scan(threshold), "sid1 bigint, sid2 bigint"))
-        if none:
+    first = _first_depth(sets, group_limit)
+    depths = DEPTHS[first:]
+    trees = trees_needed(threshold, depths[0], recall)
+    todo, used, deeper, pairs = sets.select("sid", "items"), [], [], None
+    for i, depth in enumerate(depths):
+        sketch, ddl = _sketcher(trees, seed, depth)
+        found = _neighbours(todo.mapInArrow(sketch, ddl), threshold, group_limit)
+        used.append(found)
+        near = found.where("sid2 IS NOT NULL").select("sid1", "sid2")
+        pairs = near if pairs is None else pairs.unionByName(near)
+        over = found.where("sid2 IS NULL").select("tree", F.col("sid1").alias("sid"))
+        if over.isEmpty():
             break
-        over = spill(rows.join(crowded, ["tree", "key"], "left_semi").select("tree", "sid"), "crowded_rows")
-        used.append(over)
-        after = math.log(1 - threshold ** DEPTHS[i + 1]) if i + 1 < len(DEPTHS) else 0.0
+        after = math.log(1 - threshold ** depths[i + 1]) if i + 1 < len(depths) else 0.0
         deeper.append(over.select("sid", F.lit(after - math.log(1 - threshold**depth)).alias("m")))
-        if i + 1 == len(DEPTHS):
+        if i + 1 == len(depths):
             break
-        sketch, ddl = _sketcher(trees, seed, DEPTHS[i + 1])
-        rows = spill(over.join(sets, "sid").select("sid", "items", "tree").mapInArrow(sketch, ddl), "sketches")
-        used.append(rows)
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionByName(p)
+        todo = spill(over.join(sets.select("sid", "items"), "sid").select("sid", "items", "tree"), "deeper")
+        used.append(todo)
     pairs = spill(pairs.distinct(), "candidates")
     rest = None
     if deeper:
         missing = deeper[0]
         for m in deeper[1:]:
             missing = missing.unionByName(m)
-        base = trees * math.log(1 - threshold ** DEPTHS[0])
+        base = trees * math.log(1 - threshold ** depths[0])
         low = missing.groupBy("sid").agg(F.sum("m").alias("m")).where(F.col("m") + base > math.log(1 - recall) + 1e-9).select("sid")
         rest = spill(sets.join(low, "sid", "left_semi"), "below_target")
         if rest.isEmpty():
