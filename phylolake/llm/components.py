@@ -37,40 +37,39 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
         F.when(F.col("inner").isNull(), F.col("w")).alias("end"),
     )
     first = spill(state, "arcs")
-    parked, active = [first.where("pv IS NULL")], first.where("pv IS NOT NULL")
-    kept, open_arcs = [first], active.count()
-    while open_arcs:
-        every = active
-        for p in parked:
-            every = every.unionByName(p)
+    active, ended = first.where("pv IS NOT NULL"), first.where("pv IS NULL")
+    kept, ends = [first], []
+    while not active.isEmpty():
+        # of the ended arcs only those that an open one points to can be asked for from now on
+        pointed = active.select(F.col("pv").alias("v"), F.col("pw").alias("w"))
+        ended = spill(ended.join(pointed, ["v", "w"], "left_semi"), "ends")
+        ends.append(ended)
+        every = active.unionByName(ended)
         to = every.select(F.col("v").alias("pv"), F.col("w").alias("pw"), F.col("pv").alias("qv"), F.col("pw").alias("qw"), F.col("low").alias("qlow"), F.col("end").alias("qend"))
+        # the stretches of an arc and of the one it points to share no vertex unless they go all around a ring: then its minimum is settled
+        ring = F.col("qlow") == F.col("low")
         moved = active.join(to, ["pv", "pw"]).select(
-            "v", "w", F.col("qv").alias("pv"), F.col("qw").alias("pw"), F.least("low", "qlow").alias("low"), F.col("qend").alias("end"), (F.col("qlow") < F.col("low")).alias("sank")
+            "v", "w", F.when(~ring, F.col("qv")).alias("pv"), F.when(~ring, F.col("qw")).alias("pw"), F.least("low", "qlow").alias("low"), F.col("qend").alias("end")
         )
         new = spill(moved, "arcs")  # arcs that have ended are parked, only the others are written again
         kept.append(new)
-        n, sank = new.where("pv IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("sank").cast("int")), F.lit(0))).first()
-        new = new.drop("sank")
-        parked, active = [*parked, new.where("pv IS NULL")], new.where("pv IS NOT NULL")
-        if n == open_arcs and not sank:
-            break  # a round that ends no arc leaves only rings, and their minimum is settled
-        open_arcs = n
-    every = active
-    for p in parked:
-        every = every.unionByName(p)
+        active, ended = new.where("pv IS NOT NULL"), ended.unionByName(new.where("pv IS NULL"))
+    every = kept[0].where("pv IS NULL")
+    for p in kept[1:]:
+        every = every.unionByName(p.where("pv IS NULL"))
     ranked = spill(every.groupBy("v").agg(F.min("end").alias("end1"), F.max("end").alias("end2"), F.count("end").alias("n_ends"), F.min("low").alias("low")), "ranked")
-    discard(*kept)
+    discard(*kept, *ends)
     return ranked
 
 
-def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(removed, edges): one round of taking out the vertices of degree one and two; None where there are none.
+def _reduce(edges: DataFrame, n: int, least_gain: float) -> tuple[DataFrame, DataFrame] | None:
+    """(removed, edges): one round of taking out the vertices of degree one and two; None where they are fewer than ``least_gain`` of the ``n`` links.
 
     ``removed`` has (v, parent); a parent outside the remaining graph is the root of its group.
     """
     degree = _both_ways(edges).groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("d"), F.min("b").alias("n1"), F.max("b").alias("n2"))
     chain = spill(degree.where("d <= 2").select("v", "n1", F.when(F.col("d") == 2, F.col("n2")).alias("n2")), "chain")
-    if chain.isEmpty():
+    if chain.count() <= least_gain * n:
         discard(chain)
         return None
     ranked = _rank_chains(chain)
@@ -91,41 +90,43 @@ def _star_contraction(edges: DataFrame) -> DataFrame:
         d = _both_ways(e)
         low = spill(d.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "lowest")  # a plain table, so that the join of a hub can be split
         used.append(low)
-        return d.where("b > a").join(low, "a").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).where("a <> b").distinct()
+        return d.where("b > a").join(low, "a").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).where("a <> b")
 
     def small(e):
         low = spill(e.groupBy("b").agg(F.min("a").alias("m")), "lowest")
         used.append(low)
-        j = e.join(low, "b")
-        return j.select(F.col("a").alias("x"), "m").unionByName(j.select(F.col("b").alias("x"), "m")).where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+        near = e.join(low, "b").select(F.col("a").alias("x"), "m").unionByName(low.select(F.col("b").alias("x"), "m"))
+        return near.where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
     used: list[DataFrame] = []
-    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    seen = None
+    seen = -1
     while True:
         big = spill(large(edges), "stars")
         new = spill(small(big), "stars")
-        now = new.agg(mark.alias("m")).first()["m"]
+        n = new.count()
         discard(edges, big, *used)
         used.clear()
         edges = new
-        if now == seen:
-            return edges.select(F.col("b").alias("v"), F.col("a").alias("label"))
-        seen = now
+        if n == seen:  # done when all links are stars: no centre is a leaf, no leaf has two centres
+            chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+            if chained.isEmpty() and edges.groupBy("b").count().where("count > 1").isEmpty():
+                return edges.select(F.col("b").alias("v"), F.col("a").alias("label"))
+        seen = n
 
 
-def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str, *, least_gain: float = 0.02) -> DataFrame:
     """(vertex, group): every vertex with a link and the smallest vertex it reaches.
 
     Links are undirected; null ends and links of a vertex with itself are ignored,
     repeated links count once, other columns do not matter. No link gives an empty
-    result. Vertices of degree one and two are taken out until there are none left; the rest is the core.
+    result. Vertices of degree one and two are taken out until they are fewer than ``least_gain`` of the links, as a round costs a
+    pass over all links; the rest is the core, which is solved whatever its shape, so the result does not depend on it.
     """
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     edges = spill(links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
     removed = []
-    while not edges.isEmpty():
-        out = _reduce(edges)
+    while n := edges.count():
+        out = _reduce(edges, n, least_gain)
         if out is None:
             break
         discard(edges)
