@@ -70,7 +70,7 @@ def induced_pairs(entries: DataFrame, *, same_genome: bool = False, orthologs: b
     Orthologs are most pairs of a family: the join on the root id is salted for large families,
     and ids that differ in the number of their first step, or have none, need no
     further comparison. Paralogs are few: they meet on the shared prefix and number
-    of the step whose letters differ, never in a whole family.
+    of the step whose letters differ, never in a whole family; that join is salted as well.
     """
     t = hogid.tokens("hog_id")
     e = entries.where("fam IS NOT NULL AND hog_id <> ''").select("entry_nr", "fam", "hog_id", "species_code", "group_nr", t[0].alias("root"), *also)
@@ -87,9 +87,10 @@ def induced_pairs(entries: DataFrame, *, same_genome: bool = False, orthologs: b
     token = F.element_at("t", F.col("i"))
     at = F.concat_ws(".", F.array_join(F.slice("t", F.lit(1), F.col("i") - 1), "."), F.regexp_extract(token, r"^([0-9]+)", 1))
     keyed = steps.select("fam", "entry_nr", "hog_id", "species_code", "group_nr", at.alias("at"), token.alias("token"))
-    keep = ["fam", "at"]
-    pairs = _suffixed(keyed, 1, keep).join(_suffixed(keyed, 2, keep), keep)
-    return pairs.where(apart & (F.col("token1") != F.col("token2"))).drop("at", "token1", "token2")
+    left, right = salted_sides(keyed, ["fam", "at"])
+    keep = ["fam", "at", "__salt"]
+    pairs = _suffixed(left, 1, keep).join(_suffixed(right, 2, keep), keep)
+    return pairs.where(apart & (F.col("token1") != F.col("token2"))).drop("at", "__salt", "token1", "token2")
 
 
 def induced_orthologs(entries: DataFrame) -> DataFrame:

@@ -78,7 +78,11 @@ def genome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of the newest release with group ids in plain spelling, family and genome."""
+    """Entries of the newest release with group ids in plain spelling, family and genome; written once per session and release."""
+    return once(spark, f"entry {newest(spark, sf)} {sf}", lambda: _entry(spark, sf))
+
+
+def _entry(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "entry").where(F.col("ReleaseNr") == newest(spark, sf))
     last = latest_delivery(e, ["EntryNr"], "DeliveredAt", {
         "group_nr": F.coalesce("OmaGroup", F.lit(0)), "hog_raw": F.coalesce("OmaHOG", F.lit("")), "chromosome": F.coalesce("Chromosome", F.lit("")),
