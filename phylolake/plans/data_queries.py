@@ -57,11 +57,11 @@ SELECT fam, count(*) AS n_rows, count(*) FILTER (WHERE OmaGroup > 0) AS n_groupe
 FROM f GROUP BY fam"""
 
 
-def _rows(spark: SparkSession, sf: str):
-    """References as loaded, each RowNr of a release once."""
-    go = table(spark, sf, "go_annotation").select("RowNr", "ReleaseNr", "EntryNr", "TermNr").distinct()
-    xref = table(spark, sf, "xref").select("RowNr", "ReleaseNr", "EntryNr").distinct()
-    return go, xref
+def _rows(spark: SparkSession, sf: str, *, each_once: bool = True):
+    """References as loaded, or each RowNr of a release once."""
+    go = table(spark, sf, "go_annotation").select("RowNr", "ReleaseNr", "EntryNr", "TermNr")
+    xref = table(spark, sf, "xref").select("RowNr", "ReleaseNr", "EntryNr")
+    return (go.distinct(), xref.distinct()) if each_once else (go, xref)
 
 
 def _releases(*tables: DataFrame) -> list[int]:
@@ -76,14 +76,11 @@ def _releases(*tables: DataFrame) -> list[int]:
 FIELDS = (("go_annotation", "EntryNr", "entry"), ("go_annotation", "TermNr", "term"), ("xref", "EntryNr", "entry"))
 
 
-def _reference_state(spark: SparkSession, sf: str):
-    """References and existence per (space, release, key), folded release by release from their change deltas.
-
-    A release changes its own period only: its rows come as signed deltas, and so do the targets it delivers.
-    """
-    go, xref = _rows(spark, sf)
+def _reference_state(spark: SparkSession, sf: str, *, each_once: bool = True):
+    """References and existence per (space, release, key): sums of signed deltas. A release changes its own period only."""
+    go, xref = _rows(spark, sf, each_once=each_once)
     entry = table(spark, sf, "entry")
-    periods = _releases(go, xref)
+    periods = _releases(*_rows(spark, sf, each_once=False))
     deltas = [
         *[orphans.reference_deltas({"go_annotation": go, "xref": xref}[tab], space, "ReleaseNr", field) for tab, field, space in FIELDS],
         orphans.presence_deltas(entry, "entry", "ReleaseNr", "EntryNr"),
@@ -94,7 +91,7 @@ def _reference_state(spark: SparkSession, sf: str):
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Annotations and cross-references whose target is missing in their own release."""
-    go, xref, state = _reference_state(spark, sf)
+    go, xref, state = _reference_state(spark, sf, each_once=False)  # a repeated row changes no sign, and is dropped at the end
     referenced = spill(state.where("refs > 0").withColumn("orphan", F.col("present") <= 0).drop("present"), "references")
     total = referenced.agg(F.sum("refs")).first()[0] or 0
     heavy = max(1, total // HEAVY_FRACTION)
@@ -151,7 +148,7 @@ def p5_by_deltas(spark: SparkSession, sf: str) -> DataFrame:
     refs = go.select("ReleaseNr", "EntryNr", "RowNr", now).unionByName(xref.select("ReleaseNr", "EntryNr", (-F.col("RowNr") - 1).alias("RowNr"), now)).distinct()
     held = entry.select("ReleaseNr", "EntryNr", now).distinct()
     state, before = None, None
-    for release in _releases(go, xref, entry):
+    for release in _releases(*_rows(spark, sf, each_once=False), entry):
         deltas = []
         for df, make in ((refs, orphans.reference_deltas), (held, orphans.presence_deltas)):
             new = df.where(F.col("ReleaseNr") == release).drop("ReleaseNr")
