@@ -100,37 +100,38 @@ def _align(doc: np.ndarray, base: np.ndarray, limit: np.ndarray, P: Passages, v:
     An intact word scores 1, a replaced, dropped or inserted one -2. All candidates advance together.
     """
     n, width = len(v), 2 * BAND + 1
-    score = np.zeros((n, width + 1))
-    begin = np.zeros((n, width + 1), np.int64)
-    hits, origin = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
-    best = np.zeros(n)
-    found = np.zeros((n, 5), np.int64)
+    score, begin, hits, origin = np.zeros((n, width + 1)), np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
+    best, found = np.zeros(n), np.zeros((n, 5), np.int64)
+    place, rows = np.arange(width), np.arange(n)
+    bonus = 2.0 * place
     for j in range(int(start.min()), int(stop.max())):
         inside = (j >= start) & (j < stop)
         word = P.all[np.minimum(P.start[v] + j, len(P.all) - 1)]
-        new_s, new_b, new_h, new_o = np.zeros_like(score), np.full_like(begin, j), np.zeros_like(hits), np.zeros_like(origin)
-        for o in range(width):
-            d = diag + j + o - BAND
-            ok = inside & (d >= 0) & (d < limit)
-            same = ok & (doc[np.clip(base + d, 0, len(doc) - 1)] == word)
-            s, b, h = score[:, o] + np.where(same, 1.0, -2.0), np.where(score[:, o] > 0, begin[:, o], j), hits[:, o] + same
-            f = np.where(score[:, o] > 0, origin[:, o], d)
-            up = score[:, o + 1] - 2.0  # the passage word is missing in the text
-            take = up > s
-            s, b, h = np.where(take, up, s), np.where(take, begin[:, o + 1], b), np.where(take, hits[:, o + 1], h)
-            f = np.where(take, origin[:, o + 1], f)
-            if o:
-                side = new_s[:, o - 1] - 2.0  # the text has an additional word
-                take = side > s
-                s, b, h = np.where(take, side, s), np.where(take, new_b[:, o - 1], b), np.where(take, new_h[:, o - 1], h)
-                f = np.where(take, new_o[:, o - 1], f)
-            s = np.where(ok & (s > 0), s, 0.0)
-            new_s[:, o], new_b[:, o], new_h[:, o] = s, np.where(s > 0, b, j), np.where(s > 0, h, 0)
-            new_o[:, o] = f
-            better = s > best
-            best = np.where(better, s, best)
-            found[better] = np.stack([b, np.full(n, j), h, d, f], 1)[better]
-        score, begin, hits, origin = new_s, new_b, new_h, new_o
+        d = (diag + j - BAND)[:, None] + place
+        ok = inside[:, None] & (d >= 0) & (d < limit[:, None])
+        same = ok & (doc[np.clip(base[:, None] + d, 0, len(doc) - 1)] == word[:, None])
+        old = score[:, :-1]
+        s, b, h = old + np.where(same, 1.0, -2.0), np.where(old > 0, begin[:, :-1], j), hits[:, :-1] + same
+        f = np.where(old > 0, origin[:, :-1], d)
+        up = score[:, 1:] - 2.0  # the passage word is missing in the text
+        take = up > s
+        s, b, h, f = np.where(take, up, s), np.where(take, begin[:, 1:], b), np.where(take, hits[:, 1:], h), np.where(take, origin[:, 1:], f)
+        # words the text has in addition: every place takes the best of those before it, less 2 a word
+        lifted = np.where(ok, s, -np.inf) + bonus
+        top = np.maximum.accumulate(lifted, axis=1)
+        at = np.maximum.accumulate(np.where(lifted == top, place, 0), axis=1)
+        s = top - bonus
+        alive = ok & (s > 0)
+        score[:, :-1] = np.where(alive, s, 0.0)
+        begin[:, :-1] = np.where(alive, np.take_along_axis(b, at, 1), j)
+        hits[:, :-1] = np.where(alive, np.take_along_axis(h, at, 1), 0)
+        origin[:, :-1] = np.take_along_axis(f, at, 1)
+        m = score[:, :-1].argmax(1)
+        better = score[rows, m] > best
+        if better.any():
+            r, m = rows[better], m[better]
+            best[r] = score[r, m]
+            found[r] = np.stack([begin[r, m], np.full(len(r), j), hits[r, m], d[r, m], origin[r, m]], 1)
     return best, found
 
 
