@@ -8,7 +8,7 @@ import random
 import pytest
 
 from phylolake.llm.leakage import leaked_passages, removal_spans
-from phylolake.operators import idmap, similarity
+from phylolake.operators import idmap, relations, similarity
 from phylolake.plans import build, file_queries, search_queries
 from phylolake.sinks import writers
 from tests import parity
@@ -111,3 +111,13 @@ def test_fuzzy_match_without_a_common_trigram(frame):
     targets = frame([(1, "abXdeXgX"), (2, "abcdefgh"), (3, "aXXdXfgh"), (4, "abc"), (5, "abXdefXhijXlmnXp")], "k int, t string")
     got = {(r["query"], r.k): round(r.score, 3) for r in idmap.fuzzy_match(queries, targets, "q", "t", key="k").collect()}
     assert got == {("abcdefgh", 1): 0.625, ("abcdefgh", 2): 1, ("abcdefgh", 3): 0.625, ("ab", 4): 0.667, ("abcdefghijklmnop", 5): 0.75}
+
+
+def test_pair_export_never_lists_all_pairs_of_genomes(spark, frame):
+    genomes = frame([f"G{i:04d}" for i in range(4000)] + [None], "species_code string")
+    entries = frame([(i, f"G{i:04d}") for i in range(4000)] + [(5000, "OTHER"), (5001, None)], "entry_nr bigint, species_code string")
+    pairs = frame([(1, 2, 0), (2, 1, 0), (3, 3999, 2), (7, 7, 1), (8, 5000, 0), (9, 5001, 0)], "entry_nr1 bigint, entry_nr2 bigint, rel_type int")
+    ids = frame([(1, "a"), (3999, "b")], "entry_nr bigint, id string")
+    out = relations.pair_export(pairs, entries, genomes, ids)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [("G0001", "G0002", 1, 2, "1:1", "a", None), ("G0003", "G3999", 3, 3999, "m:1", None, "b")]
