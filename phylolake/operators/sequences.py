@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylolake.functions import sequence as S
+from phylolake.operators.words import shared_words
 from phylolake.session import ship_package, spread_work
 
 # The BLOSUM62 matrix (Henikoff and Henikoff 1992) in half bits, lower triangle, and its usual gap costs.
@@ -151,7 +152,7 @@ def align_pairs(pairs: DataFrame, a: str, b: str, *, keep: list[str]) -> DataFra
 
 def approximate_search(queries: DataFrame, sequences: DataFrame, *, query_id: str = "query_id", query: str = "query", id_col: str = "seq_id", seq: str = "seq", n: int = 50, k: int = 6, coverage: float = 0.0) -> DataFrame:
     """(query_id, id, coverage, score, identity): the best ``n`` sequences of every query by shared words, aligned."""
-    ranked = kmer_rank(queries, kmer_index(sequences, id_col=id_col, seq=seq, k=k), query_id=query_id, query=query, id_col=id_col, k=k, coverage=coverage)
+    ranked = shared_words(queries, sequences, query_id=query_id, query=query, id_col=id_col, seq=seq, k=k, coverage=coverage, n=n if n > 0 else None).drop("hits")
     if n > 0:
         w = Window.partitionBy(query_id).orderBy(F.desc("coverage"), id_col)
         ranked = ranked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

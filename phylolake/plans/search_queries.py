@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylolake.functions import sequence, strings
-from phylolake.operators import idmap, search, sequences
+from phylolake.operators import idmap, search, sequences, words
 from phylolake.plans import domain as D
 from phylolake.plans.registry import Registry
 from phylolake.session import table
@@ -176,7 +176,7 @@ def _queries(s: Spark, sf: str) -> DataFrame:
   SELECT query_id, seq_id, hits, round(hits / (length(query) - 5)::DOUBLE, 9) AS coverage FROM h JOIN q USING (query_id) WHERE hits / (length(query) - 5)::DOUBLE >= 0.3::DOUBLE""")
 def kmer_rank(s: Spark, sf: str) -> DataFrame:
     """Every fiftieth sequence, in its whole length, ranked against all sequences by shared words of six letters."""
-    out = sequences.kmer_rank(_queries(s, sf), sequences.kmer_index(D.sequence(s, sf)), coverage=0.3)
+    out = words.shared_words(_queries(s, sf), D.sequence(s, sf), coverage=0.3)
     return out.withColumn("coverage", F.round("coverage", 9))
 
 

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from phylolake.llm.leakage import leaked_passages, removal_spans
-from phylolake.operators import idmap, relations, similarity
+from phylolake.operators import idmap, relations, similarity, words
 from phylolake.plans import build, file_queries, search_queries
 from phylolake.sinks import writers
 from tests import parity
@@ -121,3 +121,29 @@ def test_pair_export_never_lists_all_pairs_of_genomes(spark, frame):
     out = relations.pair_export(pairs, entries, genomes, ids)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in out.collect()) == [("G0001", "G0002", 1, 2, "1:1", "a", None), ("G0003", "G3999", 3, 3999, "m:1", None, "b")]
+
+
+def test_shared_words_count_every_pair_without_a_table_of_words(frame, monkeypatch):
+    rng = random.Random(7)
+    parts = ["".join(rng.choices("ACDEFG\u00e4\U0001f600", k=rng.randint(3, 9))) for _ in range(40)]
+    texts = [(i, "".join(rng.choices(parts, weights=[40 / (j + 1) for j in range(40)], k=rng.randint(0, 25)))) for i in range(150)] + [(3, "CCCCCCCCCCCC"), (200, None), (201, "AC")]
+    asked = [(i, t) for i, t in texts if i % 3 == 0 and t and len(t) >= 6] + [(300, "A" * 30)]
+    seqs, queries = frame(texts, "seq_id bigint, seq string"), frame(asked, "query_id bigint, query string")
+    held, wanted = {}, {}
+    cut = lambda t: [t[j : j + 6] for j in range(len(t or "") - 5)]
+    for i, t in texts:
+        held.setdefault(i, set()).update(cut(t))
+    for q, t in asked:
+        wanted.setdefault(q, []).extend(cut(t))
+    for least in (0.0, 0.3, 0.9):
+        exp = sorted((q, i, h, h / (len(t) - 5)) for q, t in asked for i, w in held.items() if (h := sum(x in w for x in wanted[q])) and h / (len(t) - 5) >= least)
+        found = words.shared_words(queries, seqs, coverage=least)
+        assert "word" not in found._jdf.queryExecution().optimizedPlan().toString() and sorted(tuple(r) for r in found.collect()) == exp and exp
+    monkeypatch.setattr(words, "BLOCK_LETTERS", 500)
+    monkeypatch.setattr(words, "FLUSH_ROWS", 20)
+    assert sorted(tuple(r) for r in words.shared_words(queries, seqs, coverage=0.9).collect()) == exp
+    top = {tuple(r) for r in words.shared_words(queries.where("query_id <> 3"), seqs, coverage=0.3, n=2).collect()}
+    for q in {q for q, _ in asked} - {3}:
+        (t,) = (t for x, t in asked if x == q)
+        best = sorted((-h, i) for i, w in held.items() if (h := sum(x in w for x in wanted[q])) and h / (len(t) - 5) >= 0.3)[:2]
+        assert {(q, i, -h, -h / (len(t) - 5)) for h, i in best} <= top
