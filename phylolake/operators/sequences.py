@@ -134,16 +134,84 @@ def local_alignment(a: str, b: str, exchange: np.ndarray | None = None) -> tuple
     return best[0], best[1] / best[2]
 
 
+# One number per cell holds the score (upper 23 bits), the identical residues and the length (20 bits each), so that a maximum
+# takes the best score, among equal ones the most identical residues, among these the shortest part.
+_SCORE, _SAME, _LONGEST, _NONE = 1 << 40, 1 << 20, 1 << 18, -(1 << 60)
+_PAD, _WIDTH, _CELLS = 128, 129, 2048
+
+
+def _packed_exchange() -> np.ndarray:
+    m = np.full((_WIDTH, _WIDTH), -(1 << 15), np.int64)
+    m[:128, :128] = np.rint(_exchange() / UNIT)
+    return (m * _SCORE + np.eye(_WIDTH, dtype=np.int64) * _SAME - 1).ravel()
+
+
+def _align_batch(xs: list[bytes], ys: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and identities of many pairs at once, along the antidiagonals of their matrices; shorter ones are padded."""
+    n, m, p = max(map(len, xs)), max(map(len, ys)), len(xs)
+    x, y = np.full((n, p), _PAD, np.int64), np.full((m, p), _PAD, np.int64)
+    for k, (a, b) in enumerate(zip(xs, ys, strict=True)):
+        x[: len(a), k] = np.frombuffer(a, np.uint8)
+        y[m - len(b) :, k] = np.frombuffer(b, np.uint8)[::-1]  # backwards, as an antidiagonal meets it
+    x *= _WIDTH
+    before, last, h = (np.zeros((n + 1, p), np.int64) for _ in range(3))
+    up, up_new, left = (np.full((n + 1, p), _NONE, np.int64) for _ in range(3))
+    best, t, u = np.zeros((n + 1, p), np.int64), np.empty((n, p), np.int64), np.empty((n, p), np.int64)
+    opening, longer = -(GAP_START + GAP_STEP) * _SCORE - 1, -GAP_STEP * _SCORE - 1
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1) + 1
+        here, above, a, b = slice(lo, hi), slice(lo - 1, hi - 1), t[: hi - lo], u[: hi - lo]
+        np.add(x[above], y[m - d + lo : m - d + hi], out=a)
+        table.take(a, out=b, mode="clip")
+        b += before[above]
+        np.add(up[above], longer, out=up_new[here])
+        np.add(last[above], opening, out=a)
+        np.maximum(up_new[here], a, out=up_new[here])
+        np.maximum(b, up_new[here], out=b)
+        left[here] += longer
+        np.add(last[here], opening, out=a)
+        np.maximum(left[here], a, out=left[here])
+        np.maximum(b, left[here], out=b)
+        np.multiply(b, b >= _SCORE // 2, out=h[here])  # a score of 0 or less begins anew
+        np.maximum(best[here], h[here], out=best[here])
+        before, last, h, up, up_new = last, h, before, up_new, up
+    top = best.max(axis=0)
+    length = -top % _SAME
+    same, score = (top + length) // _SAME % _SAME, (top + length) // _SCORE
+    return score * UNIT, same / np.maximum(length, 1)
+
+
+def local_alignments(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, identities) of many pairs, as :func:`local_alignment` gives them, in batches of similar lengths.
+
+    Among alignments of equal score the one with the most identical residues counts, and the shortest of these.
+    """
+    score, identity = np.zeros(len(pairs)), np.zeros(len(pairs))
+    coded = [((a or "").encode("ascii", "replace"), (b or "").encode("ascii", "replace")) for a, b in pairs]
+    long = {k for k, c in enumerate(coded) if max(map(len, c)) > _LONGEST}
+    for k in long:
+        score[k], identity[k] = local_alignment(*pairs[k])
+    order = sorted((k for k, (a, b) in enumerate(coded) if a and b and k not in long), key=lambda k: (len(coded[k][0]), len(coded[k][1])))
+    table, at = _packed_exchange(), 0
+    while at < len(order):
+        size = max(4, _CELLS // len(coded[order[at]][0]))
+        batch = sorted(order[at : at + 8 * size], key=lambda k: len(coded[k][1]))
+        for i in range(0, len(batch), size):
+            some = batch[i : i + size]
+            score[some], identity[some] = _align_batch([coded[k][0] for k in some], [coded[k][1] for k in some], table)
+        at += 8 * size
+    return score, identity
+
+
 def align_pairs(pairs: DataFrame, a: str, b: str, *, keep: list[str]) -> DataFrame:
     """``keep`` columns with alignment score and identity of two sequence columns."""
     ship_package(pairs.sparkSession)
     rest = pairs.select(*keep).schema
 
     def run(batches):
-        m = _exchange()
         for batch in batches:
-            out = [local_alignment(x or "", y or "", m) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([s for s, _ in out], pa.float64()), pa.array([i for _, i in out], pa.float64())], names=[*keep, "score", "identity"])
+            score, identity = local_alignments(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score), pa.array(identity)], names=[*keep, "score", "identity"])
 
     schema = rest.add("score", "double").add("identity", "double")
     spread = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)  # few rows, much work in each

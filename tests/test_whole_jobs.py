@@ -8,7 +8,7 @@ import random
 import pytest
 
 from phylolake.llm.leakage import leaked_passages, removal_spans
-from phylolake.operators import idmap, relations, similarity, words
+from phylolake.operators import idmap, relations, sequences, similarity, words
 from phylolake.plans import build, file_queries, search_queries
 from phylolake.sinks import writers
 from tests import parity
@@ -147,3 +147,17 @@ def test_shared_words_count_every_pair_without_a_table_of_words(frame, monkeypat
         (t,) = (t for x, t in asked if x == q)
         best = sorted((-h, i) for i, w in held.items() if (h := sum(x in w for x in wanted[q])) and h / (len(t) - 5) >= 0.3)[:2]
         assert {(q, i, -h, -h / (len(t) - 5)) for h, i in best} <= top
+
+
+def test_batched_alignments_equal_single_ones():
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choices("ACDEFGHIKLMNPQRSTVWYXB*?ä", k=n))
+    pairs = [("", "A"), ("A", ""), (None, "A"), ("ACDEFGHIKL", "ACDEFGHIKL"), ("ACDEFG" * 30, "ACDEFG" * 12 + "WW" + "ACDEFG" * 18)]
+    for _ in range(200):
+        a = draw(rng.randint(1, 90))
+        cut, more = rng.randrange(len(a)), draw(rng.randint(0, 9))
+        pairs.append((a, a[:cut] + more + a[cut + rng.randint(0, 4) :]) if rng.random() < 0.7 else (a, draw(rng.randint(1, 60))))
+    score, identity = sequences.local_alignments(pairs)
+    single = [sequences.local_alignment(a or "", b or "") for a, b in pairs]
+    assert score == pytest.approx([s for s, _ in single], abs=1e-9)
+    assert list(identity[:4]) == [0, 0, 0, 1] and identity[4] == pytest.approx(180 / 182) and ((0 <= identity) & (identity <= 1)).all()
