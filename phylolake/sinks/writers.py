@@ -34,6 +34,24 @@ def _cells(df: DataFrame, sep: str) -> Column:
     return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
 
 
+def write_archives(lines: DataFrame, path: str, *, name: str, line: str, mode: str = "overwrite") -> None:
+    """Tar archives, compressed, with one file for every value of ``name`` (up to 100 ASCII characters), holding its lines.
+
+    A member is a row of text: its header, its lines and zeros up to a whole block of 512 bytes, of which the
+    separator of the rows is the last one. An archive may lack the empty blocks at its end, which readers do without.
+    """
+    files = lines.groupBy(F.col(name).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("c")).withColumn("c", F.concat("c", F.lit("\n")))
+    body = F.when(F.octet_length("c") % 512 == 0, F.concat("c", F.lit("\n"))).otherwise(F.col("c"))
+    zeros = lambda n: F.repeat(F.lit("\0"), n if isinstance(n, Column) else F.lit(n))
+    size = F.lpad(F.conv(F.octet_length("c").cast("string"), 10, 8), 11, "0")
+    fixed = "0000644\0" + "0000000\0" * 2 + "\0" + "00000000000\0" + " " * 8 + "0" + "ustar\0" + "00"
+    total = F.aggregate(F.split(F.concat("n", size), ""), F.lit(sum(map(ord, fixed))), lambda a, x: a + F.ascii(x))
+    check = F.concat(F.lpad(F.conv(total.cast("string"), 10, 8), 6, "0"), F.lit("\0 "))
+    head = F.concat(F.col("n"), zeros(100 - F.length("n")), F.lit("0000644\0" + "0000000\0" * 2), size, F.lit("\0" + "00000000000\0"), check, F.lit("0"), zeros(100), F.lit("ustar\0" + "00"), zeros(247))
+    out = files.withColumn("c", body).select(F.concat(head, F.col("c"), zeros(511 - F.octet_length("c") % 512)).alias("value"))
+    out.write.mode(mode).option("lineSep", "\0").option("compression", "gzip").text(path)
+
+
 def write_tsv(df: DataFrame, path: str, *, header: bool = True, compression: str | None = None, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Tab-separated files, optionally one folder per value of the partition columns."""
     writer = df.write.mode(mode).option("sep", "\t").option("header", header).option("quote", "\u0000")

@@ -5,8 +5,12 @@ Compressed files are read by Spark's codecs; an empty file gives an empty table.
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
+import tarfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +31,25 @@ def pairs_tsv(spark: SparkSession, path, *, offset1: Column | int = 0, offset2:
     return _relations(raw, F.col("nr1") + lit(offset1), F.col("nr2") + lit(offset2), swap, score_scale)
 
 
-def _relations(raw: DataFrame, a: Column, b: Column, swap: bool, score_scale: float) -> DataFrame:
+def _ends(a: Column, b: Column, swap: bool, score_scale: float) -> list[Column]:
     rel = F.when(F.col("rel") == "n:1", "m:1").when(F.col("rel") == "1:m", "1:n").when(F.col("rel").isin("n:m", "n:n", "m:m"), "m:n").otherwise(F.col("rel"))
-    return raw.where("nr1 IS NOT NULL AND nr2 IS NOT NULL").select(
+    return [
         (b if swap else a).alias("entry_nr1"), (a if swap else b).alias("entry_nr2"), type_code(reversed_label(rel) if swap else rel).alias("rel_type"),
-        (F.col("score") / score_scale).alias("score"), "overlap", "distance",
-    )
+        (F.col("score") / score_scale).alias("score"), F.col("overlap"), F.col("distance"),
+    ]
+
+
+def _relations(raw: DataFrame, a: Column, b: Column, swap: bool, score_scale: float) -> DataFrame:
+    return raw.where("nr1 IS NOT NULL AND nr2 IS NOT NULL").select(*_ends(a, b, swap, score_scale))
+
+
+def _between_genomes(raw: DataFrame, genomes: DataFrame, both_ways: bool, score_scale: float) -> DataFrame:
+    """Relations of lines with the names (g1, g2) of their genomes, by one pass over the lines."""
+    off = F.broadcast(genomes.select("species_code", "entry_off"))
+    j = raw.where("nr1 IS NOT NULL AND nr2 IS NOT NULL").join(off.toDF("g1", "o1"), "g1").join(off.toDF("g2", "o2"), "g2")
+    a, b = F.col("nr1") + F.col("o1"), F.col("nr2") + F.col("o2")
+    ways = F.array(*[F.struct(*_ends(a, b, swap, score_scale)) for swap in (False, True)[: 1 + both_ways]])
+    return j.select(F.explode(ways).alias("r")).select("r.*")
 
 
 def pair_files(
@@ -45,11 +62,37 @@ def pair_files(
     """
     name = F.input_file_name()
     raw = spark.read.csv(paths, sep="\t", schema=PAIR_SCHEMA, comment="#").select("*", F.regexp_extract(name, pattern, 1).alias("g1"), F.regexp_extract(name, pattern, 2).alias("g2"))
-    off = genomes.select("species_code", "entry_off")
-    j = raw.join(off.toDF("g1", "o1"), "g1").join(off.toDF("g2", "o2"), "g2")
-    a, b = F.col("nr1") + F.col("o1"), F.col("nr2") + F.col("o2")
-    out = _relations(j, a, b, False, score_scale)
-    return out.unionByName(_relations(j, a, b, True, score_scale)) if both_ways else out
+    return _between_genomes(raw, genomes, both_ways, score_scale)
+
+
+def pair_archives(spark: SparkSession, paths: list[str], genomes: DataFrame, *, pattern: str = r"([A-Z0-9]{5})-([A-Z0-9]{5})\.[^/]*$", both_ways: bool = False, score_scale: float = 100.0) -> DataFrame:
+    """As :func:`pair_files`, of the genome-pair files in tar archives (compressed by gzip or not): there are nearly as many pairs of genomes as
+    relations, and a file system gives each small file a block of its own. Archives are read as streams, one member at a time."""
+
+    def run(batches):
+        name, most = re.compile(pattern), 50_000
+        for batch in batches:
+            for content in batch.column(0):
+                raw = io.BytesIO(content.as_buffer())
+                stream = gzip.GzipFile(fileobj=raw) if raw.read(2) == b"\x1f\x8b" else raw
+                raw.seek(0)
+                if not stream.read(1):
+                    continue
+                stream.seek(0)
+                rows = []
+                with tarfile.open(fileobj=stream, mode="r|") as archive:
+                    for member in archive:
+                        if member.isfile() and (found := name.search(member.name)):
+                            rows += [(*found.groups(), x) for x in archive.extractfile(member).read().decode().split("\n") if x.strip() and x[0] != "#"]
+                        archive.members = []  # else every member met stays in memory
+                        while len(rows) >= most:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[:most], strict=True)], names=["g1", "g2", "line"])
+                            rows = rows[most:]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["g1", "g2", "line"])
+
+    lines = spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, "g1 string, g2 string, line string")
+    return _between_genomes(lines.select("g1", "g2", F.from_csv("line", PAIR_SCHEMA, {"sep": "\t"}).alias("c")).select("g1", "g2", "c.*"), genomes, both_ways, score_scale)
 
 
 def exported_json(spark: SparkSession, path, schema: str | None = None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import random
+import tarfile
 
 import pytest
 
@@ -11,6 +14,7 @@ from phylolake.llm.leakage import leaked_passages, removal_spans
 from phylolake.operators import idmap, relations, sequences, similarity, words
 from phylolake.plans import build, file_queries, search_queries
 from phylolake.sinks import writers
+from phylolake.sources import text
 from tests import parity
 
 
@@ -161,3 +165,26 @@ def test_batched_alignments_equal_single_ones():
     single = [sequences.local_alignment(a or "", b or "") for a, b in pairs]
     assert score == pytest.approx([s for s, _ in single], abs=1e-9)
     assert list(identity[:4]) == [0, 0, 0, 1] and identity[4] == pytest.approx(180 / 182) and ((0 <= identity) & (identity <= 1)).all()
+
+
+def test_pairs_of_many_genomes_travel_in_archives(spark, frame, tmp_path):
+    genomes = frame([(f"G{i:04d}", 1000 * i) for i in range(60)], "species_code string, entry_off bigint")
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    long = [f"{k}\t{k}\t1.0\tn:1\t0.9\t1.5" for k in range(1, 400)]
+    lines = frame([(f"G{i:04d}-G{j:04d}.txt", "1\t2\t50\t1:n\t0.9\t1.5") for i, j in pairs] + [("G0001-G0002.txt", x) for x in long] + [("G0003-G0004.txt", "5\t5\t1\t1:1\t" + "0" * 465 + "\t1")], "pair string, line string")
+    path = str(tmp_path / "archives")
+    writers.write_archives(lines, path, name="pair", line="line")
+    files = [p for p in (tmp_path / "archives").iterdir() if p.name.startswith("part-")]
+    assert len(files) < 20
+    members = {}
+    for p in files:
+        with gzip.open(p) as g:
+            raw = g.read()
+        assert len(raw) % 512 == 0
+        if raw:
+            with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                members |= {m.name: t.extractfile(m).read().decode().split() for m in t}
+    assert set(members) == {f"G{i:04d}-G{j:04d}.txt" for i, j in pairs} and len(members["G0001-G0002.txt"]) == 6 * 400
+    got = sorted(tuple(r) for r in text.pair_archives(spark, [path], genomes, both_ways=True).select("entry_nr1", "entry_nr2", "rel_type").collect())
+    one = [(1000 * i + 1, 1000 * j + 2, 1) for i, j in pairs] + [(1000 + k, 2000 + k, 2) for k in range(1, 400)] + [(3005, 4005, 0)]
+    assert got == sorted(one + [(b, a, {0: 0, 1: 2, 2: 1}[r]) for a, b, r in one])
