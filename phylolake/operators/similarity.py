@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,50 @@ def dice() -> Column:
     return 2 * F.col("shared") / (F.col("n_left") + F.col("n_right"))
 
 
-def gene_similarity(annotations: DataFrame, members: DataFrame) -> DataFrame:
-    """(entry1, entry2, similarity): Jaccard index of the term sets of a group's members; pairs sharing no term are left out."""
+def gene_similarity(annotations: DataFrame, members: DataFrame, *, digits: int | None = None) -> DataFrame:
+    """(entry1, entry2, similarity): Jaccard index of the term sets of a group's members, rounded half up to ``digits``; pairs sharing no term are left out.
+
+    The pairs are nearly as many as the square of the members, so none is moved: the sets of the group, a few bytes
+    a member, go to every task, which counts for its members the terms shared with all later ones.
+    """
+    spark = annotations.sparkSession
+    ship_package(spark)
     a = annotations.select("entry_nr", "term_nr").distinct().join(members.select("entry_nr").distinct(), "entry_nr", "left_semi")
-    pairs = overlaps(a.withColumnRenamed("entry_nr", "entry1"), a.withColumnRenamed("entry_nr", "entry2"), left_key="entry1", right_key="entry2", item="term_nr")
-    return pairs.where("entry1 < entry2").select("entry1", "entry2", jaccard().alias("similarity"))
+    kind = a.schema["entry_nr"].dataType.simpleString()
+    held = a.where("entry_nr IS NOT NULL AND term_nr IS NOT NULL").toArrow().combine_chunks().sort_by([("entry_nr", "ascending"), ("term_nr", "ascending")])
+    term = held.column("term_nr").combine_chunks().dictionary_encode().indices.to_numpy()
+    ids = held.column("entry_nr").combine_chunks().unique()
+    row = pc.index_in(held.column("entry_nr").combine_chunks(), ids).to_numpy()
+    slots = 8 * spark.sparkContext.defaultParallelism
+    data = spark.sparkContext.broadcast((ids, row, term))
+
+    def run(batches):
+        ids, row, term = data.value
+        n = len(ids)
+        size, start = np.bincount(row, minlength=n), np.searchsorted(row, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")
+        posting, at = row[order], np.searchsorted(term[order], np.arange(term.max(initial=-1) + 2))
+        for batch in batches:
+            for slot in batch.column(0).to_pylist():
+                waiting, rows = [], 0
+                for i in range(slot, n, slots):
+                    later = [(p := posting[at[t] : at[t + 1]])[np.searchsorted(p, i, "right") :] for t in term[start[i] : start[i + 1]]]
+                    if len(later) == 1:
+                        j, k = later[0], 1
+                    else:
+                        count = np.bincount(np.concatenate(later) - i, minlength=1)
+                        j = np.flatnonzero(count)
+                        j, k = j + i, count[j]
+                    if len(j):
+                        waiting.append((np.full(len(j), i), j, k / (size[i] + size[j] - k)))
+                        rows += len(j)
+                    if waiting and (rows > 200_000 or i + slots >= n):
+                        i1, i2, value = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                        value = value if digits is None else np.floor(value * 10.0**digits + 0.5) / 10.0**digits
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i1)), ids.take(pa.array(i2)), pa.array(value)], names=["entry1", "entry2", "similarity"])
+                        waiting, rows = [], 0
+
+    return spark.range(0, slots, 1, slots).mapInArrow(run, f"entry1 {kind}, entry2 {kind}, similarity double")
 
 
 def without_annotation(annotations: DataFrame, members: DataFrame) -> DataFrame:
@@ -153,13 +193,106 @@ def _large_layout(pairs: DataFrame, nodes: DataFrame, dimensions: int, missing:
     return ids.tolist(), out
 
 
-def _leading(product, n: int, count: int, *, tolerance: float = 1e-10, steps: int = 60):
-    """The ``count`` largest eigenvalues with their vectors, of a symmetric operator on vectors with the sum 0.
+class _TermSets:
+    """Products with the centred matrix of :func:`classical_mds` for different term sets, each held by ``weight`` members.
+
+    Members with equal sets have the distance 0, so all axes are constant over them and the sets stand for the members. With
+    c(k, a, b) = 1 - (1 - k / (a + b - k))^2 for sets of a and b terms that share k, a product needs the sum of c(1, a, b) over
+    every shared term, which goes by terms and sizes and never by pairs, and a correction for pairs that share two or more.
+    """
+
+    def __init__(self, sets: list, weight: np.ndarray):
+        self.root = np.sqrt(weight)
+        self.size = np.array([len(x) for x in sets])
+        m = len(sets)
+        self.row = np.repeat(np.arange(m), self.size)
+        self.term = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.terms, start = int(self.term.max()) + 1, np.concatenate([[0], np.cumsum(self.size)])
+        self.sizes, self.kind = np.unique(self.size, return_inverse=True)
+        self.single = self._value(1, self.sizes[:, None], self.sizes[None, :])
+        several = self.size[self.row] > 1
+        order = np.flatnonzero(several)[np.argsort(self.term[several], kind="stable")]
+        posting, at = self.row[order], np.searchsorted(self.term[order], np.arange(self.terms + 1))
+        self.same = 1 - self.size * self._value(1, self.size, self.size)
+        self.chunks, waiting, held = [], [], 0
+        for i in np.flatnonzero(self.size > 1):
+            later = np.concatenate([(p := posting[at[t] : at[t + 1]])[np.searchsorted(p, i, "right") :] for t in self.term[start[i] : start[i + 1]]])
+            count = np.bincount(later - i, minlength=1)
+            j = np.flatnonzero(count > 1)
+            if len(j):
+                k, j = count[j], j + i
+                waiting.append((np.full(len(j), i, np.int32), j.astype(np.int32), self._value(k, self.size[i], self.size[j]) - k * self._value(1, self.size[i], self.size[j])))
+                held += len(j)
+            if held > 1_000_000:
+                self.chunks.append([np.concatenate(c) for c in zip(*waiting, strict=True)])
+                waiting, held = [], 0
+        if waiting:
+            self.chunks.append([np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+    @staticmethod
+    def _value(k, a, b):
+        return 1 - (1 - k / (a + b - k)) ** 2
+
+    def product(self, g: np.ndarray) -> np.ndarray:
+        v, kinds = g * self.root, len(self.sizes)
+        cell = self.term * kinds + self.kind[self.row]
+        by_term = np.bincount(cell, v[self.row], self.terms * kinds).reshape(self.terms, kinds) @ self.single
+        y = np.bincount(self.row, by_term.ravel()[cell], len(v)) + self.same * v
+        for i, j, w in self.chunks:
+            y += np.bincount(i, w * v[j], len(v)) + np.bincount(j, w * v[i], len(v))
+        y *= self.root
+        flat = self.root / np.linalg.norm(self.root)
+        return (y - flat * (flat @ y)) / 2
+
+    def axes(self, dimensions: int, dense: int) -> np.ndarray:
+        """Coordinates of the sets, one column for each dimension, not signed yet."""
+        m = len(self.size)
+        flat, out = self.root / np.linalg.norm(self.root), np.zeros((m, dimensions))
+        if m < 2:
+            return out
+        if m <= dense:
+            whole = np.array([self.product(x - flat * (flat @ x)) for x in np.eye(m)])
+            values, vectors = np.linalg.eigh((whole + whole.T) / 2)
+            found = ((values[k], vectors[:, k]) for k in range(m - 1, max(-1, m - 1 - dimensions), -1))
+        else:
+            found = _leading(self.product, m, min(dimensions, m - 1), flat=flat)
+        for d, (value, vector) in enumerate(found):
+            if value > 0:
+                out[:, d] = vector / self.root * np.sqrt(value)
+        return out
+
+
+def term_layout(items: DataFrame, *, group: str, node: str, item: str, dimensions: int = 2, dense: int = 300) -> DataFrame:
+    """(g, node, x0..) per group: :func:`mds_layout` of the Jaccard distances of the nodes' item sets, without a table of pairs.
+
+    ``items`` is (group, node, item) without repeats. One task has the different sets of a group and the pairs of them
+    that share two items or more; up to ``dense`` different sets their matrix is solved whole.
+    """
+    ship_package(items.sparkSession)
+    sets = items.groupBy(group, node).agg(F.array_sort(F.collect_list(item)).alias("s")).groupBy(F.col(group).alias("g"), "s").agg(F.collect_list(node).alias("nodes"))
+    kinds = dict(items.dtypes)
+    schema = f"g {kinds[group]}, node {kinds[node]}, " + ", ".join(f"x{i} double" for i in range(dimensions))
+
+    def run(pdf):
+        count = pdf["nodes"].map(len).to_numpy()
+        nodes = np.concatenate(pdf["nodes"].to_list())
+        order = np.argsort(nodes, kind="stable")
+        at = np.repeat(np.arange(len(pdf)), count)[order]
+        xy = _TermSets(pdf["s"].to_list(), count.astype(float)).axes(dimensions, dense)[at]
+        for d in range(dimensions):
+            xy[:, d] *= 1 if xy[np.argmax(np.abs(xy[:, d])), d] >= 0 else -1
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": nodes[order]} | {f"x{d}": xy[:, d].round(9) for d in range(dimensions)})
+
+    return sets.groupBy("g").applyInPandas(run, schema)
+
+
+def _leading(product, n: int, count: int, *, tolerance: float = 1e-10, steps: int = 60, flat: np.ndarray | None = None):
+    """The ``count`` largest eigenvalues with their vectors, of a symmetric operator on vectors orthogonal to ``flat`` (None: with the sum 0).
 
     Lanczos with full orthogonalisation, begun again from the best vector so far after every ``steps`` products, until the residual
     is within ``tolerance`` of the largest value met; found vectors are projected out, so equal eigenvalues are found in turn.
     """
-    found, seed = [np.full(n, n**-0.5)], np.random.default_rng(0)
+    found, seed = [np.full(n, n**-0.5) if flat is None else flat], np.random.default_rng(0)
     for _ in range(count):
         start = seed.standard_normal(n)
         while True:

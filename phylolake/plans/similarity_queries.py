@@ -66,7 +66,7 @@ def jaccard_gene_similarity(s: Spark, sf: str) -> DataFrame:
     """Term-set similarity among the members of the largest family."""
     e = D.entry(s, sf)
     fam = e.where("fam IS NOT NULL").groupBy("fam").count().orderBy(F.desc("count"), "fam").first()[0]
-    return similarity.gene_similarity(D.go(s, sf), e.where(F.col("fam") == fam)).withColumn("similarity", F.round("similarity", 9))
+    return similarity.gene_similarity(D.go(s, sf), e.where(F.col("fam") == fam), digits=9)
 
 
 def _plain_members(s: Spark, sf: str, release: int) -> DataFrame:

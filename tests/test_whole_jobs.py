@@ -188,3 +188,19 @@ def test_pairs_of_many_genomes_travel_in_archives(spark, frame, tmp_path):
     got = sorted(tuple(r) for r in text.pair_archives(spark, [path], genomes, both_ways=True).select("entry_nr1", "entry_nr2", "rel_type").collect())
     one = [(1000 * i + 1, 1000 * j + 2, 1) for i, j in pairs] + [(1000 + k, 2000 + k, 2) for k in range(1, 400)] + [(3005, 4005, 0)]
     assert got == sorted(one + [(b, a, {0: 0, 1: 2, 2: 1}[r]) for a, b, r in one])
+
+
+def test_gene_similarity_moves_no_pairs(frame):
+    rng = random.Random(11)
+    sets = {i * 7 % 301: sorted(set(rng.choices(range(25), weights=[60, 20, *[2] * 23], k=rng.choice([1, 1, 2, 3, 9])))) for i in range(300)}
+    notes = [(e, t) for e, s in sets.items() for t in s]
+    members = frame([*range(280), 280], "entry_nr bigint")
+    found = similarity.gene_similarity(frame(notes + notes[:50] + [(None, 1), (5, None), (500, 1)], "entry_nr bigint, term_nr bigint"), members, digits=9)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    exp = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a in sets for b in sets if a < b <= 280 and {*sets[a]} & {*sets[b]}}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(exp) and {g[:2] for g in got} == set(exp)
+    assert all(v == pytest.approx(exp[a, b], abs=5.1e-10) for a, b, v in got)
+    assert similarity.gene_similarity(frame([], "entry_nr bigint, term_nr bigint"), members).count() == 0
+    half = similarity.gene_similarity(frame([(1, 0), *[(2, t) for t in range(1024)]], "entry_nr bigint, term_nr bigint"), members, digits=9)
+    assert half.first().similarity == 0.000976563  # 1 / 1024, as SQL rounds
