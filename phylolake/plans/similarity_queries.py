@@ -113,10 +113,7 @@ def mds_layout(s: Spark, sf: str) -> DataFrame:
     """Layout of the annotated members of every family by the similarity of their terms."""
     e = D.entry(s, sf).where("fam IS NOT NULL").select("entry_nr", "fam")
     a = D.go(s, sf).select("entry_nr", "term_nr").distinct().join(e, "entry_nr")
-    t = a.select("entry_nr", F.struct("fam", "term_nr").alias("item"))  # pairs never leave their family
-    pairs = similarity.overlaps(t.withColumnRenamed("entry_nr", "e1"), t.withColumnRenamed("entry_nr", "e2"), left_key="e1", right_key="e2", item="item")
-    own = pairs.where("e1 < e2").join(e.toDF("e1", "fam"), "e1").withColumn("d", 1 - similarity.jaccard())
-    return similarity.mds_layout(own, a.select("fam", "entry_nr").distinct(), group="fam", node="entry_nr", a="e1", b="e2", distance="d", dimensions=1)
+    return similarity.term_layout(a, group="fam", node="entry_nr", item="term_nr", dimensions=1)
 
 
 @R.query()

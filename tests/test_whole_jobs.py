@@ -204,3 +204,23 @@ def test_gene_similarity_moves_no_pairs(frame):
     assert similarity.gene_similarity(frame([], "entry_nr bigint, term_nr bigint"), members).count() == 0
     half = similarity.gene_similarity(frame([(1, 0), *[(2, t) for t in range(1024)]], "entry_nr bigint, term_nr bigint"), members, digits=9)
     assert half.first().similarity == 0.000976563  # 1 / 1024, as SQL rounds
+
+
+def test_layout_of_term_sets_needs_no_pairs(frame):
+    rng = random.Random(13)
+    sets = {(g, i): set(rng.choices(range(30), weights=[90, 30, 15, *[2] * 27], k=rng.choice([1, 1, 2, 3, 7]))) for g, n in (("a", 60), ("b", 25)) for i in range(n)}
+    sets |= {("c", 1): {1}, ("d", 1): {1, 2}, ("d", 2): {1, 2}}
+    items = frame([(g, i, t) for (g, i), s in sets.items() for t in s], "fam string, entry_nr bigint, term_nr bigint")
+    pairs = frame([(g, i, j, 1 - len(x & y) / len(x | y)) for (g, i), x in sets.items() for (h, j), y in sets.items() if g == h and i < j and x & y], "g string, a bigint, b bigint, d double")
+    nodes = items.selectExpr("fam AS g", "entry_nr AS node").distinct()
+    names = {"group": "fam", "node": "entry_nr", "item": "term_nr", "dimensions": 2}
+    exp = {(r.g, r.node): (r.x0, r.x1) for r in similarity.mds_layout(pairs, nodes, group="g", node="node", a="a", b="b", distance="d", dimensions=2).collect()}
+    for dense in (300, 5):
+        layout = similarity.term_layout(items, dense=dense, **names)
+        assert "Join" not in layout._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.g, r.node): (r.x0, r.x1) for r in layout.collect()}
+        assert set(got) == set(exp)
+        for g in "abcd":
+            for d in (0, 1):
+                x, y = ([v[k][d] for k in sorted(exp) if k[0] == g] for v in (got, exp))
+                assert x == pytest.approx(y, abs=1e-6) or x == pytest.approx([-v for v in y], abs=1e-6)
