@@ -244,24 +244,36 @@ class _TermSets:
         flat = self.root / np.linalg.norm(self.root)
         return (y - flat * (flat @ y)) / 2
 
-    def axes(self, dimensions: int, dense: int) -> np.ndarray:
+    def axes(self, dimensions: int) -> np.ndarray:
         """Coordinates of the sets, one column for each dimension, not signed yet."""
         m = len(self.size)
         flat, out = self.root / np.linalg.norm(self.root), np.zeros((m, dimensions))
-        if m < 2:
-            return out
-        if m <= dense:
-            whole = np.array([self.product(x - flat * (flat @ x)) for x in np.eye(m)])
-            values, vectors = np.linalg.eigh((whole + whole.T) / 2)
-            found = ((values[k], vectors[:, k]) for k in range(m - 1, max(-1, m - 1 - dimensions), -1))
-        else:
-            found = _leading(self.product, m, min(dimensions, m - 1), flat=flat)
-        for d, (value, vector) in enumerate(found):
+        for d, (value, vector) in enumerate(_leading(self.product, m, min(dimensions, m - 1), flat=flat)):
             if value > 0:
                 out[:, d] = vector / self.root * np.sqrt(value)
         return out
 
 
+def _small_axes(sets: list, weight: np.ndarray, dimensions: int) -> np.ndarray:
+    """As :meth:`_TermSets.axes`, from the whole matrix of a few sets."""
+    m, size = len(sets), np.array([len(x) for x in sets])
+    term = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros((m, term.max() + 1))
+    held[np.repeat(np.arange(m), size), term] = 1
+    shared, root, out = held @ held.T, np.sqrt(weight), np.zeros((m, dimensions))
+    if m < 2:
+        return out
+    flat = root / np.linalg.norm(root)
+    whole = _TermSets._value(shared, size[:, None], size) * root[:, None] * root
+    whole -= np.outer(flat, flat @ whole)
+    whole -= np.outer(whole @ flat, flat)
+    values, vectors = np.linalg.eigh((whole + whole.T) / 4)
+    for d, k in enumerate(range(m - 1, max(-1, m - 1 - dimensions), -1)):
+        if values[k] > 0:
+            out[:, d] = vectors[:, k] / root * np.sqrt(values[k])
+    return out
+
+
 def term_layout(items: DataFrame, *, group: str, node: str, item: str, dimensions: int = 2, dense: int = 300) -> DataFrame:
     """(g, node, x0..) per group: :func:`mds_layout` of the Jaccard distances of the nodes' item sets, without a table of pairs.
 
@@ -278,7 +290,8 @@ def term_layout(items: DataFrame, *, group: str, node: str, item: str, dimension
         nodes = np.concatenate(pdf["nodes"].to_list())
         order = np.argsort(nodes, kind="stable")
         at = np.repeat(np.arange(len(pdf)), count)[order]
-        xy = _TermSets(pdf["s"].to_list(), count.astype(float)).axes(dimensions, dense)[at]
+        sets, weight = pdf["s"].to_list(), count.astype(float)
+        xy = (_small_axes(sets, weight, dimensions) if len(sets) <= dense else _TermSets(sets, weight).axes(dimensions))[at]
         for d in range(dimensions):
             xy[:, d] *= 1 if xy[np.argmax(np.abs(xy[:, d])), d] >= 0 else -1
         return pd.DataFrame({"g": pdf["g"].iloc[0], "node": nodes[order]} | {f"x{d}": xy[:, d].round(9) for d in range(dimensions)})
